@@ -1,43 +1,42 @@
-"""Summary of a short numeric series held as an array (one account's values).
+"""SQL expressions that summarise a short numeric series held as an ascending array.
 
-Arrays here are bounded by the number of events kept per account, so sorting and folding them
-inside one row is cheap and needs no shuffle.
+Arrays here are bounded by the number of events kept per account, so folding one inside a row is
+cheap and needs no shuffle. Pass column names, not long expressions: names occur repeatedly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
+def quantile(ordered: str, q: float) -> str:
+    """Quantile with linear interpolation; NULL for an empty array."""
+    position = f"(size({ordered}) - 1) * {q}D"
+    below = f"CAST(floor({position}) AS int)"
+    low = f"get({ordered}, {below})"
+    high = f"coalesce(get({ordered}, {below} + 1), {low})"
+    return f"({low} + ({high} - {low}) * ({position} - {below}))"
 
-def interpolated_quantile(ordered: Column, q: float) -> Column:
-    """Quantile with linear interpolation of an ascending array; NULL when it is empty."""
-    position = (F.size(ordered) - 1) * F.lit(q)
-    below = F.floor(position).cast("int")
-    low = F.get(ordered, below)
-    high = F.coalesce(F.get(ordered, below + 1), low)
-    return low + (high - low) * (position - below)
 
+def iqr(ordered: str) -> str:
+    return f"({quantile(ordered, 0.75)} - {quantile(ordered, 0.25)})"
 
-def gini(ordered: Column) -> Column:
-    """Gini coefficient of the non-zero values of an ascending array; 0 when there are none."""
-    values = F.filter(ordered, lambda x: x != 0)
-    count = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    weighted = F.aggregate(
-        F.transform(values, lambda x, i: (2 * (i + 1) - count - 1) * x),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
-    return F.when(count == 0, F.lit(0.0)).otherwise(weighted / (count * total))
 
+def gini(ordered: str, nonzero: str) -> str:
+    """Gini coefficient of the non-zero values of a non-negative array; 0 when there are none.
 
-def mean(values: Column) -> Column:
-    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), F.size(values))
+    Summing the running totals weights each value by its rank from the top, so one fold yields
+    both sums of the rank formula. Zeros come first and add nothing to either.
+    """
+    fold = f"""aggregate({ordered}, struct(0D AS total, 0D AS ranked),
+        (acc, x) -> struct(acc.total + x AS total, acc.ranked + acc.total + x AS ranked),
+        acc -> (({nonzero} + 1) * acc.total - 2 * acc.ranked) / ({nonzero} * acc.total))"""
+    return f"CASE WHEN {nonzero} = 0 THEN 0D ELSE {fold} END"
 
 
-def sample_std(values: Column, average: Column) -> Column:
-    """Sample standard deviation; 0 when fewer than two values make it undefined."""
-    squares = F.aggregate(
-        values, F.lit(0.0), lambda acc, x: acc + (x - average) * (x - average)
-    )
-    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1))).otherwise(F.lit(0.0))
+def array_mean(values: str) -> str:
+    return f"try_divide(aggregate({values}, 0D, (acc, x) -> acc + x), size({values}))"
+
+
+def array_std(values: str, mean: str) -> str:
+    """Sample standard deviation; 0 when fewer than two values leave it undefined."""
+    squares = f"aggregate({values}, 0D, (acc, x) -> acc + (x - {mean}) * (x - {mean}))"
+    return f"CASE WHEN size({values}) > 1 THEN sqrt({squares} / (size({values}) - 1)) ELSE 0D END"

@@ -1,40 +1,35 @@
-"""Time expressions that do not depend on the session time zone."""
+"""SQL expressions on time that do not depend on the session time zone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 PAIR_TOLERANCE = "INTERVAL '2' SECOND"  # companions lie at most this far apart
-MICROS_PER_HOUR = 3_600_000_000
 
 # Stands in for an unparsable time in sort orders, so that such rows come last.
 END_OF_TIME = "TIMESTAMP_NTZ '9999-12-31 23:59:59'"
 
 
-def parse_event_time(text: Column) -> Column:
+def parsed_time(text: str) -> str:
     """`yyyy-MM-ddTHH:mm:ssZ` as TIMESTAMP_NTZ; any other text gives NULL instead of an error."""
-    well_formed = (F.length(text) == 20) & text.endswith("Z") & (F.substring(text, 11, 1) == "T")
-    return F.when(well_formed, text.try_cast("timestamp_ntz"))
+    return (
+        f"CASE WHEN length({text}) = 20 AND endswith({text}, 'Z') AND substr({text}, 11, 1) = 'T' "
+        f"THEN try_cast({text} AS timestamp_ntz) END"
+    )
 
 
-def event_time_text(time: Column) -> Column:
+def time_text(time: str) -> str:
     """ISO text with explicit UTC offset, for sinks."""
-    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return f"date_format({time}, \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\")"
 
 
-def close_in_time(left: Column, right: Column) -> Column:
-    tolerance = F.expr(PAIR_TOLERANCE)
-    return (left >= right - tolerance) & (left <= right + tolerance)
+def close_in_time(left: str, right: str) -> str:
+    return f"{left} BETWEEN {right} - {PAIR_TOLERANCE} AND {right} + {PAIR_TOLERANCE}"
 
 
-def epoch_micros(time: Column) -> Column:
+def epoch_micros(time: str) -> str:
     """Microseconds since 1970 of a TIMESTAMP_NTZ."""
-    whole_minutes = (
-        F.unix_date(F.to_date(time)).cast("bigint") * 1440 + F.hour(time) * 60 + F.minute(time)
-    )
-    seconds = F.date_part(F.lit("SECOND"), time)  # decimal(8,6)
-    return whole_minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+    minutes = f"unix_date(to_date({time})) * 1440L + hour({time}) * 60 + minute({time})"
+    return f"({minutes}) * 60000000L + CAST(date_part('SECOND', {time}) * 1000000 AS bigint)"
 
 
-def hours(micros: Column) -> Column:
-    return micros / F.lit(float(MICROS_PER_HOUR))
+def hours(micros: str) -> str:
+    return f"({micros}) / 3.6e9D"

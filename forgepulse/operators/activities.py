@@ -4,145 +4,110 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 from forgepulse import schema as S
 from forgepulse.operators.pairing import (
-    commented_review,
-    create_of,
-    is_true,
-    issue_action,
-    kind_is,
-    pr_action,
+    ISSUE_CLOSED,
+    ISSUE_COMMENT,
+    ISSUE_REOPENED,
+    MERGE,
+    PR_COMMENT,
+    PR_REOPENED,
+    PUSH,
+    REJECT,
+    TAG,
     resolve_pairs,
 )
 
-
-def _col(name: str) -> Column:
-    return F.col(name)
-
-
-def _either(pairing: str) -> Column:
-    return _col(f"{pairing}_prev") | _col(f"{pairing}_next")
-
-
-def consumed_by() -> Column:
-    """Number of the activity that swallowed the event as a companion, else NULL."""
-    comment, tag, push = kind_is(S.ISSUE_COMMENT), create_of("tag"), kind_is(S.PUSH)
-    return (
-        F.when(tag & _either("release"), 3)
-        .when(comment & _either("close"), 14)
-        .when(comment & _either("reopen"), 15)
-        .when(comment & _either("pr_reopen"), 18)
-        .when(comment & _either("reject"), 19)
-        .when(push & _col("merge_push"), 19)
-        # Where review comments are reported, they stand for the commented reviews.
-        .when(_col("review_comments_known") & commented_review(), 21)
-    )
-
-
-def activity_rules() -> dict[int, Column]:
-    """Condition of each activity by number; on one event at most one of them holds."""
-    opened = issue_action("opened")
-    transferred = _col("transfer_open") & is_true(
-        (_col("num_comments") > 0) | _col("issue_closed_at").isNotNull()
-    )
-    comment = kind_is(S.ISSUE_COMMENT)
-    on_issue, on_pr = _col("issue_number").isNotNull(), _col("PR_number").isNotNull()
-    deletes = kind_is(S.DELETE)
-    return {
-        1: create_of("repository"),
-        2: create_of("branch"),
-        3: kind_is(S.RELEASE),
-        4: create_of("tag") & ~_either("release"),
-        5: deletes & is_true(_col("ref_type") == "tag"),
-        6: deletes & is_true(_col("ref_type") == "branch"),
-        7: kind_is(S.PUBLIC),
-        8: kind_is(S.MEMBER),
-        9: kind_is(S.FORK),
-        10: kind_is(S.WATCH),
-        11: kind_is(S.WIKI),
-        12: opened & transferred,
-        13: opened & ~transferred,
-        14: issue_action("closed") & _col("close_open"),
-        15: issue_action("reopened") & _col("reopen_open"),
-        16: comment & on_issue & ~_either("close") & ~_either("reopen"),
-        17: pr_action("opened"),
-        18: pr_action("reopened") & _col("pr_reopen_open"),
-        19: pr_action("closed") & _col("merged").isNotNull() & _col("pr_close_open"),
-        20: comment & ~on_issue & on_pr & ~_either("pr_reopen") & ~_either("reject"),
-        21: (kind_is(S.REVIEW_COMMENT) & _col("reviews_known")) | (commented_review() & ~_col("review_comments_known")),
-        22: kind_is(S.REVIEW) & ~commented_review(),
-        23: kind_is(S.COMMIT_COMMENT),
-        24: kind_is(S.PUSH) & ~_col("merge_push"),
-    }
-
-
-def _emission(label: str, node: Column, extra: Column | None = None) -> Column:
-    extra = F.lit(None) if extra is None else extra
-    return F.struct(
-        F.lit(label).alias("label"), node.alias("node"), extra.cast("string").alias("extra")
+# Number of the activity that swallowed the event as a companion.
+CONSUMED_BY = f"""
+CASE WHEN role = {TAG} AND taken_1 THEN 3
+     WHEN role = {ISSUE_COMMENT} AND taken_1 THEN 14
+     WHEN role = {ISSUE_COMMENT} AND taken_2 THEN 15
+     WHEN role = {PR_COMMENT} AND taken_1 THEN 18
+     WHEN role = {PR_COMMENT} AND taken_2 THEN 19
+     WHEN role = {PUSH} AND merge_push THEN 19
+     -- where review comments are reported, they stand for the commented reviews
+     WHEN review_comments_known AND event_type = 'PullRequestReviewEvent'
+          AND review_state = 'commented' THEN 21 END
+"""
+
+_OPENED = "event_type = 'IssuesEvent' AND action = 'opened'"
+_TRANSFERRED = (
+    "coalesce(transfer_open AND (num_comments > 0 OR issue_closed_at IS NOT NULL), false)"
+)
+_COMMENTED = "event_type = 'PullRequestReviewEvent' AND review_state <=> 'commented'"
+
+# Condition of each activity by number; on one event at most one of them holds.
+RULES = {
+    1: "event_type = 'CreateEvent' AND ref_type = 'repository'",
+    2: "event_type = 'CreateEvent' AND ref_type = 'branch'",
+    3: "event_type = 'ReleaseEvent'",
+    4: "event_type = 'CreateEvent' AND ref_type = 'tag' AND NOT taken_1",
+    5: "event_type = 'DeleteEvent' AND ref_type = 'tag'",
+    6: "event_type = 'DeleteEvent' AND ref_type = 'branch'",
+    7: "event_type = 'PublicEvent'",
+    8: "event_type = 'MemberEvent'",
+    9: "event_type = 'ForkEvent'",
+    10: "event_type = 'WatchEvent'",
+    11: "event_type = 'GollumEvent'",
+    12: f"{_OPENED} AND {_TRANSFERRED}",
+    13: f"{_OPENED} AND NOT {_TRANSFERRED}",
+    14: f"role = {ISSUE_CLOSED} AND close_open",
+    15: f"role = {ISSUE_REOPENED} AND reopen_open",
+    16: f"role = {ISSUE_COMMENT} AND NOT taken_1 AND NOT taken_2",
+    17: "event_type = 'PullRequestEvent' AND action = 'opened'",
+    18: f"role = {PR_REOPENED} AND pr_reopen_open",
+    19: f"role IN ({MERGE}, {REJECT}) AND pr_close_open",
+    20: f"role = {PR_COMMENT} AND NOT taken_1 AND NOT taken_2",
+    21: f"""reviews_known AND (event_type = 'PullRequestReviewCommentEvent'
+                               OR {_COMMENTED} AND NOT review_comments_known)""",
+    22: "event_type = 'PullRequestReviewEvent' AND NOT review_state <=> 'commented'",
+    23: "event_type = 'CommitCommentEvent'",
+    24: "event_type = 'PushEvent' AND NOT merge_push",
+}
+
+
+def _key(label: str, node: str, extra: str = "CAST(NULL AS string)") -> str:
+    return f"struct(activity_ord AS kind, {label} AS label, {node} AS node, {extra} AS extra)"
+
+
+# For activities that collapse by content: the keys an event emits. Two emissions at the same
+# time in the same repository with equal keys are one activity. A rejected pull request emits
+# one key per adjacent comment, hence possibly two.
+EMISSION_KEYS = {
+    3: f"array({_key('taken_1', 'release_node_id')})",
+    14: "array("
+    + _key(
+        "taken_1", "issue_node_id", "CASE WHEN NOT taken_1 THEN CAST(issue_closed_at AS string) END"
     )
-
-
-def emission_keys() -> dict[int, Column]:
-    """For activities that collapse by content: array of the keys an event emits.
-
-    Two emissions at the same time in the same repository with equal keys are one activity. A
-    rejected pull request emits one key per adjacent comment, hence possibly two.
-    """
-    node = {n: _col(f"{n}_node_id") for n in ("release", "issue", "PR", "review")}
-    rejected = F.array_distinct(
-        F.filter(
-            F.array(
-                F.when(_col("reject_prev"), _emission("rejected with comment", node["PR"], _col("reject_prev_node"))),
-                F.when(_col("reject_next"), _emission("rejected with comment", node["PR"], _col("reject_next_node"))),
-            ),
-            lambda key: key.isNotNull(),
-        )
+    + ")",
+    15: f"array({_key('taken_2', 'issue_node_id')})",
+    18: f"CASE WHEN taken_1 THEN array({_key('true', 'PR_node_id')}) END",
+    19: f"""CASE WHEN role = {MERGE} THEN array({_key('merge_push', 'PR_node_id', "'merge'")})
+                 WHEN prev_2 AND next_2 THEN array_distinct(array(
+                      {_key('true', 'PR_node_id', "concat('comment ', prev_2_node)")},
+                      {_key('true', 'PR_node_id', "concat('comment ', next_2_node)")}))
+                 WHEN taken_2 THEN array({_key(
+                      'true', 'PR_node_id',
+                      "concat('comment ', CASE WHEN prev_2 THEN prev_2_node ELSE next_2_node END)")})
+                 ELSE array({_key('false', 'PR_node_id', "'reject'")}) END""",
+    22: f"array({_key('false', 'review_node_id')})",
+}
+
+
+def _choice(branches: dict[int, str], test: str = "{condition}", result: str = "{number}") -> str:
+    parts = " ".join(
+        "WHEN " + test.format(number=n, condition=c) + " THEN " + result.format(number=n, condition=c)
+        for n, c in branches.items()
     )
-    return {
-        3: F.array(
-            F.when(_either("release"), _emission("release with tag", node["release"])).otherwise(
-                _emission("release", node["release"])
-            )
-        ),
-        14: F.array(
-            F.when(_either("close"), _emission("closed with comment", node["issue"])).otherwise(
-                _emission("closed", node["issue"], _col("issue_closed_at"))
-            )
-        ),
-        15: F.array(
-            F.when(_either("reopen"), _emission("reopened with comment", node["issue"])).otherwise(
-                _emission("reopened", node["issue"])
-            )
-        ),
-        18: F.when(
-            _either("pr_reopen"), F.array(_emission("pr reopened with comment", node["PR"]))
-        ),
-        19: F.when(
-            is_true(_col("merged")),
-            F.array(
-                F.when(_col("merge_push"), _emission("merged with push", node["PR"])).otherwise(
-                    _emission("merged", node["PR"])
-                )
-            ),
-        )
-        .when(_either("reject"), rejected)
-        .otherwise(F.array(_emission("rejected", node["PR"]))),
-        22: F.array(_emission("reviewed", node["review"])),
-    }
-
-
-def _numbered(conditions: dict[int, Column]) -> Column:
-    chain = F.lit(None).cast("int")
-    for number in sorted(conditions, reverse=True):
-        chain = F.when(conditions[number], number).otherwise(chain)
-    return chain
+    return f"CASE {parts} END"
 
 
-def _name_of(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in S.ACTIVITY_NAMES]), number)
+def _name_of(number: str) -> str:
+    names = ", ".join(f"'{name}'" for name in S.ACTIVITY_NAMES)
+    return f"element_at(array({names}), {number})"
 
 
 def emit_activities(
@@ -156,39 +121,39 @@ def emit_activities(
     `only` restricts the kinds; the plan then drops every pairing window they do not need.
     `carry` names account-level columns to keep.
     """
-    wanted = set(only or range(1, len(S.ACTIVITY_NAMES) + 1))
-    rules = {n: rule for n, rule in activity_rules().items() if n in wanted}
-    collapsing = {n: keys_of for n, keys_of in emission_keys().items() if n in wanted}
+    wanted = set(only or RULES)
+    rules = {n: rule for n, rule in RULES.items() if n in wanted}
+    collapsing = {n: key for n, key in EMISSION_KEYS.items() if n in wanted}
 
-    emitted = resolved.withColumn("activity_ord", _numbered(rules)).filter(
-        F.col("activity_ord").isNotNull()
+    emitted = resolved.selectExpr("*", f"{_choice(rules)} AS activity_ord").filter(
+        "activity_ord IS NOT NULL"
     )
     if collapsing:
-        own = F.lit(None)
-        for number in sorted(collapsing, reverse=True):
-            own = F.when(F.col("activity_ord") == number, collapsing[number]).otherwise(own)
-        # Rows of one second in one repository are neighbours in the pairing order already.
-        earlier = (
-            Window.partitionBy(*keys, "repository", "sort_time")
-            .orderBy("event_id")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        fresh = F.array_except("emission_keys", F.flatten("earlier_keys"))
+        own = _choice(collapsing, test="activity_ord = {number}", result="{condition}")
+        # Rows of one second in one repository and pairing group are neighbours already.
+        same_time = f"{', '.join(keys)}, repository, group_2, sort_time"
         emitted = (
-            emitted.withColumn("emission_keys", own)
-            .withColumn("earlier_keys", F.collect_list("emission_keys").over(earlier))
-            .withColumn(
-                "copies", F.when(F.col("emission_keys").isNull(), 1).otherwise(F.size(fresh))
+            emitted.selectExpr("*", f"{own} AS emission_keys")
+            .selectExpr(
+                "*",
+                f"collect_list(emission_keys) OVER (PARTITION BY {same_time} ORDER BY event_id "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_keys",
+            )
+            .selectExpr(
+                "*",
+                """explode(array_repeat(1, CASE
+                     WHEN emission_keys IS NULL THEN 1
+                     WHEN size(earlier_keys) = 0 THEN size(emission_keys)
+                     ELSE size(array_except(emission_keys, flatten(earlier_keys))) END)) AS copy""",
             )
-            .withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
         )
     extra_keys = [k for k in keys if k != "login"]
-    return emitted.select(
-        F.col("login").alias("contributor"),
+    return emitted.selectExpr(
+        "login AS contributor",
         *extra_keys,
         "repository",
-        _name_of(F.col("activity_ord")).alias("activity"),
-        F.col("created_at").alias("date"),
+        f"{_name_of('activity_ord')} AS activity",
+        "created_at AS date",
         "event_id",
         "activity_ord",
         *carry,
@@ -197,19 +162,17 @@ def emit_activities(
 
 def event_fates(resolved: DataFrame) -> DataFrame:
     """What became of each event: `emitted`, `consumed` (and by which activity) or `dropped`."""
-    by, number = consumed_by(), _numbered(activity_rules())
-    fate = (
-        F.when(by.isNotNull(), "consumed").when(number.isNotNull(), "emitted").otherwise("dropped")
-    )
-    return resolved.select(
+    numbered = resolved.selectExpr("*", f"{CONSUMED_BY} AS by", f"{_choice(RULES)} AS number")
+    return numbered.selectExpr(
         "event_id",
         "login",
         "repository",
         "event_type",
         "created_at",
-        fate.alias("fate"),
-        _name_of(by).alias("consumed_by"),
-        _name_of(number).alias("activity"),
+        """CASE WHEN by IS NOT NULL THEN 'consumed' WHEN number IS NOT NULL THEN 'emitted'
+                ELSE 'dropped' END AS fate""",
+        f"{_name_of('by')} AS consumed_by",
+        f"{_name_of('number')} AS activity",
     )
 
 

@@ -2,61 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from forgepulse import schema as S
-from forgepulse.functions.times import parse_event_time
+from forgepulse.functions.times import parsed_time
 
+_ISSUE_FAMILY = "type IN ('IssuesEvent', 'IssueCommentEvent')"
+_PR_FAMILY = (
+    "type IN ('PullRequestEvent', 'PullRequestReviewEvent', 'PullRequestReviewCommentEvent')"
+)
+_REFS = "type IN ('CreateEvent', 'DeleteEvent')"
+# Issue events also report on pull requests; only the page address tells which.
+_ON_PR = "coalesce(contains(payload.issue.html_url, '/pull/'), false)"
+_PR_BY_ISSUE = f"{_ISSUE_FAMILY} AND {_ON_PR}"
+_PLAIN_ISSUE = f"{_ISSUE_FAMILY} AND NOT {_ON_PR}"
 
-def flatten_events(raw: DataFrame) -> DataFrame:
-    """`raw` has the RAW_EVENT shape. A path that is missing gives NULL."""
-    kind = F.col("type")
 
-    def only_for(kinds: list[str], path: str) -> Column:
-        return F.when(kind.isin(kinds), F.col(path))
+def _routed(*routes: tuple[str, str]) -> str:
+    """First path whose condition holds, else NULL."""
+    return "CASE " + " ".join(f"WHEN {test} THEN {path}" for test, path in routes) + " END"
 
-    issue_family = kind.isin(S.ISSUES, S.ISSUE_COMMENT)
-    pr_family = kind.isin(S.PULL_REQUEST, S.REVIEW, S.REVIEW_COMMENT)
-    # Issue events also report on pull requests; only the page address tells which.
-    on_pr = F.coalesce(F.contains(F.col("payload.issue.html_url"), F.lit("/pull/")), F.lit(False))
-    pr_by_issue = issue_family & on_pr
-    plain_issue = issue_family & ~on_pr
 
-    return raw.select(
-        F.col("id").try_cast("bigint").alias("event_id"),
-        kind.alias("event_type"),
-        F.col("actor.login").alias("login"),
-        F.col("repo.name").alias("repository"),
-        parse_event_time(F.col("created_at")).alias("created_at"),
-        only_for([S.PUSH], "payload.push_id").alias("push_id"),
-        F.when(pr_family | issue_family, F.col("payload.action")).alias("action"),
-        F.when(pr_family, F.col("payload.pull_request.number"))
-        .when(pr_by_issue, F.col("payload.issue.number"))
-        .alias("PR_number"),
-        F.when(pr_family, F.col("payload.pull_request.state"))
-        .when(issue_family, F.col("payload.issue.state"))
-        .alias("state"),
-        F.when(pr_family, F.col("payload.pull_request.node_id"))
-        .when(pr_by_issue, F.col("payload.issue.node_id"))
-        .alias("PR_node_id"),
-        only_for([S.PULL_REQUEST], "payload.pull_request.merged").alias("merged"),
-        only_for(
-            [S.REVIEW_COMMENT, S.ISSUE_COMMENT, S.COMMIT_COMMENT], "payload.comment.node_id"
-        ).alias("comment_node_id"),
-        only_for([S.REVIEW], "payload.review.state").alias("review_state"),
-        only_for([S.REVIEW], "payload.review.node_id").alias("review_node_id"),
-        F.when(pr_by_issue, F.col("payload.issue.closed_at")).alias("PR_closed_at"),
-        F.when(plain_issue, F.col("payload.issue.number")).alias("issue_number"),
-        F.when(plain_issue, F.col("payload.issue.node_id")).alias("issue_node_id"),
-        parse_event_time(F.when(plain_issue, F.col("payload.issue.closed_at"))).alias(
-            "issue_closed_at"
-        ),
-        F.when(issue_family, F.col("payload.issue.comments")).alias("num_comments"),
-        only_for([S.CREATE, S.DELETE], "payload.ref").alias("ref"),
-        only_for([S.CREATE, S.DELETE], "payload.ref_type").alias("ref_type"),
-        only_for([S.RELEASE], "payload.release.tag_name").alias("tag_name"),
-        only_for([S.RELEASE], "payload.release.node_id").alias("release_node_id"),
+def flatten_events(raw: DataFrame) -> DataFrame:
+    """`raw` has the RAW_EVENT shape. A path that is missing gives NULL."""
+    pr, issue = "payload.pull_request", "payload.issue"
+    review, release = "type = 'PullRequestReviewEvent'", "type = 'ReleaseEvent'"
+    commenting = (
+        "type IN ('PullRequestReviewCommentEvent', 'IssueCommentEvent', 'CommitCommentEvent')"
     )
+    columns = {
+        "event_id": "try_cast(id AS bigint)",
+        "event_type": "type",
+        "login": "actor.login",
+        "repository": "repo.name",
+        "created_at": parsed_time("created_at"),
+        "push_id": _routed(("type = 'PushEvent'", "payload.push_id")),
+        "action": _routed((f"{_PR_FAMILY} OR {_ISSUE_FAMILY}", "payload.action")),
+        "PR_number": _routed((_PR_FAMILY, f"{pr}.number"), (_PR_BY_ISSUE, f"{issue}.number")),
+        "state": _routed((_PR_FAMILY, f"{pr}.state"), (_ISSUE_FAMILY, f"{issue}.state")),
+        "PR_node_id": _routed((_PR_FAMILY, f"{pr}.node_id"), (_PR_BY_ISSUE, f"{issue}.node_id")),
+        "merged": _routed(("type = 'PullRequestEvent'", f"{pr}.merged")),
+        "comment_node_id": _routed((commenting, "payload.comment.node_id")),
+        "review_state": _routed((review, "payload.review.state")),
+        "review_node_id": _routed((review, "payload.review.node_id")),
+        "PR_closed_at": _routed((_PR_BY_ISSUE, f"{issue}.closed_at")),
+        "issue_number": _routed((_PLAIN_ISSUE, f"{issue}.number")),
+        "issue_node_id": _routed((_PLAIN_ISSUE, f"{issue}.node_id")),
+        "issue_closed_at": _routed((_PLAIN_ISSUE, parsed_time(f"{issue}.closed_at"))),
+        "num_comments": _routed((_ISSUE_FAMILY, f"{issue}.comments")),
+        "ref": _routed((_REFS, "payload.ref")),
+        "ref_type": _routed((_REFS, "payload.ref_type")),
+        "tag_name": _routed((release, "payload.release.tag_name")),
+        "release_node_id": _routed((release, "payload.release.node_id")),
+    }
+    return raw.selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])
 
 
 def split_repository(df: DataFrame) -> DataFrame:

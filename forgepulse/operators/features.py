@@ -4,47 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from forgepulse import schema as S
 from forgepulse.functions import stats
 from forgepulse.functions.times import epoch_micros, hours
-from forgepulse.operators.extract import split_repository
 
 # Total order of an account's activities: time, then precedence, then event id.
-TIME_ORDER = [("date", "asc_nulls_last"), ("activity_ord", "asc"), ("event_id", "asc")]
+TIME_ORDER = "date ASC NULLS LAST, activity_ord, event_id"
 
 
-def _by_time(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(*[getattr(F.col(c), how)() for c, how in TIME_ORDER])
+def _changed(column: str, neighbour: str) -> str:
+    """True at the edge of a run; a missing value on either side always ends the run."""
+    return f"NOT coalesce({column} = {neighbour}, false)"
 
 
-def _changed(column: str, neighbour: Column) -> Column:
-    """True at the edge of a run; a missing value on either side always ends the run."""
-    return ~F.coalesce(F.col(column) == neighbour, F.lit(False))
+def _aggregates(*expressions: str) -> list[Column]:
+    return [F.expr(expression) for expression in expressions]
 
 
 def runs(
     activities: DataFrame, column: str, counted: str, keys: Sequence[str] = ("contributor",)
 ) -> DataFrame:
     """Maximal blocks of consecutive activities with equal `column`, one row per block."""
-    by_time = _by_time(keys)
-    by_run = Window.partitionBy(*keys).orderBy("run_id")
-    marked = activities.withColumn(
-        "starts", _changed(column, F.lag(column).over(by_time)).cast("bigint")
-    ).withColumn("run_id", F.sum("starts").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = marked.groupBy(*keys, "run_id").agg(
-        F.first(column).alias(column),
-        F.count(counted).alias("activities"),
-        F.min("date").alias("first_time"),
-        F.max("date").alias("last_time"),
-    )
-    following = blocks.withColumn("next_first_time", F.lead("first_time").over(by_run))
-    first, last, after = (
-        epoch_micros(F.col(c)) for c in ("first_time", "last_time", "next_first_time")
+    account = ", ".join(keys)
+    by_time = f"(PARTITION BY {account} ORDER BY {TIME_ORDER})"
+    blocks = (
+        activities.selectExpr("*", f"lag({column}) OVER {by_time} AS before")
+        .selectExpr("*", f"CAST({_changed(column, 'before')} AS bigint) AS starts")
+        .selectExpr(
+            "*",
+            f"sum(starts) OVER (PARTITION BY {account} ORDER BY {TIME_ORDER} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_id",
+        )
+        .groupBy(*keys, "run_id")
+        .agg(
+            *_aggregates(
+                f"first({column}) AS {column}",
+                f"count({counted}) AS activities",
+                "min(date) AS first_time",
+                "max(date) AS last_time",
+            )
+        )
     )
-    return following.withColumns(
-        {"time_spent": hours(last - first), "time_to_switch": hours(after - last)}
+    first, last, after = (epoch_micros(c) for c in ("first_time", "last_time", "next_first_time"))
+    return blocks.selectExpr(
+        "*", f"lead(first_time) OVER (PARTITION BY {account} ORDER BY run_id) AS next_first_time"
+    ).selectExpr(
+        "*",
+        f"{hours(f'({last}) - ({first})')} AS time_spent",
+        f"{hours(f'({after}) - ({last})')} AS time_to_switch",
     )
 
 
@@ -56,123 +65,114 @@ def type_runs(activities: DataFrame, keys: Sequence[str] = ("contributor",)) ->
     return runs(activities, "activity", "repository", keys)
 
 
-def account_series(
-    activities: DataFrame, keys: Sequence[str] = ("contributor",), carry: Sequence[str] = ()
-) -> DataFrame:
-    """One row per account with the four counts and the eight series as arrays.
+def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -> DataFrame:
+    """Attach every series value to the activity row that completes it, NULL elsewhere.
 
-    One pass: every series value is attached to the activity row that completes it (the last row
-    of a repository, of a run, ...), so a single aggregate by account collects them all. The
-    arrays are bounded by the account's activities. Everything stays in the partitioning by
-    account, without joins between the series.
+    The last row of a repository carries NAR and NTR, the last row of a run NCAR, DCAR and DAAR,
+    and so on. Everything stays in the partitioning by account, without joins between series.
     """
-    in_repository = Window.partitionBy(*keys, "repository").orderBy("activity_ord")
-    by_time = _by_time(keys)
-    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    has_repository = F.col("repository").isNotNull()
-
-    per_repository = activities.withColumns(
-        {
-            "in_repo": F.row_number().over(in_repository),
-            "types_in_repo": F.dense_rank().over(in_repository).cast("double"),
-            "repo_goes_on": F.lead("activity_ord").over(in_repository),
-        }
-    )
-    repo_ends = has_repository & F.col("repo_goes_on").isNull()
-
-    timed = (
-        split_repository(per_repository)
-        .withColumns(
-            {
-                "NAR": F.when(repo_ends, F.col("in_repo").cast("double")),
-                "NTR": F.when(repo_ends, F.col("types_in_repo")),
-                "at": epoch_micros(F.col("date")),
-            }
+    account = ", ".join(keys)
+    in_repository = f"(PARTITION BY {account}, repository ORDER BY activity_ord)"
+    by_time = f"(PARTITION BY {account} ORDER BY {TIME_ORDER})"
+    so_far = by_time[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    gap = hours("next_at - at")
+    return (
+        activities.selectExpr(
+            "*",
+            f"row_number() OVER {in_repository} AS in_repo",
+            f"dense_rank() OVER {in_repository} AS types_in_repo",
+            f"lead(activity_ord) OVER {in_repository} IS NULL AND repository IS NOT NULL AS repo_ends",
         )
-        .withColumns(
-            {
-                "position": F.row_number().over(by_time),
-                "next_at": F.lead("at").over(by_time),
-                "run_starts": _changed("repository", F.lag("repository").over(by_time)),
-                "run_ends": _changed("repository", F.lead("repository").over(by_time)),
-                "type_ends": _changed("activity_ord", F.lead("activity_ord").over(by_time)),
-                # Rows without a time come last; their run ends at its last known time.
-                "last_at": F.max("at").over(so_far),
-            }
+        .selectExpr("*", f"{epoch_micros('date')} AS at", "get(split(repository, '/'), 0) AS owner")
+        .selectExpr(
+            "*",
+            f"row_number() OVER {by_time} AS position",
+            f"lead(at) OVER {by_time} AS next_at",
+            f"lag(repository) OVER {by_time} AS repo_before",
+            f"lead(repository) OVER {by_time} AS repo_after",
+            f"lead(activity_ord) OVER {by_time} AS ord_after",
+            # Rows without a time come last; their run ends at its last known time.
+            f"max(at) OVER {so_far} AS last_at",
         )
-        .withColumn(
-            "run_start",
-            F.expr("if(run_starts, struct(position, at), null)"),
+        .selectExpr(
+            "*",
+            f"CASE WHEN {_changed('repository', 'repo_before')} "
+            "THEN struct(position, at) END AS run_edge",
+            f"{_changed('repository', 'repo_after')} AS run_ends",
+            f"{_changed('activity_ord', 'ord_after')} AS type_ends",
+        )
+        .selectExpr("*", f"last(run_edge, true) OVER {so_far} AS run_start")
+        .selectExpr(
+            "*",
+            f"{gap} AS DCA",
+            "CASE WHEN repo_ends THEN CAST(in_repo AS double) END AS NAR",
+            "CASE WHEN repo_ends THEN CAST(types_in_repo AS double) END AS NTR",
+            "CASE WHEN run_ends THEN CAST(position - run_start.position + 1 AS double) END AS NCAR",
+            f"CASE WHEN run_ends THEN {hours('last_at - run_start.at')} END AS DCAR",
+            f"CASE WHEN run_ends THEN {gap} END AS DAAR",
+            f"CASE WHEN type_ends THEN {gap} END AS DCAT",
         )
-        .withColumn("run_start", F.last("run_start", ignorenulls=True).over(so_far))
-    )
-    gap = hours(F.col("next_at") - F.col("at"))
-    spent = hours(F.col("last_at") - F.col("run_start")["at"])
-    length = (F.col("position") - F.col("run_start")["position"] + 1).cast("double")
-    per_activity = timed.withColumns(
-        {
-            "DCA": gap,
-            "NCAR": F.when(F.col("run_ends"), length),
-            "DCAR": F.when(F.col("run_ends"), spent),
-            "DAAR": F.when(F.col("run_ends"), gap),
-            "DCAT": F.when(F.col("type_ends"), gap),
-        }
     )
-    # NULL where the account has no activity of the kind; only rows with a repository count.
-    of_kind = [
-        F.sum(F.when(F.col("activity_ord") == n, has_repository.cast("double"))).alias(f"kind_{n}")
-        for n in range(1, len(S.ACTIVITY_NAMES) + 1)
-    ]
+
+
+def account_series(
+    activities: DataFrame, keys: Sequence[str] = ("contributor",), carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per account: the four counts, the series as ascending arrays, mean and std.
+
+    A single aggregate by account; the arrays are bounded by the account's activities. Columns a
+    caller does not ask for are pruned together with the windows that feed them.
+    """
+    kinds = range(1, len(S.ACTIVITY_NAMES) + 1)
     collected = [s for s in S.SERIES if s != "NAT"]
-    account = per_activity.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("NA"),
-        F.collect_set("owner").alias("owners"),
-        *of_kind,
-        *[F.sort_array(F.collect_list(s)).alias(s) for s in collected],
-        *[F.max(c).alias(c) for c in carry],
+    # NULL where the account has no activity of the kind; only rows with a repository count.
+    counted = "CASE WHEN repository IS NULL THEN 0D ELSE 1D END"
+    account = series_rows(activities, keys).groupBy(*keys).agg(
+        *_aggregates(
+            "count(1) AS NA",
+            "collect_set(owner) AS owners",
+            "count(NAR) AS repositories",
+            *[f"sum(CASE WHEN activity_ord = {n} THEN {counted} END) AS kind_{n}" for n in kinds],
+            *[f"sort_array(collect_list({s})) AS {s}" for s in collected],
+            *[f"count_if({s} <> 0) AS {s}_nonzero" for s in collected],
+            *[f"avg({s}) AS {s}_mean" for s in collected],
+            *[f"coalesce(stddev_samp({s}), 0D) AS {s}_std" for s in collected],
+            *[f"max({c}) AS {c}" for c in carry],
+        )
     )
-    kinds = F.array(*[F.col(f"kind_{n}") for n in range(1, len(S.ACTIVITY_NAMES) + 1)])
-    return account.withColumn("NAT", F.sort_array(F.array_compact(kinds))).select(
-        *keys,
-        "NA",
-        F.size("NAT").cast("bigint").alias("NT"),
-        F.size("owners").cast("bigint").alias("NOR"),
-        F.try_divide(F.size("owners"), F.size("NAR")).alias("ORR"),
-        *S.SERIES,
-        *carry,
+    per_kind = ", ".join(f"kind_{n}" for n in kinds)
+    return (
+        account.selectExpr("*", f"sort_array(array_compact(array({per_kind}))) AS NAT")
+        .selectExpr(
+            "*",
+            f"{stats.array_mean('NAT')} AS NAT_mean",
+            "CAST(size(filter(NAT, x -> x <> 0)) AS bigint) AS NAT_nonzero",
+        )
+        .selectExpr(
+            "*",
+            f"{stats.array_std('NAT', 'NAT_mean')} AS NAT_std",
+            "CAST(size(NAT) AS bigint) AS NT",
+            "CAST(size(owners) AS bigint) AS NOR",
+            "try_divide(size(owners), repositories) AS ORR",
+        )
     )
 
 
-def summarise(series: str) -> dict[str, Column]:
-    """Mean, median, std, Gini and IQR of an ascending array column."""
-    values = F.col(series)
-    average = stats.mean(values)
-    return {
-        f"{series}_mean": average,
-        f"{series}_median": stats.interpolated_quantile(values, 0.5),
-        f"{series}_std": stats.sample_std(values, average),
-        f"{series}_gini": stats.gini(values),
-        f"{series}_IQR": stats.interpolated_quantile(values, 0.75)
-        - stats.interpolated_quantile(values, 0.25),
-    }
-
-
 def all_statistics(
     activities: DataFrame, keys: Sequence[str] = ("contributor",), carry: Sequence[str] = ()
 ) -> DataFrame:
     """The four counts and all five statistics of all eight series, rounded to 3 digits."""
-    wide: dict[str, Column] = {}
+    columns = ["NA", "NT", "NOR", "round(ORR, 3) AS ORR"]
     for series in S.SERIES:
-        wide.update(summarise(series))
-    return account_series(activities, keys, carry).select(
-        *keys,
-        "NA",
-        "NT",
-        "NOR",
-        F.round("ORR", 3).alias("ORR"),
-        *[F.round(value, 3).alias(name) for name, value in wide.items()],
-        *carry,
-    )
+        wide = {
+            "mean": f"{series}_mean",
+            "median": stats.quantile(series, 0.5),
+            "std": f"{series}_std",
+            "gini": stats.gini(series, f"{series}_nonzero"),
+            "IQR": stats.iqr(series),
+        }
+        columns += [f"round({value}, 3) AS {series}_{stat}" for stat, value in wide.items()]
+    return account_series(activities, keys, carry).selectExpr(*keys, *columns, *carry)
 
 
 def extract_features(

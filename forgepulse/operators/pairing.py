@@ -1,252 +1,201 @@
 """Find events that merely accompany another event, so that nothing is counted twice.
 
-Every pairing looks at the nearest event of a chosen subset within the same account and
-repository. All of them use one and the same sort order, `lag ... IGNORE NULLS` skipping the
-rows outside the subset, so the whole chain costs a single sort and no join or shuffle beyond
-the one by account. The look is symmetric: a companion sees its main event and thereby knows
-that it is consumed, without any list of ids.
+A companion and its main event are neighbours within a group of events of one account and
+repository: releases with tags, issue closings with issue comments, and so on. An event belongs
+to at most one group per round, so `lag` and `lead` within the group answer a whole round of
+pairings at once. The look is symmetric: a companion sees its main event and thereby knows that
+it is consumed, without any list of ids, join or shuffle beyond the one by account.
+
+Round 1: release with tag, issue closing with comment, pull request reopening with comment, and
+merges with pushes. Round 2, among the comments left over: issue reopening, rejected pull request.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
-from forgepulse import schema as S
 from forgepulse.functions.times import END_OF_TIME, PAIR_TOLERANCE, close_in_time
 
-
-def is_true(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
-def kind_is(*kinds: str) -> Column:
-    return is_true(F.col("event_type").isin(*kinds))
-
-
-def issue_action(action: str) -> Column:
-    return kind_is(S.ISSUES) & is_true(F.col("action") == action)
-
-
-def pr_action(action: str) -> Column:
-    return kind_is(S.PULL_REQUEST) & is_true(F.col("action") == action)
-
-
-def create_of(ref_type: str) -> Column:
-    return kind_is(S.CREATE) & is_true(F.col("ref_type") == ref_type)
-
-
-def commented_review() -> Column:
-    return kind_is(S.REVIEW) & is_true(F.col("review_state") == "commented")
-
-
-class _Account:
-    """Window shorthands for one choice of account key columns."""
-
-    def __init__(self, keys: Sequence[str]):
-        self.keys = list(keys)
-
-    def anywhere(self, condition: Column) -> Column:
-        """Does the condition hold for some row of the account?"""
-        return F.max(is_true(condition)).over(Window.partitionBy(*self.keys))
-
-    def neighbour(self, link: str, steps: int) -> Column:
-        """The `steps`-th non-null `link` after (or, if negative, before) the row."""
-        keys = ", ".join(self.keys)
-        call = f"lead({link}, {steps})" if steps > 0 else f"lag({link}, {-steps})"
-        return F.expr(
-            f"{call} IGNORE NULLS OVER (PARTITION BY {keys}, repository ORDER BY sort_time, event_id)"
-        )
-
-    def nearby(self, flag: str) -> Column:
-        """Is the flag set on some event of the repository within the tolerance?"""
-        keys = ", ".join(self.keys)
-        return F.expr(
-            f"max({flag}) OVER (PARTITION BY {keys}, repository ORDER BY sort_time RANGE BETWEEN "
-            f"{PAIR_TOLERANCE} PRECEDING AND {PAIR_TOLERANCE} FOLLOWING)"
-        )
+# Parts an event can play in a pairing; 0 is none. Small numbers keep the rows narrow.
+RELEASE, TAG, ISSUE_CLOSED, ISSUE_REOPENED, ISSUE_COMMENT = 1, 2, 3, 4, 5
+PR_REOPENED, MERGE, REJECT, PR_COMMENT, PUSH, OTHER_COMMENT = 6, 7, 8, 9, 10, 11
+ROLE = f"""
+CASE event_type
+  WHEN 'ReleaseEvent' THEN {RELEASE}
+  WHEN 'PushEvent' THEN {PUSH}
+  WHEN 'CreateEvent' THEN CASE WHEN ref_type = 'tag' THEN {TAG} ELSE 0 END
+  WHEN 'IssuesEvent' THEN CASE action WHEN 'closed' THEN {ISSUE_CLOSED}
+                                      WHEN 'reopened' THEN {ISSUE_REOPENED} ELSE 0 END
+  WHEN 'IssueCommentEvent' THEN CASE WHEN issue_number IS NOT NULL THEN {ISSUE_COMMENT}
+                                     WHEN PR_number IS NOT NULL THEN {PR_COMMENT}
+                                     ELSE {OTHER_COMMENT} END
+  WHEN 'PullRequestEvent' THEN CASE WHEN action = 'reopened' THEN {PR_REOPENED}
+                                    WHEN action = 'closed' AND merged THEN {MERGE}
+                                    WHEN action = 'closed' AND NOT merged THEN {REJECT}
+                                    ELSE 0 END
+  ELSE 0
+END
+"""
+_COMMENTS = f"role IN ({ISSUE_COMMENT}, {PR_COMMENT}, {OTHER_COMMENT})"
+
+# Groups of each round; 0 takes part in nothing.
+GROUP_1 = f"""
+CASE WHEN role IN ({MERGE}, {PUSH}) THEN 4
+     WHEN repository IS NULL THEN 0
+     WHEN role IN ({RELEASE}, {TAG}) THEN 1
+     WHEN role IN ({ISSUE_CLOSED}, {ISSUE_COMMENT}) AND issue_number IS NOT NULL THEN 2
+     WHEN role IN ({PR_REOPENED}, {PR_COMMENT}) AND PR_number IS NOT NULL THEN 3
+     ELSE 0 END
+"""
+GROUP_2 = f"""
+CASE WHEN repository IS NULL THEN 0
+     WHEN role IN ({ISSUE_REOPENED}, {ISSUE_COMMENT}) AND issue_number IS NOT NULL
+          AND NOT taken_1 THEN 5
+     WHEN role IN ({REJECT}, {PR_COMMENT}) AND PR_number IS NOT NULL AND NOT taken_1 THEN 6
+     ELSE 0 END
+"""
+_MAIN = f"role NOT IN ({TAG}, {ISSUE_COMMENT}, {PR_COMMENT})"
 
 
-def _link(member: Column, **fields: Column) -> Column:
-    """A struct on rows of the subset, NULL on all others (and without repository)."""
-    shown = [F.col("event_id"), F.col("created_at")]
-    shown += [column.alias(name) for name, column in fields.items()]
-    return F.when(member & F.col("repository").isNotNull(), F.struct(*shown))
+def _link(group: str, stated: int, extra: str = "") -> str:
+    """What a neighbour has to know; `stated` is the group that also compares the state."""
+    number = "coalesce(issue_number, PR_number, 0)"
+    text = f"""CASE WHEN {group} = 1 THEN coalesce(tag_name, ref)
+                    WHEN {group} = {stated} THEN state ELSE '' END"""
+    return (
+        f"CASE WHEN {group} > 0 THEN struct({_MAIN} AS main, {number} AS number, {text} AS text, "
+        f"created_at AS at, event_id AS id{extra}) END"
+    )
 
 
-def _matches(mine: str, other: str, *equal: str, timed: bool = True) -> Column:
-    """Is the neighbour the other half of a pair: one main event, one companion, same fields?"""
-    a, b = F.col(mine), F.col(other)
-    hit = a["main"] != b["main"]
-    for field in equal:
-        hit = hit & (a[field] == b[field])
-    if timed:
-        hit = hit & close_in_time(a["created_at"], b["created_at"])
-    return is_true(hit)
+def _pair(left: str, right: str, timed: str = "true") -> str:
+    """Are these two neighbours main event and companion of the same thing?"""
+    return (
+        f"coalesce({left}.main != {right}.main AND {left}.number = {right}.number "
+        f"AND {left}.text = {right}.text AND ({timed}), false)"
+    )
 
 
 def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFrame:
     """Add pairing results and account-level gates to deduplicated flat events.
 
-    `keys` identify one account's event set. Added columns per pairing, for X in release, close,
-    reopen, pr_reopen, reject: `X_prev` and `X_next` (is the neighbour the other half?) and the
-    neighbours' ids `X_prev_id` and `X_next_id`; for merges and pushes `merge_push`. Each is false where the
-    account-level gate closes the whole step.
+    `keys` identify one account's event set. For round N in 1, 2: `prev_N` and `next_N` tell
+    whether the neighbour is the other half of a pair, `prev_N_id` and `next_N_id` name it. All
+    are false where an account-level gate closes the whole step.
     """
-    account = _Account(keys)
-    comment = kind_is(S.ISSUE_COMMENT)
-    on_issue, on_pr = F.col("issue_number").isNotNull(), F.col("PR_number").isNotNull()
-    closes, reopens = issue_action("closed"), issue_action("reopened")
-    pr_reopens, pr_closes = pr_action("reopened"), pr_action("closed")
-    merges = pr_closes & is_true(F.col("merged"))
-    rejects = pr_closes & is_true(~F.col("merged"))
-    release, tag, push = kind_is(S.RELEASE), create_of("tag"), kind_is(S.PUSH)
-
-    sortable = events.withColumns(
-        {
-            "sort_time": F.coalesce("created_at", F.expr(END_OF_TIME)),
-            "release_link": _link(
-                release | tag,
-                main=release,
-                name=F.when(release, F.col("tag_name")).otherwise(F.col("ref")),
-            ),
-            "close_link": _link(
-                (closes | comment) & on_issue,
-                main=closes,
-                number=F.col("issue_number"),
-                state=F.col("state"),
-            ),
-            "pr_reopen_link": _link(
-                (pr_reopens | comment) & on_pr, main=pr_reopens, number=F.col("PR_number")
-            ),
-            "is_merge": merges,
-            "is_push": push,
-        }
-    )
+    account = ", ".join(keys)
 
-    # First round: pairings that depend on no other pairing.
-    first = sortable.withColumns(
-        {
-            "release_p": account.neighbour("release_link", -1),
-            "release_n": account.neighbour("release_link", 1),
-            "release_n2": account.neighbour("release_link", 2),
-            "close_p": account.neighbour("close_link", -1),
-            "close_n": account.neighbour("close_link", 1),
-            "pr_reopen_p": account.neighbour("pr_reopen_link", -1),
-            "pr_reopen_n": account.neighbour("pr_reopen_link", 1),
-        }
-    )
-    # Merged pull requests and pushes pair many to many, which a range frame answers directly.
-    first = first.withColumns(
-        {"push_near": account.nearby("is_push"), "merge_near": account.nearby("is_merge")}
-    )
-    issue_routed = (
-        kind_is(S.ISSUES, S.ISSUE_COMMENT)
-        & F.col("PR_number").isNull()
-        & F.col("PR_node_id").isNull()
-    )
-    gated = first.withColumns(
-        {
-            "transfer_open": account.anywhere(issue_routed),
-            "close_open": account.anywhere(
-                (closes | comment) & F.col("issue_node_id").isNotNull()
-            )
-            & account.anywhere((closes | comment) & F.col("issue_closed_at").isNotNull()),
-            "pr_reopen_open": account.anywhere(
-                (pr_reopens | comment) & F.col("PR_node_id").isNotNull()
-            ),
-            "merged_known": account.anywhere(pr_closes & F.col("merged").isNotNull()),
-            "reviews_known": account.anywhere(kind_is(S.REVIEW)),
-            "review_comments_known": account.anywhere(kind_is(S.REVIEW_COMMENT)),
-        }
-    )
+    def in_group(call: str, group: str) -> str:
+        return (
+            f"{call} OVER (PARTITION BY {account}, repository, {group} "
+            "ORDER BY sort_time, event_id)"
+        )
 
-    prefers_next = _matches("release_link", "release_n", "name", timed=False)
-    next_prefers_its_next = _matches("release_n", "release_n2", "name", timed=False)
-    with_first = gated.withColumns(
-        {
-            # A release takes the tag after it if the names agree, however late, and only
-            # otherwise the one before it; a tag has to see that choice from its side.
-            "release_next": _matches("release_link", "release_n", "name")
-            & F.when(release, F.lit(True)).otherwise(~next_prefers_its_next),
-            "release_prev": _matches("release_link", "release_p", "name")
-            & F.when(release, ~prefers_next).otherwise(F.lit(True)),
-            "close_prev": F.col("close_open") & _matches("close_link", "close_p", "number", "state"),
-            "close_next": F.col("close_open") & _matches("close_link", "close_n", "number", "state"),
-            "pr_reopen_prev": F.col("pr_reopen_open")
-            & _matches("pr_reopen_link", "pr_reopen_p", "number"),
-            "pr_reopen_next": F.col("pr_reopen_open")
-            & _matches("pr_reopen_link", "pr_reopen_n", "number"),
-        }
-    )
+    def nearby(role: int) -> str:
+        return (
+            f"max(role = {role}) OVER (PARTITION BY {account}, repository, group_1 "
+            f"ORDER BY sort_time RANGE BETWEEN {PAIR_TOLERANCE} PRECEDING "
+            f"AND {PAIR_TOLERANCE} FOLLOWING)"
+        )
 
-    # Second round: what the first one left over.
-    left_by_close = comment & ~(F.col("close_prev") | F.col("close_next"))
-    left_by_pr_reopen = comment & ~(F.col("pr_reopen_prev") | F.col("pr_reopen_next"))
-    second = (
-        with_first.withColumns(
-            {
-                "reopen_link": _link(
-                    (reopens | left_by_close) & on_issue,
-                    main=reopens,
-                    number=F.col("issue_number"),
-                ),
-                "reject_link": _link(
-                    (rejects | left_by_pr_reopen) & on_pr,
-                    main=rejects,
-                    number=F.col("PR_number"),
-                    state=F.col("state"),
-                    node=F.col("comment_node_id"),
-                ),
-            }
+    def somewhere(condition: str) -> str:
+        return f"max(coalesce({condition}, false)) OVER (PARTITION BY {account})"
+
+    closing = f"(role = {ISSUE_CLOSED} OR {_COMMENTS})"
+    pr_closing = "event_type = 'PullRequestEvent' AND action = 'closed'"
+    round_1 = (
+        events.selectExpr("*", f"{ROLE} AS role", f"coalesce(created_at, {END_OF_TIME}) AS sort_time")
+        .selectExpr("*", f"{GROUP_1} AS group_1")
+        .selectExpr("*", f"{_link('group_1', 2)} AS link_1")
+        .selectExpr(
+            "*",
+            f"{in_group('lag(link_1)', 'group_1')} AS p_1",
+            f"{in_group('lead(link_1)', 'group_1')} AS n_1",
+            f"{in_group('lead(link_1, 2)', 'group_1')} AS n2_1",
         )
-        .withColumns(
-            {
-                "reopen_p": account.neighbour("reopen_link", -1),
-                "reopen_n": account.neighbour("reopen_link", 1),
-                "reject_p": account.neighbour("reject_link", -1),
-                "reject_n": account.neighbour("reject_link", 1),
-            }
+        # Merges and pushes pair many to many, which a range frame answers directly.
+        .selectExpr("*", f"{nearby(PUSH)} AS push_near", f"{nearby(MERGE)} AS merge_near")
+        .selectExpr(
+            "*",
+            somewhere(
+                "event_type IN ('IssuesEvent', 'IssueCommentEvent') "
+                "AND PR_number IS NULL AND PR_node_id IS NULL"
+            )
+            + " AS transfer_open",
+            f"{somewhere(f'{closing} AND issue_node_id IS NOT NULL')} AND "
+            f"{somewhere(f'{closing} AND issue_closed_at IS NOT NULL')} AS close_open",
+            somewhere(f"(role = {PR_REOPENED} OR {_COMMENTS}) AND PR_node_id IS NOT NULL")
+            + " AS pr_reopen_open",
+            somewhere(f"{pr_closing} AND merged IS NOT NULL") + " AS merged_known",
+            somewhere("event_type = 'PullRequestReviewEvent'") + " AS reviews_known",
+            somewhere("event_type = 'PullRequestReviewCommentEvent'") + " AS review_comments_known",
         )
-        .withColumns(
-            {
-                "reopen_open": account.anywhere(
-                    (reopens | left_by_close) & F.col("issue_node_id").isNotNull()
-                ),
-                "pr_close_open": F.col("merged_known")
-                & account.anywhere(
-                    (pr_closes | left_by_pr_reopen) & F.col("PR_node_id").isNotNull()
-                ),
-            }
+    )
+    # A release takes the tag after it if the names agree, however late, and only otherwise the
+    # one before it; a tag has to see that choice from its side.
+    gate_1 = """CASE group_1 WHEN 1 THEN true WHEN 2 THEN close_open
+                             WHEN 3 THEN pr_reopen_open ELSE false END"""
+    rival_of_next = f"group_1 = 1 AND role = {TAG} AND {_pair('n_1', 'n2_1')}"
+    rival_of_prev = f"group_1 = 1 AND role = {RELEASE} AND {_pair('link_1', 'n_1')}"
+    near_next = close_in_time("link_1.at", "n_1.at")
+    near_prev = close_in_time("link_1.at", "p_1.at")
+    taken_1 = (
+        round_1.selectExpr(
+            "*",
+            f"{gate_1} AND {_pair('link_1', 'n_1', near_next)} AND NOT ({rival_of_next}) AS next_1",
+            f"{gate_1} AND {_pair('link_1', 'p_1', near_prev)} AND NOT ({rival_of_prev}) AS prev_1",
+        )
+        .selectExpr(
+            "* EXCEPT (link_1, p_1, n_1, n2_1)",
+            "prev_1 OR next_1 AS taken_1",
+            "p_1.id AS prev_1_id",
+            "n_1.id AS next_1_id",
         )
     )
-    resolved = second.withColumns(
-        {
-            "reopen_prev": F.col("reopen_open") & _matches("reopen_link", "reopen_p", "number"),
-            "reopen_next": F.col("reopen_open") & _matches("reopen_link", "reopen_n", "number"),
-            "reject_prev": F.col("pr_close_open")
-            & _matches("reject_link", "reject_p", "number", "state", timed=False),
-            "reject_next": F.col("pr_close_open")
-            & _matches("reject_link", "reject_n", "number", "state", timed=False),
-            "merge_push": F.col("pr_close_open")
-            & F.col("created_at").isNotNull()
-            & is_true(
-                F.when(merges, F.col("push_near")).when(push, F.col("merge_near"))
-            ),
-        }
+    round_2 = (
+        taken_1.selectExpr("*", f"{GROUP_2} AS group_2")
+        .selectExpr("*", f"{_link('group_2', 6, ', comment_node_id AS node')} AS link_2")
+        .selectExpr(
+            "*",
+            f"{in_group('lag(link_2)', 'group_2')} AS p_2",
+            f"{in_group('lead(link_2)', 'group_2')} AS n_2",
+        )
+        .selectExpr(
+            "*",
+            somewhere(
+                f"(role = {ISSUE_REOPENED} OR {_COMMENTS} AND NOT taken_1) "
+                "AND issue_node_id IS NOT NULL"
+            )
+            + " AS reopen_open",
+            "merged_known AND "
+            + somewhere(
+                f"({pr_closing} OR {_COMMENTS} AND NOT taken_1) AND PR_node_id IS NOT NULL"
+            )
+            + " AS pr_close_open",
+        )
     )
-    names = ["release", "close", "reopen", "pr_reopen", "reject"]
-    partner_ids = {
-        f"{name}_{side}_id": F.col(f"{name}_{side[0]}")["event_id"]
-        for name in names
-        for side in ("prev", "next")
-    }
-    comment_nodes = {
-        "reject_prev_node": F.col("reject_p")["node"],
-        "reject_next_node": F.col("reject_n")["node"],
-    }
-    scratch = [f"{name}_{part}" for name in names for part in ("link", "p", "n")]
-    return resolved.withColumns({**partner_ids, **comment_nodes}).drop(
-        *scratch, "release_n2", "push_near", "merge_near", "is_merge", "is_push", "merged_known"
+    gate_2 = "CASE group_2 WHEN 5 THEN reopen_open WHEN 6 THEN pr_close_open ELSE false END"
+
+    def timed_2(other: str) -> str:
+        return f"group_2 = 6 OR {close_in_time('link_2.at', f'{other}.at')}"
+
+    return (
+        round_2.selectExpr(
+            "*",
+            f"{gate_2} AND {_pair('link_2', 'n_2', timed_2('n_2'))} AS next_2",
+            f"{gate_2} AND {_pair('link_2', 'p_2', timed_2('p_2'))} AS prev_2",
+            f"""coalesce(pr_close_open AND created_at IS NOT NULL
+                        AND CASE role WHEN {MERGE} THEN push_near
+                                      WHEN {PUSH} THEN merge_near END, false) AS merge_push""",
+        )
+        .selectExpr(
+            "* EXCEPT (link_2, p_2, n_2, push_near, merge_near, merged_known)",
+            "prev_2 OR next_2 AS taken_2",
+            "p_2.id AS prev_2_id",
+            "n_2.id AS next_2_id",
+            "p_2.node AS prev_2_node",
+            "n_2.node AS next_2_node",
+        )
     )

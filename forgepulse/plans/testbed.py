@@ -1,162 +1,120 @@
 """Code-hosting events derived from the `events` table, to exercise every operator.
 
 One deterministic mapping by event number: each source event becomes a primary event and, for
-some kinds, a companion a few seconds away. The same mapping is written as SQL in
+some kinds, a companion a few seconds away. The mapping is also written as SQL for the oracle in
 `forgepulse.plans.oracle`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from forgepulse import schema as S
 from forgepulse.operators.extract import flatten_events
 
-WITH_COMPANION = (2, 15, 16, 18, 22, 24, 26)
-
 # Kind of the primary event by event number modulo 40.
-PRIMARY_TYPE = {
-    S.CREATE: (0, 1, 4),
-    S.RELEASE: (2, 3),
-    S.DELETE: (5, 6),
-    S.PUBLIC: (7,),
-    S.MEMBER: (8,),
-    S.FORK: (9,),
-    S.WATCH: (10,),
-    S.WIKI: (11,),
-    S.ISSUES: (12, 13, 14, 15, 16, 17, 18, 19, 39),
-    S.ISSUE_COMMENT: (20, 29),
-    S.PULL_REQUEST: (21, 22, 23, 24, 25, 26, 27, 28),
-    S.REVIEW_COMMENT: (30,),
-    S.REVIEW: (31, 32, 33),
-    S.COMMIT_COMMENT: (34,),
-    S.PUSH: (35, 36, 37, 38),
-}
-
-
-def _lookup(number: Column, table: dict[str, tuple[int, ...]], default: str | None = None) -> Column:
-    result = F.lit(default)
-    for value, numbers in table.items():
-        result = F.when(number.isin(*numbers), value).otherwise(result)
-    return result
+_PRIMARY_TYPE = """
+CASE WHEN m IN (0, 1, 4) THEN 'CreateEvent'
+     WHEN m IN (2, 3) THEN 'ReleaseEvent'
+     WHEN m IN (5, 6) THEN 'DeleteEvent'
+     WHEN m = 7 THEN 'PublicEvent'
+     WHEN m = 8 THEN 'MemberEvent'
+     WHEN m = 9 THEN 'ForkEvent'
+     WHEN m = 10 THEN 'WatchEvent'
+     WHEN m = 11 THEN 'GollumEvent'
+     WHEN m BETWEEN 12 AND 19 OR m = 39 THEN 'IssuesEvent'
+     WHEN m IN (20, 29) THEN 'IssueCommentEvent'
+     WHEN m BETWEEN 21 AND 28 THEN 'PullRequestEvent'
+     WHEN m = 30 THEN 'PullRequestReviewCommentEvent'
+     WHEN m BETWEEN 31 AND 33 AND u % 10 != 0 THEN 'PullRequestReviewEvent'
+     WHEN m = 34 THEN 'CommitCommentEvent'
+     ELSE 'PushEvent' END
+"""
+_COMPANION_TYPE = (
+    "CASE m WHEN 2 THEN 'CreateEvent' WHEN 24 THEN 'PushEvent' ELSE 'IssueCommentEvent' END"
+)
+_ISO = "\"yyyy-MM-dd'T'HH:mm:ss'Z'\""
+_PR_FAMILY = (
+    "type IN ('PullRequestEvent', 'PullRequestReviewEvent', 'PullRequestReviewCommentEvent')"
+)
+_ACTION = f"""
+CASE WHEN type = 'IssuesEvent' THEN
+       CASE WHEN m <= 14 THEN 'opened' WHEN m <= 17 THEN 'closed' WHEN m <= 19 THEN 'reopened'
+            ELSE 'labeled' END
+     WHEN type = 'PullRequestEvent' THEN
+       CASE WHEN m = 21 THEN 'opened' WHEN m <= 23 THEN 'reopened' ELSE 'closed' END
+     WHEN {_PR_FAMILY} OR type = 'IssueCommentEvent' THEN 'created' END
+"""
+_ON_PR = "m IN (22, 26, 29)"
+_ITEM_CLOSED = "(m IN (15, 17, 26) OR m = 16 AND companion = 0)"
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested events in the shape of the archive."""
-    i, u, m, companion = F.col("i"), F.col("u"), F.col("m"), F.col("companion") == 1
-    source = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("i"),
-        F.col("user_id").alias("u"),
-        (F.col("event_id") % 40).alias("m"),
-        (F.floor(F.col("event_id") / 40) % 7 - 3).alias("d"),
-        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("t"),
-    )
-    roles = source.withColumn(
-        "companion",
-        F.explode(
-            F.when(m.isin(*WITH_COMPANION), F.array(F.lit(0), F.lit(1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    ).withColumn(
-        "copy",
-        F.explode(
-            F.when(i % 97 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    review_becomes_push = m.isin(31, 32, 33) & (u % 10 == 0)
-    number_text = i.cast("string")
-    delay = F.when(companion, F.when(m == 26, F.col("d") * 1000).otherwise(F.col("d"))).otherwise(0)
-    at = F.timestamp_seconds(F.unix_timestamp("t") + delay)
-    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    primary_type = F.when(review_becomes_push, S.PUSH).otherwise(_lookup(m, PRIMARY_TYPE))
-    companion_type = (
-        F.when(m == 2, S.CREATE).when(m == 24, S.PUSH).otherwise(F.lit(S.ISSUE_COMMENT))
-    )
-    typed = roles.select(
-        "i",
-        "u",
-        "m",
-        "t",
-        "companion",
-        (i * 2 + F.col("companion")).alias("number"),
-        F.when(companion, companion_type).otherwise(primary_type).alias("type"),
-        F.date_format(at, iso).alias("created_at"),
-        F.concat(
-            F.lit("org"), ((u + i) % 5).cast("string"), F.lit("/repo"), (i % 3).cast("string")
-        ).alias("repository"),
-    )
-    kind, event_number = F.col("type"), F.col("number")
-    on_pr = m.isin(22, 26, 29)
-    pr_family = kind.isin(S.PULL_REQUEST, S.REVIEW, S.REVIEW_COMMENT)
-    issue_family = kind.isin(S.ISSUES, S.ISSUE_COMMENT)
-    closed_item = m.isin(15, 17, 26) | ((m == 16) & ~companion)
-    closed_at = F.when(closed_item | (m == 13), F.date_format("t", iso))
-
-    def named(prefix: str) -> Column:
-        return F.concat(F.lit(prefix), number_text)
-
-    action = (
-        F.when(
-            kind == S.ISSUES,
-            _lookup(m, {"opened": (12, 13, 14), "closed": (15, 16, 17), "reopened": (18, 19), "labeled": (39,)}),
+    typed = (
+        spark.read.parquet(f"{sf_dir}/events.parquet")
+        .selectExpr(
+            "event_id AS i",
+            "user_id AS u",
+            "event_id % 40 AS m",
+            "event_id DIV 40 % 7 - 3 AS d",
+            "CAST(date_trunc('second', ts) AS timestamp_ntz) AS t",
         )
-        .when(
-            kind == S.PULL_REQUEST,
-            _lookup(m, {"opened": (21,), "reopened": (22, 23), "closed": (24, 25, 26, 27, 28)}),
+        .selectExpr(
+            "*",
+            "explode(CASE WHEN m IN (2, 15, 16, 18, 22, 24, 26) THEN array(0, 1) ELSE array(0) END)"
+            " AS companion",
+        )
+        .selectExpr(
+            "*", "explode(CASE WHEN i % 97 = 0 THEN array(0, 1) ELSE array(0) END) AS copy"
+        )
+        .selectExpr(
+            "i",
+            "u",
+            "m",
+            "companion",
+            "i * 2 + companion AS number",
+            f"CASE WHEN companion = 1 THEN {_COMPANION_TYPE} ELSE {_PRIMARY_TYPE} END AS type",
+            "t + make_dt_interval(0, 0, 0, companion * d * CASE m WHEN 26 THEN 1000 ELSE 1 END)"
+            " AS at",
+            "t",
+            "concat('org', (u + i) % 5, '/repo', i % 3) AS repository",
         )
-        .when(pr_family | issue_family, "created")
-    )
-    ref_type = F.when(companion, "tag").otherwise(
-        _lookup(m, {"repository": (0,), "branch": (1, 6), "tag": (4, 5)})
-    )
-    ref = F.when(companion, named("v")).otherwise(
-        F.when(m.isin(1, 6), named("b")).when(m.isin(4, 5), named("v"))
-    )
-    payload = F.struct(
-        F.when(kind == S.PUSH, event_number).alias("push_id"),
-        action.alias("action"),
-        ref.alias("ref"),
-        ref_type.alias("ref_type"),
-        F.when(
-            pr_family,
-            F.struct(
-                i.alias("number"),
-                F.when(m.between(24, 28), "closed").otherwise("open").alias("state"),
-                named("PR_").alias("node_id"),
-                F.when(m.isin(24, 25), True).when(m != 28, False).alias("merged"),
-            ),
-        ).alias("pull_request"),
-        F.when(
-            issue_family,
-            F.struct(
-                i.alias("number"),
-                F.when(closed_item, "closed").otherwise("open").alias("state"),
-                F.when(on_pr, named("PR_")).otherwise(named("I_")).alias("node_id"),
-                F.concat(
-                    F.lit("https://host/"),
-                    F.col("repository"),
-                    F.when(on_pr, "/pull/").otherwise("/issues/"),
-                    number_text,
-                ).alias("html_url"),
-                closed_at.alias("closed_at"),
-                F.when(m == 12, 2).when(m.isin(13, 14), 0).otherwise(1).cast("bigint").alias("comments"),
-            ),
-        ).alias("issue"),
-        F.struct(F.concat(F.lit("C_"), event_number.cast("string")).alias("node_id")).alias("comment"),
-        F.struct(
-            F.when(m == 31, "commented").when(m == 32, "approved").otherwise("changes_requested").alias("state"),
-            named("R_").alias("node_id"),
-        ).alias("review"),
-        F.struct(named("v").alias("tag_name"), named("REL_").alias("node_id")).alias("release"),
     )
-    return typed.select(
-        event_number.cast("string").alias("id"),
+    payload = f"""struct(
+        CASE WHEN type = 'PushEvent' THEN number END AS push_id,
+        {_ACTION} AS action,
+        CASE WHEN companion = 1 OR m IN (4, 5) THEN concat('v', i)
+             WHEN m IN (1, 6) THEN concat('b', i) END AS ref,
+        CASE WHEN companion = 1 OR m IN (4, 5) THEN 'tag' WHEN m IN (1, 6) THEN 'branch'
+             WHEN m = 0 THEN 'repository' END AS ref_type,
+        CASE WHEN {_PR_FAMILY} THEN struct(
+            i AS number,
+            CASE WHEN m BETWEEN 24 AND 28 THEN 'closed' ELSE 'open' END AS state,
+            concat('PR_', i) AS node_id,
+            CASE WHEN m IN (24, 25) THEN true WHEN m != 28 THEN false END AS merged)
+        END AS pull_request,
+        CASE WHEN type IN ('IssuesEvent', 'IssueCommentEvent') THEN struct(
+            i AS number,
+            CASE WHEN {_ITEM_CLOSED} THEN 'closed' ELSE 'open' END AS state,
+            concat(CASE WHEN {_ON_PR} THEN 'PR_' ELSE 'I_' END, i) AS node_id,
+            concat('https://host/', repository,
+                   CASE WHEN {_ON_PR} THEN '/pull/' ELSE '/issues/' END, i) AS html_url,
+            CASE WHEN {_ITEM_CLOSED} OR m = 13 THEN date_format(t, {_ISO}) END AS closed_at,
+            CASE WHEN m = 12 THEN 2L WHEN m IN (13, 14) THEN 0L ELSE 1L END AS comments)
+        END AS issue,
+        struct(concat('C_', number) AS node_id) AS comment,
+        struct(CASE m WHEN 31 THEN 'commented' WHEN 32 THEN 'approved'
+                      ELSE 'changes_requested' END AS state,
+               concat('R_', i) AS node_id) AS review,
+        struct(concat('v', i) AS tag_name, concat('REL_', i) AS node_id) AS release
+    )"""
+    return typed.selectExpr(
+        "CAST(number AS string) AS id",
         "type",
-        "created_at",
-        F.struct(F.concat(F.lit("user"), u.cast("string")).alias("login")).alias("actor"),
-        F.struct(F.col("repository").alias("name")).alias("repo"),
-        payload.alias("payload"),
+        f"date_format(at, {_ISO}) AS created_at",
+        "struct(concat('user', u) AS login) AS actor",
+        "struct(repository AS name) AS repo",
+        f"{payload} AS payload",
     )
 
 
@@ -167,12 +125,20 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One declaration per account of the derived events."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
-    remainder = F.col("user_id") % 15
-    return users.select(
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("login"),
-        F.when(remainder == 1, "Bot")
-        .when(remainder == 2, "Organization")
-        .when(remainder != 3, "User")
-        .alias("declared_type"),
-        (remainder == 3).alias("lookup_failed"),
+    return users.selectExpr(
+        "concat('user', user_id) AS login",
+        "CASE user_id % 15 WHEN 1 THEN 'Bot' WHEN 2 THEN 'Organization' WHEN 3 THEN NULL "
+        "ELSE 'User' END AS declared_type",
+        "user_id % 15 = 3 AS lookup_failed",
     )
+
+
+# A fixed logistic formula in place of a trained model, so that SQL can reproduce the verdicts.
+FIXED_SCORE_SQL = (
+    "1.0 / (1.0 + exp(-(3.0 * coalesce(NAR_gini, 0.0) - 0.15 * NT + 0.02 * NA"
+    " + 0.08 * coalesce(DCA_median, 0.0))))"
+)
+
+
+def fixed_score(features: DataFrame) -> DataFrame:
+    return features.selectExpr("*", f"{FIXED_SCORE_SQL} AS p_bot")

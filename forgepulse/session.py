@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# HotSpot does not compile methods above 8,000 bytes of bytecode, while Spark generates code up
+# to 65,535 bytes into one method. The wide projections here run several times faster when Spark
+# falls back to the split form instead.
+RUNTIME_SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
 
-def build_session(app_name: str = "forgepulse", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with AQE on and UTC as zone; `conf` keys use `__` for dots."""
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-    )
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to an existing session."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def build_session(
+    app_name: str = "forgepulse", master: str | None = None, **conf: str
+) -> SparkSession:
+    """A session with AQE on and the runtime settings; `conf` keys use `__` for dots."""
+    builder = SparkSession.builder.appName(app_name).config("spark.sql.adaptive.enabled", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
