@@ -40,3 +40,8 @@ def array_std(values: str, mean: str) -> str:
     """Sample standard deviation; 0 when fewer than two values leave it undefined."""
     squares = f"aggregate({values}, 0D, (acc, x) -> acc + (x - {mean}) * (x - {mean}))"
     return f"CASE WHEN size({values}) > 1 THEN sqrt({squares} / (size({values}) - 1)) ELSE 0D END"
+
+
+def rounded(value: str) -> str:
+    """Three digits, ties to even on the scaled value, as numerical Python libraries round."""
+    return f"rint(({value}) * 1000D) / 1000D"

@@ -162,7 +162,7 @@ def all_statistics(
     activities: DataFrame, keys: Sequence[str] = ("contributor",), carry: Sequence[str] = ()
 ) -> DataFrame:
     """The four counts and all five statistics of all eight series, rounded to 3 digits."""
-    columns = ["NA", "NT", "NOR", "round(ORR, 3) AS ORR"]
+    columns = ["NA", "NT", "NOR", f"{stats.rounded('ORR')} AS ORR"]
     for series in S.SERIES:
         wide = {
             "mean": f"{series}_mean",
@@ -171,7 +171,7 @@ def all_statistics(
             "gini": stats.gini(series, f"{series}_nonzero"),
             "IQR": stats.iqr(series),
         }
-        columns += [f"round({value}, 3) AS {series}_{stat}" for stat, value in wide.items()]
+        columns += [f"{stats.rounded(value)} AS {series}_{stat}" for stat, value in wide.items()]
     return account_series(activities, keys, carry).selectExpr(*keys, *columns, *carry)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from forgepulse import schema as S
+from forgepulse.functions.stats import rounded
 
 TYPE_OF_SCORE = "CASE WHEN p_bot <= 0.5 THEN 'Human' WHEN p_bot > 0.5 THEN 'Bot' END"
-CONFIDENCE_OF_SCORE = "round(abs(p_bot - 0.5) * 2, 3)"
+CONFIDENCE_OF_SCORE = rounded("abs(p_bot - 0.5) * 2")
 
 _UNDECLARED = "(lookup_failed OR declared_type IS NULL)"
 _DECLARED_OTHER = "declared_type != 'User'"

@@ -254,7 +254,7 @@ _register_statistics("gini", [f"{s}_gini" for s in S.SERIES])
 def _register_runs(name: str, query: Callable[[DataFrame], DataFrame], column: str) -> None:
     spark_columns = [
         "contributor", "run_id", column, "activities", "first_time", "last_time",
-        "round(time_spent, 3) AS time_spent", "round(time_to_switch, 3) AS time_to_switch",
+        "time_spent", "time_to_switch",
     ]
     _register(
         name,

@@ -395,11 +395,15 @@ basics AS (
 """
 
 
+def _rounded(value: str) -> str:
+    return f"round_even(({value}) * 1000, 0) / 1000"
+
+
 def _statistic(series: str, stat: str) -> str:
     value = f"max(CASE WHEN metric = '{series}' THEN {stat} END)"
     if stat in ("gini", "std"):
         value = f"coalesce({value}, 0)"
-    return f"round({value}, 3) AS {series}_{stat}"
+    return f"{_rounded(value)} AS {series}_{stat}"
 
 
 _ALL_STATISTICS = f"""
@@ -407,7 +411,7 @@ wide AS (
   SELECT contributor, {', '.join(_statistic(s, stat) for s in S.SERIES for stat in S.STATISTICS)}
   FROM summaries LEFT JOIN ginis USING (contributor, metric) GROUP BY contributor),
 statistics AS (
-  SELECT b.contributor, b.NA, b.NT, b.NOR, round(b.ORR, 3) AS ORR, w.* EXCLUDE (contributor)
+  SELECT b.contributor, b.NA, b.NT, b.NOR, {_rounded('b.ORR')} AS ORR, w.* EXCLUDE (contributor)
   FROM basics b JOIN wide w USING (contributor))
 """
 
@@ -428,7 +432,7 @@ def feature_parts(max_events: int = 300, flat: str = FLAT) -> list[str]:
 
 _VERDICT = """
 CASE WHEN p_bot <= 0.5 THEN 'Human' ELSE 'Bot' END"""
-_CONFIDENCE = "round(abs(p_bot - 0.5) * 2, 3)"
+_CONFIDENCE = _rounded("abs(p_bot - 0.5) * 2")
 
 
 def fixed_verdicts() -> str:
