@@ -334,6 +334,30 @@ def _train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["train_score_gbt"] = _train_score
 
 
+def _classify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run the stream over the files there are, then read the verdicts it left."""
+    from forgepulse.operators.extract import flatten_events
+    from forgepulse.streaming import classify
+
+    folder = classify.shared_folder(spark, "classify-stream")
+    stream = classify.classify_stream(
+        flatten_events(testbed.stream_raw_events(spark, sf_dir)),
+        testbed.accounts(spark, sf_dir),
+        testbed.fixed_score,
+        output=f"{folder}/verdicts",
+        checkpoint=f"{folder}/checkpoint",
+        min_events=MIN_EVENTS,
+        availableNow=True,
+    )
+    stream.awaitTermination()
+    return classify.current_verdicts(spark, f"{folder}/verdicts")
+
+
+_QUERIES["classify_stream"] = _classify_stream
+# The stream drops repeated events on arrival, so it counts them once.
+_SQL["classify_stream"] = O.fixed_classification(MIN_EVENTS, counted="ev")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -443,7 +443,7 @@ def fixed_verdicts() -> str:
     )
 
 
-def fixed_classification(min_events: int) -> str:
+def fixed_classification(min_events: int, counted: str = "ranked") -> str:
     kept = ", ".join(f"s.{f}" for f in S.FEATURES)
     features = ", ".join(
         f"CASE WHEN declared_type = 'User' AND NOT lookup_failed THEN {f} END AS {f}"
@@ -462,7 +462,7 @@ def fixed_classification(min_events: int) -> str:
                THEN coalesce(events, 0) END AS events, {features}
         FROM accounts LEFT JOIN (
           SELECT s.contributor AS login, n.events, {kept}, {FIXED_SCORE_SQL} AS p_bot
-          FROM statistics s JOIN (SELECT login, count(*) AS events FROM ranked GROUP BY login) n
+          FROM statistics s JOIN (SELECT login, count(*) AS events FROM {counted} GROUP BY login) n
             ON n.login = s.contributor) USING (login)""",
         ACCOUNTS,
         *feature_parts(),

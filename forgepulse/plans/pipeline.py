@@ -60,15 +60,18 @@ def accounts_for(logins: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
+def users_among(accounts: DataFrame) -> DataFrame:
+    """Logins whose type only a model can tell."""
+    return accounts.filter("NOT lookup_failed AND declared_type = 'User'").select("login").distinct()
+
+
 def _latest_of_users(accounts: DataFrame, flat: DataFrame, max_events: int) -> DataFrame:
     """Newest events of the accounts that need a model, that is, those declared `User`.
 
     A short list filters events before the shuffle. A long one is joined after the limit, where
     the events already lie partitioned by login and no account has more than `max_events` rows.
     """
-    users = (
-        accounts.filter("NOT lookup_failed AND declared_type = 'User'").select("login").distinct()
-    )
+    users = users_among(accounts)
     if estimated_bytes(users) <= BROADCAST_BYTES:
         flat = flat.join(F.broadcast(users), "login", "left_semi")
         return count_events(latest_events(flat, max_events))

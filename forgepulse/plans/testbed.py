@@ -50,9 +50,19 @@ _ITEM_CLOSED = "(m IN (15, 17, 26) OR m = 16 AND companion = 0)"
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested events in the shape of the archive."""
+    return derive(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def stream_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    return derive(files.option("maxFilesPerTrigger", 8).parquet(sf_dir))
+
+
+def derive(source: DataFrame) -> DataFrame:
     typed = (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .selectExpr(
+        source.selectExpr(
             "event_id AS i",
             "user_id AS u",
             "event_id % 40 AS m",
