@@ -83,7 +83,7 @@ def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -
             f"dense_rank() OVER {in_repository} AS types_in_repo",
             f"lead(activity_ord) OVER {in_repository} IS NULL AND repository IS NOT NULL AS repo_ends",
         )
-        .selectExpr("*", f"{epoch_micros('date')} AS at", "get(split(repository, '/'), 0) AS owner")
+        .selectExpr("*", f"{epoch_micros('date')} AS at", "substring_index(repository, '/', 1) AS owner")
         .selectExpr(
             "*",
             f"row_number() OVER {by_time} AS position",

@@ -33,3 +33,8 @@ def render_results(results: DataFrame, rows: int = 20) -> None:
 def with_date_text(activities: DataFrame) -> DataFrame:
     """Activities with `date` as ISO text with UTC offset, for text sinks."""
     return activities.selectExpr("* EXCEPT (date)", f"{time_text('date')} AS date")
+
+
+def in_input_order(results: DataFrame) -> DataFrame:
+    """Results in the order in which the logins were given, repeats included."""
+    return results.orderBy("input_pos").drop("input_pos")

@@ -48,8 +48,10 @@ def stream_latest_events(
     """
     known = flat.filter("login IS NOT NULL")
     if late_by is not None:
-        known = known.withWatermark("created_at", late_by).dropDuplicatesWithinWatermark(
-            ["login", "event_id"]
+        known = (
+            known.selectExpr("*", "CAST(created_at AS timestamp) AS event_time")
+            .withWatermark("event_time", late_by)
+            .dropDuplicatesWithinWatermark(["login", "event_id"])
         )
     compact = known.selectExpr(
         "login",
