@@ -8,16 +8,24 @@ from __future__ import annotations
 
 
 def quantile(ordered: str, q: float) -> str:
-    """Quantile with linear interpolation; NULL for an empty array."""
+    """Quantile with linear interpolation; NULL for an empty array.
+
+    The upper half of an interval is interpolated downwards, as numerical Python libraries do, so
+    that values on a rounding boundary come out the same.
+    """
     position = f"(size({ordered}) - 1) * {q}D"
     below = f"CAST(floor({position}) AS int)"
+    part = f"({position} - {below})"
     low = f"get({ordered}, {below})"
     high = f"coalesce(get({ordered}, {below} + 1), {low})"
-    return f"({low} + ({high} - {low}) * ({position} - {below}))"
+    return (
+        f"CASE WHEN {part} < 0.5D THEN {low} + ({high} - {low}) * {part} "
+        f"ELSE {high} - ({high} - {low}) * (1 - {part}) END"
+    )
 
 
 def iqr(ordered: str) -> str:
-    return f"({quantile(ordered, 0.75)} - {quantile(ordered, 0.25)})"
+    return f"(({quantile(ordered, 0.75)}) - ({quantile(ordered, 0.25)}))"
 
 
 def gini(ordered: str, nonzero: str) -> str:

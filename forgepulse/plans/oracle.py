@@ -359,6 +359,19 @@ def _runs(name: str, column: str, counted: str) -> str:
                AS next_first_time FROM {name}_blocks))"""
 
 
+
+def _quantile(q: float) -> str:
+    """Linear interpolation, from the nearer end of the interval."""
+    position = f"((n - 1) * CAST({q} AS DOUBLE))"
+    below = f"CAST(floor({position}) AS BIGINT)"
+    low, high = f"xs[{below} + 1]", f"xs[least({below} + 2, n)]"
+    part = f"({position} - {below})"
+    return (
+        f"CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part} "
+        f"ELSE {high} - ({high} - {low}) * (1 - {part}) END"
+    )
+
+
 _SERIES = f"""
 series AS (
   SELECT contributor, 'DCA' AS metric, {_HOURS.format(
@@ -381,11 +394,14 @@ gini_ranked AS (
 ginis AS (
   SELECT contributor, metric, sum((2 * i - n - 1) * x) / (max(n) * sum(x)) AS gini
   FROM gini_ranked GROUP BY contributor, metric),
-summaries AS (
-  SELECT contributor, metric, avg(x) AS mean, quantile_cont(x, 0.5) AS median,
-         coalesce(stddev_samp(x), 0) AS std,
-         quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS IQR
+collected AS (
+  SELECT contributor, metric, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS std,
+         list(CAST(x AS DOUBLE) ORDER BY x) FILTER (x IS NOT NULL) AS xs, count(x) AS n
   FROM series GROUP BY contributor, metric),
+summaries AS (
+  SELECT contributor, metric, mean, std, {_quantile(0.5)} AS median,
+         ({_quantile(0.75)}) - ({_quantile(0.25)}) AS IQR
+  FROM collected),
 basics AS (
   SELECT contributor, count(activity) AS NA, count(DISTINCT activity) AS NT,
          count(DISTINCT split_part(repository, '/', 1)) AS NOR,
