@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame
 
 from forgepulse import schema as S
 from forgepulse.operators.pairing import (
-    ISSUE_CLOSED,
+    COMMENTED_REVIEW,
     ISSUE_COMMENT,
-    ISSUE_REOPENED,
     MERGE,
     PR_COMMENT,
-    PR_REOPENED,
     PUSH,
-    REJECT,
     TAG,
     resolve_pairs,
 )
@@ -29,71 +26,51 @@ CASE WHEN role = {TAG} AND taken_1 THEN 3
      WHEN role = {PR_COMMENT} AND taken_2 THEN 19
      WHEN role = {PUSH} AND merge_push THEN 19
      -- where review comments are reported, they stand for the commented reviews
-     WHEN review_comments_known AND event_type = 'PullRequestReviewEvent'
-          AND review_state = 'commented' THEN 21 END
+     WHEN review_comments_known AND candidate = {COMMENTED_REVIEW} THEN 21 END
 """
 
-_OPENED = "event_type = 'IssuesEvent' AND action = 'opened'"
-_TRANSFERRED = (
-    "coalesce(transfer_open AND (num_comments > 0 OR issue_closed_at IS NOT NULL), false)"
-)
-_COMMENTED = "event_type = 'PullRequestReviewEvent' AND review_state <=> 'commented'"
+_FREE = "NOT taken_1 AND NOT taken_2"
 
 # Condition of each activity by number; on one event at most one of them holds.
-RULES = {
-    1: "event_type = 'CreateEvent' AND ref_type = 'repository'",
-    2: "event_type = 'CreateEvent' AND ref_type = 'branch'",
-    3: "event_type = 'ReleaseEvent'",
-    4: "event_type = 'CreateEvent' AND ref_type = 'tag' AND NOT taken_1",
-    5: "event_type = 'DeleteEvent' AND ref_type = 'tag'",
-    6: "event_type = 'DeleteEvent' AND ref_type = 'branch'",
-    7: "event_type = 'PublicEvent'",
-    8: "event_type = 'MemberEvent'",
-    9: "event_type = 'ForkEvent'",
-    10: "event_type = 'WatchEvent'",
-    11: "event_type = 'GollumEvent'",
-    12: f"{_OPENED} AND {_TRANSFERRED}",
-    13: f"{_OPENED} AND NOT {_TRANSFERRED}",
-    14: f"role = {ISSUE_CLOSED} AND close_open",
-    15: f"role = {ISSUE_REOPENED} AND reopen_open",
-    16: f"role = {ISSUE_COMMENT} AND NOT taken_1 AND NOT taken_2",
-    17: "event_type = 'PullRequestEvent' AND action = 'opened'",
-    18: f"role = {PR_REOPENED} AND pr_reopen_open",
-    19: f"role IN ({MERGE}, {REJECT}) AND pr_close_open",
-    20: f"role = {PR_COMMENT} AND NOT taken_1 AND NOT taken_2",
-    21: f"""reviews_known AND (event_type = 'PullRequestReviewCommentEvent'
-                               OR {_COMMENTED} AND NOT review_comments_known)""",
-    22: "event_type = 'PullRequestReviewEvent' AND NOT review_state <=> 'commented'",
-    23: "event_type = 'CommitCommentEvent'",
-    24: "event_type = 'PushEvent' AND NOT merge_push",
+RULES = {number: f"candidate = {number}" for number in range(1, 25)}
+RULES |= {
+    4: "candidate = 4 AND NOT taken_1",
+    12: "candidate = 12 AND transfer_open",
+    13: "candidate = 13 OR candidate = 12 AND NOT transfer_open",
+    14: "candidate = 14 AND close_open",
+    15: "candidate = 15 AND reopen_open",
+    16: f"candidate = 16 AND {_FREE}",
+    18: "candidate = 18 AND pr_reopen_open",
+    19: "candidate = 19 AND pr_close_open",
+    20: f"candidate = 20 AND {_FREE}",
+    21: f"""candidate = 21 AND reviews_known
+            OR candidate = {COMMENTED_REVIEW} AND NOT review_comments_known""",
+    24: "candidate = 24 AND NOT merge_push",
 }
 
 
-def _key(label: str, node: str, extra: str = "CAST(NULL AS string)") -> str:
-    return f"struct(activity_ord AS kind, {label} AS label, {node} AS node, {extra} AS extra)"
+def _key(label: str, extra: str = "CAST(NULL AS string)") -> str:
+    return f"struct(activity_ord AS kind, {label} AS label, subject, {extra} AS extra)"
 
 
 # For activities that collapse by content: the keys an event emits. Two emissions at the same
 # time in the same repository with equal keys are one activity. A rejected pull request emits
 # one key per adjacent comment, hence possibly two.
 EMISSION_KEYS = {
-    3: f"array({_key('taken_1', 'release_node_id')})",
+    3: f"array({_key('taken_1')})",
     14: "array("
-    + _key(
-        "taken_1", "issue_node_id", "CASE WHEN NOT taken_1 THEN CAST(issue_closed_at AS string) END"
-    )
+    + _key("taken_1", "CASE WHEN NOT taken_1 THEN CAST(issue_closed_at AS string) END")
     + ")",
-    15: f"array({_key('taken_2', 'issue_node_id')})",
-    18: f"CASE WHEN taken_1 THEN array({_key('true', 'PR_node_id')}) END",
-    19: f"""CASE WHEN role = {MERGE} THEN array({_key('merge_push', 'PR_node_id', "'merge'")})
+    15: f"array({_key('taken_2')})",
+    18: f"CASE WHEN taken_1 THEN array({_key('true')}) END",
+    19: f"""CASE WHEN role = {MERGE} THEN array({_key('merge_push', "'merge'")})
                  WHEN prev_2 AND next_2 THEN array_distinct(array(
-                      {_key('true', 'PR_node_id', "concat('comment ', prev_2_node)")},
-                      {_key('true', 'PR_node_id', "concat('comment ', next_2_node)")}))
+                      {_key('true', "concat('comment ', prev_2_node)")},
+                      {_key('true', "concat('comment ', next_2_node)")}))
                  WHEN taken_2 THEN array({_key(
-                      'true', 'PR_node_id',
-                      "concat('comment ', CASE WHEN prev_2 THEN prev_2_node ELSE next_2_node END)")})
-                 ELSE array({_key('false', 'PR_node_id', "'reject'")}) END""",
-    22: f"array({_key('false', 'review_node_id')})",
+                      'true', "concat('comment ', if(prev_2, prev_2_node, next_2_node))")})
+                 ELSE array({_key('false', "'reject'")}) END""",
+    22: f"array({_key('false')})",
 }
 
 

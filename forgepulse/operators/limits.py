@@ -9,7 +9,7 @@ from forgepulse import schema as S
 # Above this many input splits one very active account would send too many candidate rows
 # (splits x limit) to a single task, so its old events are cut off before the shuffle.
 GUARD_FROM_SPLITS = 2_000
-MAX_HOT_ACCOUNTS = 1_000
+MAX_HOT_ACCOUNTS = 100_000
 HOT_ACCOUNT_ROWS = 1_000_000
 SALTS = 256
 
@@ -31,14 +31,14 @@ def _needs_guard(flat: DataFrame) -> bool:
 def hot_accounts(
     flat: DataFrame, most: int = MAX_HOT_ACCOUNTS, min_rows: int = HOT_ACCOUNT_ROWS
 ) -> DataFrame:
-    """At most `most` logins with about `min_rows` events or more.
+    """The at most `most` busiest logins among those with `min_rows` events or more.
 
-    A sketch aggregate reads the login column only and shuffles one small row per task. The
-    count is approximate, which is harmless: the list only decides who gets trimmed early.
+    Counts read the login column only and are combined before their narrow shuffle. The bound on
+    the list makes it safe to broadcast; a login beyond it is merely not trimmed early, and has
+    fewer rows than any that is: at most rows / `most`.
     """
-    sketch = flat.agg(F.expr(f"approx_top_k(login, {most}, {10 * most})").alias("top"))
-    top = sketch.select(F.explode("top").alias("entry"))
-    return top.filter(F.col("entry.count") >= min_rows).select(F.col("entry.item").alias("login"))
+    counted = flat.groupBy("login").count().filter(F.col("count") >= min_rows)
+    return counted.orderBy(F.col("count").desc()).limit(most).select("login")
 
 
 def trim_hot_accounts(

@@ -38,35 +38,78 @@ CASE event_type
   ELSE 0
 END
 """
-_COMMENTS = f"role IN ({ISSUE_COMMENT}, {PR_COMMENT}, {OTHER_COMMENT})"
+
+# The activity an event would be if no gate or companion spoke against it. A commented review
+# counts as 25 here, because it only stands in for missing review comments (21).
+COMMENTED_REVIEW = 25
+CANDIDATE = f"""
+CASE event_type
+  WHEN 'CreateEvent' THEN CASE ref_type WHEN 'repository' THEN 1 WHEN 'branch' THEN 2
+                                        WHEN 'tag' THEN 4 END
+  WHEN 'ReleaseEvent' THEN 3
+  WHEN 'DeleteEvent' THEN CASE ref_type WHEN 'tag' THEN 5 WHEN 'branch' THEN 6 END
+  WHEN 'PublicEvent' THEN 7
+  WHEN 'MemberEvent' THEN 8
+  WHEN 'ForkEvent' THEN 9
+  WHEN 'WatchEvent' THEN 10
+  WHEN 'GollumEvent' THEN 11
+  WHEN 'IssuesEvent' THEN
+    CASE action WHEN 'opened' THEN CASE WHEN num_comments > 0 OR issue_closed_at IS NOT NULL
+                                        THEN 12 ELSE 13 END
+                WHEN 'closed' THEN 14 WHEN 'reopened' THEN 15 END
+  WHEN 'IssueCommentEvent' THEN CASE WHEN issue_number IS NOT NULL THEN 16
+                                     WHEN PR_number IS NOT NULL THEN 20 END
+  WHEN 'PullRequestEvent' THEN
+    CASE action WHEN 'opened' THEN 17 WHEN 'reopened' THEN 18
+                WHEN 'closed' THEN CASE WHEN merged IS NOT NULL THEN 19 END END
+  WHEN 'PullRequestReviewCommentEvent' THEN 21
+  WHEN 'PullRequestReviewEvent' THEN
+    CASE WHEN review_state = 'commented' THEN {COMMENTED_REVIEW} ELSE 22 END
+  WHEN 'CommitCommentEvent' THEN 23
+  WHEN 'PushEvent' THEN 24
+END
+"""
+# The object a collapsing activity is about, see `EMISSION_KEYS` of the activities.
+SUBJECT = """
+CASE WHEN candidate = 3 THEN release_node_id
+     WHEN candidate IN (14, 15) THEN issue_node_id
+     WHEN candidate IN (18, 19) THEN PR_node_id
+     WHEN candidate = 22 THEN review_node_id END
+"""
+_COMMENT = f"role IN ({ISSUE_COMMENT}, {PR_COMMENT}, {OTHER_COMMENT})"
+_PR_CLOSING = "event_type = 'PullRequestEvent' AND action = 'closed'"
 
 # Groups of each round; 0 takes part in nothing.
 GROUP_1 = f"""
 CASE WHEN role IN ({MERGE}, {PUSH}) THEN 4
      WHEN repository IS NULL THEN 0
      WHEN role IN ({RELEASE}, {TAG}) THEN 1
-     WHEN role IN ({ISSUE_CLOSED}, {ISSUE_COMMENT}) AND issue_number IS NOT NULL THEN 2
-     WHEN role IN ({PR_REOPENED}, {PR_COMMENT}) AND PR_number IS NOT NULL THEN 3
+     WHEN item_number IS NULL THEN 0
+     WHEN role IN ({ISSUE_CLOSED}, {ISSUE_COMMENT}) THEN 2
+     WHEN role IN ({PR_REOPENED}, {PR_COMMENT}) THEN 3
      ELSE 0 END
 """
 GROUP_2 = f"""
-CASE WHEN repository IS NULL THEN 0
-     WHEN role IN ({ISSUE_REOPENED}, {ISSUE_COMMENT}) AND issue_number IS NOT NULL
-          AND NOT taken_1 THEN 5
-     WHEN role IN ({REJECT}, {PR_COMMENT}) AND PR_number IS NOT NULL AND NOT taken_1 THEN 6
+CASE WHEN repository IS NULL OR item_number IS NULL OR taken_1 THEN 0
+     WHEN role IN ({ISSUE_REOPENED}, {ISSUE_COMMENT}) THEN 5
+     WHEN role IN ({REJECT}, {PR_COMMENT}) THEN 6
      ELSE 0 END
 """
+# Pull requests and issues are numbered together, but an issue event that reports on a pull
+# request takes no part in issue pairings.
+ITEM_NUMBER = f"""
+CASE WHEN role IN ({ISSUE_CLOSED}, {ISSUE_REOPENED}, {ISSUE_COMMENT}) THEN issue_number
+     WHEN role > 0 THEN PR_number END
+"""
 _MAIN = f"role NOT IN ({TAG}, {ISSUE_COMMENT}, {PR_COMMENT})"
 
 
 def _link(group: str, stated: int, extra: str = "") -> str:
     """What a neighbour has to know; `stated` is the group that also compares the state."""
-    number = "coalesce(issue_number, PR_number, 0)"
-    text = f"""CASE WHEN {group} = 1 THEN coalesce(tag_name, ref)
-                    WHEN {group} = {stated} THEN state ELSE '' END"""
+    text = f"CASE WHEN {group} = 1 THEN tag WHEN {group} = {stated} THEN state ELSE '' END"
     return (
-        f"CASE WHEN {group} > 0 THEN struct({_MAIN} AS main, {number} AS number, {text} AS text, "
-        f"created_at AS at, event_id AS id{extra}) END"
+        f"CASE WHEN {group} > 0 THEN struct({_MAIN} AS main, coalesce(item_number, 0) AS number, "
+        f"{text} AS text, created_at AS at, event_id AS id{extra}) END"
     )
 
 
@@ -103,20 +146,18 @@ def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFr
     def somewhere(condition: str) -> str:
         return f"max(coalesce({condition}, false)) OVER (PARTITION BY {account})"
 
-    closing = f"(role = {ISSUE_CLOSED} OR {_COMMENTS})"
-    pr_closing = "event_type = 'PullRequestEvent' AND action = 'closed'"
-    round_1 = (
-        events.selectExpr("*", f"{ROLE} AS role", f"coalesce(created_at, {END_OF_TIME}) AS sort_time")
-        .selectExpr("*", f"{GROUP_1} AS group_1")
-        .selectExpr("*", f"{_link('group_1', 2)} AS link_1")
+    # Account-level gates first: most flat columns are needed for nothing beyond them.
+    gated = (
+        events.selectExpr("*", f"{ROLE} AS role", f"{CANDIDATE} AS candidate")
         .selectExpr(
             "*",
-            f"{in_group('lag(link_1)', 'group_1')} AS p_1",
-            f"{in_group('lead(link_1)', 'group_1')} AS n_1",
-            f"{in_group('lead(link_1, 2)', 'group_1')} AS n2_1",
+            f"{SUBJECT} AS subject",
+            f"{ITEM_NUMBER} AS item_number",
+            "coalesce(tag_name, ref) AS tag",
+            f"coalesce(created_at, {END_OF_TIME}) AS sort_time",
+            f"(role = {ISSUE_REOPENED} OR {_COMMENT}) AND issue_node_id IS NOT NULL AS names_issue",
+            f"coalesce({_PR_CLOSING} OR {_COMMENT}, false) AND PR_node_id IS NOT NULL AS names_pr",
         )
-        # Merges and pushes pair many to many, which a range frame answers directly.
-        .selectExpr("*", f"{nearby(PUSH)} AS push_near", f"{nearby(MERGE)} AS merge_near")
         .selectExpr(
             "*",
             somewhere(
@@ -124,15 +165,29 @@ def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFr
                 "AND PR_number IS NULL AND PR_node_id IS NULL"
             )
             + " AS transfer_open",
-            f"{somewhere(f'{closing} AND issue_node_id IS NOT NULL')} AND "
-            f"{somewhere(f'{closing} AND issue_closed_at IS NOT NULL')} AS close_open",
-            somewhere(f"(role = {PR_REOPENED} OR {_COMMENTS}) AND PR_node_id IS NOT NULL")
+            somewhere(f"(role = {ISSUE_CLOSED} OR {_COMMENT}) AND issue_node_id IS NOT NULL")
+            + " AND "
+            + somewhere(f"(role = {ISSUE_CLOSED} OR {_COMMENT}) AND issue_closed_at IS NOT NULL")
+            + " AS close_open",
+            somewhere(f"(role = {PR_REOPENED} OR {_COMMENT}) AND PR_node_id IS NOT NULL")
             + " AS pr_reopen_open",
-            somewhere(f"{pr_closing} AND merged IS NOT NULL") + " AS merged_known",
+            somewhere(f"{_PR_CLOSING} AND merged IS NOT NULL") + " AS merged_known",
             somewhere("event_type = 'PullRequestReviewEvent'") + " AS reviews_known",
             somewhere("event_type = 'PullRequestReviewCommentEvent'") + " AS review_comments_known",
         )
     )
+    round_1 = (
+        gated.selectExpr("*", f"{GROUP_1} AS group_1")
+        .selectExpr("*", f"{_link('group_1', 2)} AS link_1")
+        .selectExpr(
+            "*",
+            f"{in_group('lag(link_1)', 'group_1')} AS p_1",
+            f"{in_group('lead(link_1)', 'group_1')} AS n_1",
+            f"{in_group('lead(link_1, 2)', 'group_1')} AS n2_1",
+        )
+        # Merges and pushes pair many to many, which a range frame answers directly.
+        .selectExpr("*", f"{nearby(PUSH)} AS push_near", f"{nearby(MERGE)} AS merge_near")
+    )
     # A release takes the tag after it if the names agree, however late, and only otherwise the
     # one before it; a tag has to see that choice from its side.
     gate_1 = """CASE group_1 WHEN 1 THEN true WHEN 2 THEN close_open
@@ -164,16 +219,8 @@ def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFr
         )
         .selectExpr(
             "*",
-            somewhere(
-                f"(role = {ISSUE_REOPENED} OR {_COMMENTS} AND NOT taken_1) "
-                "AND issue_node_id IS NOT NULL"
-            )
-            + " AS reopen_open",
-            "merged_known AND "
-            + somewhere(
-                f"({pr_closing} OR {_COMMENTS} AND NOT taken_1) AND PR_node_id IS NOT NULL"
-            )
-            + " AS pr_close_open",
+            f"{somewhere('names_issue AND NOT taken_1')} AS reopen_open",
+            f"merged_known AND {somewhere('names_pr AND NOT taken_1')} AS pr_close_open",
         )
     )
     gate_2 = "CASE group_2 WHEN 5 THEN reopen_open WHEN 6 THEN pr_close_open ELSE false END"
@@ -191,7 +238,7 @@ def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFr
                                       WHEN {PUSH} THEN merge_near END, false) AS merge_push""",
         )
         .selectExpr(
-            "* EXCEPT (link_2, p_2, n_2, push_near, merge_near, merged_known)",
+            "* EXCEPT (link_2, p_2, n_2, push_near, merge_near, merged_known, names_issue, names_pr)",
             "prev_2 OR next_2 AS taken_2",
             "p_2.id AS prev_2_id",
             "n_2.id AS next_2_id",
