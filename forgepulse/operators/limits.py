@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forgepulse import schema as S
 
-# Above this many input splits one very active account would send too many candidate rows
-# (splits x limit) to a single task, so its old events are cut off before the shuffle.
-GUARD_FROM_SPLITS = 2_000
+# In larger inputs one very active account would send too many candidate rows (input splits x
+# limit) to a single task, so its old events are cut off before the shuffle.
+GUARD_FROM_BYTES = 256 << 30  # about 2,000 splits
 MAX_HOT_ACCOUNTS = 100_000
 HOT_ACCOUNT_ROWS = 1_000_000
 SALTS = 256
@@ -19,13 +21,11 @@ def newest_first() -> list[Column]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size Catalyst expects of the input, without running a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _needs_guard(flat: DataFrame) -> bool:
-    split_bytes = flat.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return estimated_bytes(flat) / split_bytes > GUARD_FROM_SPLITS
+    """Size Catalyst expects of the input, without running a job; huge where it cannot tell."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return sys.maxsize
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_accounts(
@@ -86,7 +86,9 @@ def latest_events(
     the early trimming of hot accounts on or off; by default the input size decides.
     """
     known = flat.filter(F.col("login").isNotNull())
-    if guard if guard is not None else _needs_guard(known):
+    if guard is None:
+        guard = estimated_bytes(known) > GUARD_FROM_BYTES
+    if guard:
         known = trim_hot_accounts(known, max_events)
     newest = Window.partitionBy("login").orderBy(*newest_first())
     return known.withColumn("event_rank", F.row_number().over(newest)).filter(
@@ -110,12 +112,13 @@ def dedup_events(latest: DataFrame) -> DataFrame:
     """Keep one of each repeated event.
 
     Copies of an event carry the same time and id, so they are neighbours in the order in which
-    `latest_events` already sorted the partition: no shuffle and no further sort.
+    `latest_events` already sorted the partition: no shuffle and no further sort. Events without
+    a readable id are never taken for copies.
     """
     newest = Window.partitionBy("login").orderBy(*newest_first())
-    repeated = (F.lag("event_rank").over(newest).isNotNull()) & F.col("event_id").eqNullSafe(
-        F.lag("event_id").over(newest)
-    ) & F.col("created_at").eqNullSafe(F.lag("created_at").over(newest))
+    repeated = (F.col("event_id") == F.lag("event_id").over(newest)) & F.col(
+        "created_at"
+    ).eqNullSafe(F.lag("created_at").over(newest))
     return (
         latest.withColumn("repeated", F.coalesce(repeated, F.lit(False)))
         .filter(~F.col("repeated"))

@@ -353,6 +353,34 @@ def _classify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.current_verdicts(spark, f"{folder}/verdicts")
 
 
+def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep the newest events of each account over a stream, then read them back."""
+    from forgepulse.operators.extract import flatten_events
+    from forgepulse.streaming import latest
+    from forgepulse.streaming.classify import shared_folder
+
+    folder = shared_folder(spark, "stream-latest")
+    stream = latest.store_latest_events(
+        flatten_events(testbed.stream_raw_events(spark, sf_dir)),
+        output=f"{folder}/events",
+        checkpoint=f"{folder}/checkpoint",
+        max_events=FEW,
+        availableNow=True,
+    )
+    stream.awaitTermination()
+    return latest.current_events(spark, f"{folder}/events").select(
+        "login", "event_id", "event_type", "repository", "created_at", "issue_closed_at", "merged"
+    )
+
+
+_QUERIES["stream_latest_events"] = _stream_latest
+_SQL["stream_latest_events"] = O.with_tables(
+    f"""SELECT login, event_id, event_type, repository, created_at, issue_closed_at, merged
+        FROM (SELECT DISTINCT * FROM flat)
+        QUALIFY row_number() OVER (PARTITION BY login
+                                   ORDER BY created_at DESC, event_id DESC) <= {FEW}""",
+    O.FLAT,
+)
 _QUERIES["classify_stream"] = _classify_stream
 # The stream drops repeated events on arrival, so it counts them once.
 _SQL["classify_stream"] = O.fixed_classification(MIN_EVENTS, counted="ev")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from forgepulse import schema as S
@@ -68,3 +69,33 @@ def kept_events(kept: DataFrame) -> DataFrame:
     """The flat events of a batch of `stream_latest_events`."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FLAT_EVENT)
     return kept.selectExpr(f"from_json(body, '{fields}') AS event").select("event.*")
+
+
+def store_latest_events(
+    flat: DataFrame,
+    output: str,
+    checkpoint: str,
+    max_events: int = S.PAGE_SIZE * S.MAX_PAGES,
+    late_by: str | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Write the kept events of the accounts each batch touches to a folder per batch."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        kept_events(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+
+    writer = stream_latest_events(flat, max_events, late_by).writeStream
+    return (
+        writer.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .foreachBatch(publish)
+        .start()
+    )
+
+
+def current_events(spark: SparkSession, output: str) -> DataFrame:
+    """The kept events of each account as of the last batch that touched it."""
+    log = spark.read.parquet(output)
+    last = log.groupBy("login").agg(F.max("batch_id").alias("batch_id"))
+    return log.join(last, ["login", "batch_id"]).select(*S.FLAT_EVENT.fieldNames())

@@ -94,6 +94,11 @@ def test_dedup_needs_no_shuffle_beyond_the_limit(skewed):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_events_without_id_are_no_copies(spark):
+    rows = [event(None, S.PUSH, 0), event(None, S.FORK, 0)]
+    assert limits.dedup_events(limits.latest_events(flat(spark, rows), guard=False)).count() == 2
+
+
 def test_count_includes_repeats(spark):
     rows = [event(1, S.PUSH, 0), event(1, S.PUSH, 0), event(2, S.PUSH, 1)]
     counted = limits.count_events(limits.latest_events(flat(spark, rows)))
