@@ -201,3 +201,19 @@ def test_result_columns(spark):
 def test_date_text(spark):
     activities = pipeline.activities_of(flat(spark, [push(1, 5)]))
     assert sinks.with_date_text(activities).first().date == "2024-03-01T12:00:05+00:00"
+
+
+def test_long_account_lists_join_after_the_limit(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+
+    def classified():
+        return pipeline.classify_accounts(
+            testbed.accounts(spark, sf), testbed.flat_events(spark, sf), testbed.fixed_score
+        )
+
+    short = sorted(map(str, classified().collect()))
+    monkeypatch.setattr(pipeline, "BROADCAST_BYTES", 0)
+    late = classified()
+    assert sorted(map(str, late.collect())) == short
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("row_number() windowspecdefinition(login")
