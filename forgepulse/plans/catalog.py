@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from forgepulse import schema as S
-from forgepulse.operators import extract, features, limits
+from forgepulse.operators import extract, features, limits, pairing
 from forgepulse.operators.activities import event_fates
 from forgepulse.operators.verdict import verdicts
 from forgepulse.plans import oracle as O
@@ -84,7 +84,7 @@ _register(
         "login", "event_id", "created_at", "CAST(event_rank AS bigint) AS event_rank"
     ),
     O.with_tables(
-        "SELECT login, event_id, created_at, event_rank FROM ranked", O.FLAT, O._limited(FEW)
+        "SELECT login, event_id, created_at, event_rank FROM ranked", O.FLAT, O.limited(FEW)
     ),
 )
 _register(
@@ -93,7 +93,7 @@ _register(
         limits.trim_hot_accounts(flat, FEW, most=50, min_rows=FEW), FEW, guard=False
     ).selectExpr("login", "event_id", "created_at", "CAST(event_rank AS bigint) AS event_rank"),
     O.with_tables(
-        "SELECT login, event_id, created_at, event_rank FROM ranked", O.FLAT, O._limited(FEW)
+        "SELECT login, event_id, created_at, event_rank FROM ranked", O.FLAT, O.limited(FEW)
     ),
 )
 _register(
@@ -106,13 +106,13 @@ _register(
         f"count(*) OVER (PARTITION BY login) < ceil(event_rank / {PAGE_SIZE}) * {PAGE_SIZE} "
         "AS last_page FROM ranked",
         O.FLAT,
-        O._limited(300),
+        O.limited(300),
     ),
 )
 _register(
     "dedup_events",
     lambda flat: limits.dedup_events(limits.latest_events(flat)).select("login", "event_id"),
-    O.with_tables("SELECT login, event_id FROM ev", O.FLAT, O._limited(300)),
+    O.with_tables("SELECT login, event_id FROM ev", O.FLAT, O.limited(300)),
 )
 _register(
     "min_events_gate",
@@ -121,7 +121,7 @@ _register(
         f"SELECT login, count(*) AS events, count(*) >= {MIN_EVENTS} AS enough "
         "FROM ranked GROUP BY login",
         O.FLAT,
-        O._limited(300),
+        O.limited(300),
     ),
 )
 
@@ -194,16 +194,17 @@ _register(
 # --- pairing ----------------------------------------------------------------------------------
 
 
-def _register_pairing(name: str, pairs: str, number: int, role: str, group: int) -> None:
-    from forgepulse.operators import pairing as P
-
+def _register_pairing(name: str, pairs: str, role: int, group: int) -> None:
     turn = 1 if group <= 4 else 2
 
     def query(flat: DataFrame) -> DataFrame:
         main = pipeline.resolved_events(flat).filter(
-            f"role = {getattr(P, role)} AND group_{turn} = {group}"
+            f"role = {role} AND group_{turn} = {group}"
+        )
+        sides = (
+            f"array(CASE WHEN prev_{turn} THEN prev_{turn}_id END, "
+            f"CASE WHEN next_{turn} THEN next_{turn}_id END)"
         )
-        sides = f"array(CASE WHEN prev_{turn} THEN prev_{turn}_id END, CASE WHEN next_{turn} THEN next_{turn}_id END)"
         return main.selectExpr(
             "login", "event_id AS main_id", f"explode(array_compact({sides})) AS companion_id"
         )
@@ -214,11 +215,11 @@ def _register_pairing(name: str, pairs: str, number: int, role: str, group: int)
     )
 
 
-_register_pairing("pair_release_tag", "pair_release", 3, "RELEASE", 1)
-_register_pairing("pair_close_issue", "pair_close", 14, "ISSUE_CLOSED", 2)
-_register_pairing("pair_reopen_issue", "pair_reopen", 15, "ISSUE_REOPENED", 5)
-_register_pairing("pair_reopen_pr", "pair_pr_reopen", 18, "PR_REOPENED", 3)
-_register_pairing("pair_reject_pr", "pair_reject", 19, "REJECT", 6)
+_register_pairing("pair_release_tag", "pair_release", pairing.RELEASE, 1)
+_register_pairing("pair_close_issue", "pair_close", pairing.ISSUE_CLOSED, 2)
+_register_pairing("pair_reopen_issue", "pair_reopen", pairing.ISSUE_REOPENED, 5)
+_register_pairing("pair_reopen_pr", "pair_pr_reopen", pairing.PR_REOPENED, 3)
+_register_pairing("pair_reject_pr", "pair_reject", pairing.REJECT, 6)
 _register(
     "band_merge_push",
     lambda flat: pipeline.resolved_events(flat)

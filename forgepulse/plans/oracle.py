@@ -105,7 +105,7 @@ accounts AS (
 """
 
 
-def _limited(max_events: int) -> str:
+def limited(max_events: int) -> str:
     return f"""
 ranked AS (
   SELECT * FROM (
@@ -439,7 +439,7 @@ def with_tables(select: str, *parts: str) -> str:
 
 
 def activity_parts(max_events: int = 300, flat: str = FLAT) -> list[str]:
-    return [flat, _limited(max_events), PAIRS, ACTIVITIES]
+    return [flat, limited(max_events), PAIRS, ACTIVITIES]
 
 
 def feature_parts(max_events: int = 300, flat: str = FLAT) -> list[str]:

@@ -62,22 +62,17 @@ FLAT_EVENT = _struct(
 
 ACCOUNT = _struct(login=_text, declared_type=_text, lookup_failed=_bool)
 
-# Event type names of the source data.
+# Event type names of the source data that code refers to by name.
 PUSH = "PushEvent"
 PULL_REQUEST = "PullRequestEvent"
 REVIEW = "PullRequestReviewEvent"
 REVIEW_COMMENT = "PullRequestReviewCommentEvent"
 ISSUES = "IssuesEvent"
 ISSUE_COMMENT = "IssueCommentEvent"
-COMMIT_COMMENT = "CommitCommentEvent"
 CREATE = "CreateEvent"
-DELETE = "DeleteEvent"
 RELEASE = "ReleaseEvent"
-PUBLIC = "PublicEvent"
-MEMBER = "MemberEvent"
 FORK = "ForkEvent"
 WATCH = "WatchEvent"
-WIKI = "GollumEvent"
 
 # Activity names, numbered 1..24 in order of precedence.
 ACTIVITY_NAMES = [
