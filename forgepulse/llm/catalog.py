@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgepulse.llm import byte_bpe, fingerprints, mixing, sharding, token_counts, topk
+from forgepulse.llm import (
+    byte_bpe,
+    fingerprints,
+    language,
+    mixing,
+    sharding,
+    substring_dedup,
+    token_counts,
+    topk,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_language": language.op3_language,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_sharding": sharding.op8_sharding,
         "op9_topk": topk.op9_topk,

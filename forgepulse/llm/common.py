@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
     return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """64-bit hash by word; a bounded number of words is remembered."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.LIMIT:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of other characters than space, tab, line feed, vertical tab, form feed and return."""
+    return text.encode("utf-8").split() if text else []
+
+
+class RangeHashes:
+    """Hashes of any range of a sequence of 64-bit integers, from one pass over it.
+
+    A polynomial in an odd base modulo 2**64, scrambled. Two bases give 128 bits.
+    """
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, values: np.ndarray, base: int) -> None:
+        up, self.down = self._powers_of(base, len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    @classmethod
+    def _powers_of(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        held = cls._powers.get(base)
+        if held is None or len(held[0]) < n:
+            size = max(n, 1 << 16)
+            held = tuple(
+                np.concatenate(
+                    [
+                        np.ones(1, np.uint64),
+                        np.cumprod(np.full(size - 1, b, dtype=np.uint64), dtype=np.uint64),
+                    ]
+                )
+                for b in (base, pow(base, -1, 1 << 64))
+            )
+            cls._powers[base] = held
+        return held
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mix64((self.sums[start + length] - self.sums[start]) * self.down[start])
