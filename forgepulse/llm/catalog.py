@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from forgepulse.llm import (
     byte_bpe,
     fingerprints,
+    jaccard_join,
     language,
     mixing,
     sharding,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_sharding": sharding.op8_sharding,
         "op9_topk": topk.op9_topk,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 

@@ -3,8 +3,10 @@
 Tier 1 is a broadcast hash table from pre-token to its number of tokens. It holds every entry of
 the vocabulary that is one whole pre-token: a byte-pair vocabulary lists the strings that were most
 frequent when it was made, so no pass over the corpus is needed to find them, and the table is
-bounded by the vocabulary. Tier 2 is a bounded cache in each Python worker: a pre-token that is in
-neither is encoded by the tokenizers library and remembered. Nothing is shuffled.
+bounded by the vocabulary. Tier 2 is a bounded cache in each Python worker, in two generations: a
+pre-token that is in neither tier is encoded by the library's BPE model and remembered; when the
+young generation is full it becomes the old one, and what is used again moves to the next young
+one. Nothing is shuffled.
 
 The counts are those of the library. Its pre-tokenizer is followed with the `regex` module where
 both know the characters; a text with a character that the local Unicode tables leave unassigned is
@@ -33,8 +35,8 @@ from tokenizers import Tokenizer
 
 from forgepulse.llm.common import table
 
-CACHE_ENTRIES = 200_000
-"""Pre-tokens that a worker remembers beyond tier 1 before it starts anew."""
+CACHE_ENTRIES = 300_000
+"""Pre-tokens in each of the two generations of a worker's cache."""
 
 CACHED_CHARS = 48
 """Longer pre-tokens are encoded each time they occur, so that the cache has a bound in bytes."""
@@ -83,13 +85,20 @@ def frequent_lengths(path: str) -> Frequent:
     return Frequent(definition, specials, {p: len(e) for p, e in zip(pieces, encoded)})
 
 
+class _Unassigned(Exception):
+    """A pre-token holds a character of which the Unicode tables may differ."""
+
+
 class PieceLengths(dict):
-    """Token count by pre-token; a missing one is encoded and, within limits, remembered."""
+    """Token count by pre-token: the young generation of the cache, filled from the rest."""
 
     def __init__(self, frequent: Frequent) -> None:
-        super().__init__(frequent.lengths)
+        super().__init__()
+        self.old: dict[str, int] = {}
         self.frequent = frequent
         self.tokenizer = Tokenizer.from_str(frequent.definition)
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_level_alphabet().items()}
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.specials = (
             regex.compile("|".join(map(regex.escape, frequent.specials)))
@@ -99,29 +108,37 @@ class PieceLengths(dict):
         self.unassigned = regex.compile(f"[{_unassigned_ranges()}]")
 
     def __missing__(self, piece: str) -> int:
-        length = self.whole(piece)
+        length = self.frequent.lengths.get(piece) or self.old.get(piece) or self.encoded(piece)
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= len(self.frequent.lengths) + CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
-                self.update(self.frequent.lengths)
             self[piece] = length
         return length
 
+    def encoded(self, piece: str) -> int:
+        if not piece.isascii() and self.unassigned.search(piece):
+            raise _Unassigned
+        return len(
+            self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))
+        )
+
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False))
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not text.isascii() and self.unassigned.search(text):
-            return self.whole(text)
         parts, special = [text], 0
         if self.specials and self.specials.search(text):
             parts = self.specials.split(text)
             special = len(parts) - 1
-        return special + sum(
-            sum(map(self.__getitem__, self.pattern.findall(part))) for part in parts
-        )
+        try:
+            return special + sum(
+                sum(map(self.__getitem__, self.pattern.findall(part))) for part in parts
+            )
+        except _Unassigned:
+            return self.whole(text)
 
 
 def _unassigned_ranges() -> str:
