@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 LONG_MAX = (1 << 63) - 1
 
@@ -156,3 +159,50 @@ class RangeHashes:
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix64((self.sums[start + length] - self.sums[start]) * self.down[start])
+
+
+SLICE_CHARS = 1 << 21
+
+
+def add_columns(
+    df: DataFrame,
+    inputs: Sequence[str],
+    fields: str,
+    make: Callable[[], Callable[..., tuple]],
+) -> DataFrame:
+    """`df` with the columns of `fields` (a DDL schema), computed row by row in Python.
+
+    `make` is called once per task and returns a function from the inputs of a row to a tuple. Rows
+    leave in slices of about SLICE_CHARS of input, so a worker holds one Arrow batch as it came and a
+    slice of results. Columns of the same names are replaced.
+    """
+    added = StructType.fromDDL(fields)
+    names = {f.name.lower() for f in added}
+    kept = [f for f in df.schema if f.name.lower() not in names]
+    taken = [c for c in df.columns if c.lower() in names and c not in inputs]
+    source = df.drop(*taken)
+    arrow = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+
+        def sliced(batch: pa.RecordBatch, lo: int, rows: list[tuple]) -> pa.RecordBatch:
+            part = batch.slice(lo, len(rows))
+            arrays = [part.column(f.name) for f in kept]
+            arrays += [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
+            return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + arrow.names)
+
+        for batch in batches:
+            columns = [batch.column(c) for c in inputs]
+            lo, rows, held = 0, [], 0
+            for i in range(batch.num_rows):
+                values = [c[i].as_py() for c in columns]
+                rows.append(compute(*values))
+                held += sum(len(v) for v in values if isinstance(v, str | bytes))
+                if held >= SLICE_CHARS:
+                    yield sliced(batch, lo, rows)
+                    lo, rows, held = i + 1, [], 0
+            if rows:
+                yield sliced(batch, lo, rows)
+
+    return source.mapInArrow(run, StructType([*kept, *added.fields]))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import WordHashes, mix64, stored, table, words_of
+from forgepulse.llm.common import WordHashes, add_columns, mix64, stored, table, words_of
 from forgepulse.llm.components import connected
 
 SHINGLE = 5
@@ -230,43 +230,41 @@ def _meet(plan: Plan):
     return meet
 
 
-def _sig_udf(plan: Plan):
-    """Signature and size of a text's set."""
+def _signed(df: DataFrame, plan: Plan, text: str) -> DataFrame:
+    """`df` with the signature and the size of the text's set."""
 
-    @F.pandas_udf("sig long, size long")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         hashes = WordHashes()
-        for batch in batches:
-            made = []
-            for text in batch:
-                members = shingle_set(text, hashes, plan.shingle)
-                made.append((signature(members), len(members)))
-            yield pd.DataFrame(made, columns=["sig", "size"])
 
-    return signed
+        def signed(held: str | None) -> tuple[int, int]:
+            members = shingle_set(held, hashes, plan.shingle)
+            return signature(members), len(members)
+
+        return signed
+
+    return add_columns(df, [text], "__sig long, __size long", make)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The linked ones of (a, b) pairs of signatures; b's side may be hot and is not moved twice."""
 
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def make():
         hashes = WordHashes()
-        last: tuple[str, np.ndarray] = ("", np.empty(0, U))
-        for one, other in batches:
-            found = []
-            for x, y in zip(one, other):
-                if last[0] != y:
-                    last = (y, shingle_set(y, hashes, plan.shingle))
-                a, b = shingle_set(x, hashes, plan.shingle), last[1]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                found.append(100 * common >= plan.percent * (len(a) + len(b) - common))
-            yield pd.Series(found, dtype=bool)
+        last: list = ["", np.empty(0, U)]
+
+        def linked(x: str, y: str) -> tuple[bool]:
+            if last[0] != y:
+                last[:] = [y, shingle_set(y, hashes, plan.shingle)]
+            a, b = shingle_set(x, hashes, plan.shingle), last[1]
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            return (100 * common >= plan.percent * (len(a) + len(b) - common),)
+
+        return linked
 
     one = texts.select(F.col("sig").alias("a"), F.col("text").alias("x"))
     other = texts.select(F.col("sig").alias("b"), F.col("text").alias("y"))
     met = pairs.join(one, "a").join(other, "b")
-    return met.withColumn("ok", linked("x", "y")).where("ok").select("a", "b")
+    return add_columns(met, ["x", "y"], "ok boolean", make).where("ok").select("a", "b")
 
 
 def _sketches(plan: Plan):
@@ -351,11 +349,11 @@ def groups(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """`df` with n_shingles, the size of the set, and component_id, the smallest id of the rows that
-    links reach (the row's own if there are none)."""
+    """`df` with n_shingles, the size of the set, component_id, the smallest id of the rows that
+    links reach (the row's own if there are none), and group_id, a number of the group that null
+    ids have as well (null for empty sets)."""
     plan = plan_for(shingle, percent)
-    names = ("n_shingles", "component_id")
-    signed = df.withColumn("__set", _sig_udf(plan)(F.col(text)))
+    names = ("n_shingles", "component_id", "group_id")
     met = df.select(F.col(text).alias("text")).mapInArrow(_meet(plan), MET)
     bucket = Window.partitionBy("route")
     buckets = stored(
@@ -370,7 +368,8 @@ def groups(
     ).distinct()
     members = buckets.select("sig").distinct()
     texts = stored(
-        df.select(F.col(text).alias("text"), _sig_udf(plan)(F.col(text))["sig"].alias("sig"))
+        _signed(df.select(F.col(text).alias("text")), plan, "text")
+        .withColumnRenamed("__sig", "sig")
         .join(members, "sig")
         .groupBy("sig")
         .agg(F.first("text").alias("text")),
@@ -381,26 +380,32 @@ def groups(
     rest = stored(_rest(buckets, roots, texts, plan), "jaccard-rest")
     more = stored(_verified(rest, texts, plan), "jaccard-links")
     roots = connected(edges.union(more))
-    rooted = signed.withColumn("__sig", F.col("__set.sig")).join(
-        roots.select(F.col("node").alias("__sig"), F.col("root").alias("__root")), "__sig", "left"
-    ).withColumn("__root", F.coalesce("__root", "__sig"))
+    roots = roots.select(F.col("node").alias("__sig"), F.col("root").alias("__root"))
+    own = df.select(F.col(key).alias("__id"), F.col(text).alias("text"))
+    root = F.coalesce("__root", "__sig").alias("__root")
     least = (
-        signed.select(F.col(key).alias("__id"), F.col("__set.sig").alias("__sig"))
+        _signed(own, plan, "text")
         .where("__sig != 0")
         .groupBy("__sig")
         .agg(F.min("__id").alias("__id"))
-        .join(
-            roots.select(F.col("node").alias("__sig"), F.col("root").alias("__root")),
-            "__sig",
-            "left",
-        )
-        .groupBy(F.coalesce("__root", "__sig").alias("__root"))
+        .join(roots, "__sig", "left")
+        .groupBy(root)
         .agg(F.min("__id").alias("__least"))
     )
-    return rooted.join(least, "__root", "left").select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in names],
-        F.col("__set.size").alias("n_shingles"),
-        F.when(F.col("__sig") == 0, F.col(key)).otherwise(F.col("__least")).alias("component_id"),
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return (
+        _signed(df, plan, text)
+        .join(roots, "__sig", "left")
+        .select(*kept, "__sig", "__size", root)
+        .join(least, "__root", "left")
+        .select(
+            *kept,
+            F.col("__size").alias("n_shingles"),
+            F.when(F.col("__sig") == 0, F.col(key)).otherwise(F.col("__least")).alias(
+                "component_id"
+            ),
+            F.when(F.col("__sig") != 0, F.col("__root")).alias("group_id"),
+        )
     )
 
 

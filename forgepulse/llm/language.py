@@ -24,13 +24,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import crc_fold, mix64, table
+from forgepulse.llm.common import add_columns, crc_fold, mix64, table
 
 GRAMS = (2, 3, 4)
 MIN_SHARE = 5e-5
@@ -164,19 +163,11 @@ def predict(
     """`df` with the language of the text and its share of all languages' corrected rates."""
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("language string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         held = shared.value
-        for batch in batches:
-            yield pd.DataFrame(
-                [predict_text(held, t) for t in batch], columns=["language", "score"]
-            )
+        return lambda own: predict_text(held, own)
 
-    return (
-        df.withColumn("__predicted", predicted(text))
-        .withColumns({name: F.col("__predicted.language"), score: F.col("__predicted.score")})
-        .drop("__predicted")
-    )
+    return add_columns(df, [text], f"`{name}` string, `{score}` double", make)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +175,6 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
     filters = fit(documents.where(~held_out))
-    return predict(documents.withColumn("held_out", held_out), filters).select(
+    return predict(documents.select("doc_id", "text", held_out.alias("held_out")), filters).select(
         "doc_id", "held_out", "lang_pred", "score"
     )

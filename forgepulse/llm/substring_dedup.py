@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +38,7 @@ from forgepulse.llm.common import (
     LONG_MAX,
     RangeHashes,
     WordHashes,
+    add_columns,
     mix64,
     stored,
     table,
@@ -238,10 +238,10 @@ def repeats(
     return both.groupBy("id", "tie").agg(F.flatten(F.collect_list("repeats")).alias("repeats"))
 
 
-def covered(n_words: int, spans: np.ndarray | None, length: int) -> np.ndarray:
+def covered(n_words: int, spans: list[int] | None, length: int) -> np.ndarray:
     """Which words lie in the windows of [lo, n, lo, n, ...]."""
     edges = np.zeros(n_words + 1, dtype=np.int64)
-    if spans is not None and len(spans):
+    if spans:
         lo, n = np.asarray(spans, dtype=np.int64).reshape(-1, 2).T
         np.add.at(edges, lo, 1)
         np.add.at(edges, lo + n + length - 1, -1)
@@ -271,33 +271,18 @@ def remove_repeats(
         F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("repeats").alias("__repeats")
     )
 
-    @F.pandas_udf("n_words long, n_removed long, kept_text string, removed array<long>")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        made = []
-        for held, found in zip(texts, spans):
-            words = words_of(held)
-            drop = covered(len(words), found, length)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
-            lo, end = edges[::2], edges[1::2]
-            kept = b" ".join([w for w, d in zip(words, drop.tolist()) if not d])
-            made.append(
-                (
-                    len(words),
-                    int(drop.sum()),
-                    kept.decode("utf-8"),
-                    np.stack([lo, end - lo], axis=1).ravel(),
-                )
-            )
-        return pd.DataFrame(made, columns=list(names))
-
-    return (
-        rows.join(spans, ["__id", "__tie"], "left")
-        .withColumn("__cut", cut(F.col(text), "__repeats"))
-        .select(
-            *[F.col(f"`{c}`") for c in df.columns if c not in names],
-            *[F.col(f"__cut.{c}").alias(c) for c in names],
-        )
-    )
+    def cut(held: str | None, found: list[int] | None) -> tuple:
+        words = words_of(held)
+        drop = covered(len(words), found, length)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
+        lo, end = edges[::2], edges[1::2]
+        kept = b" ".join([w for w, d in zip(words, drop.tolist()) if not d])
+        removed = np.stack([lo, end - lo], axis=1).ravel().tolist()
+        return len(words), int(drop.sum()), kept.decode("utf-8"), removed
+
+    fields = "n_words long, n_removed long, kept_text string, removed array<long>"
+    joined = rows.join(spans, ["__id", "__tie"], "left").drop("__id", "__tie")
+    return add_columns(joined, [text, "__repeats"], fields, lambda: cut).drop("__repeats")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,18 +16,18 @@ column is replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import crc_fold, mix64, stored, table
+from forgepulse.llm.common import add_columns, crc_fold, mix64, stored, table
 
 BITS = 18
 GRAMS = (5, 6)
@@ -147,19 +147,17 @@ def score(
     """`df` with the probability that the text is toxic, and whether it is 0.5 or more."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         held, features = shared.value, Features()
-        for batch in batches:
-            sums = [
-                float(held.weights[features.of(t)].sum(dtype=np.float64)) + held.intercept
-                for t in batch
-            ]
-            yield pd.Series(0.5 * (1 + np.tanh(0.5 * np.array(sums, dtype=np.float64))))
-
-    return df.withColumn(name, probability(text)).withColumn(
-        flag, (F.col(name) >= 0.5).cast("int")
-    )
+
+        def probability(own: str | None) -> tuple[float, int]:
+            total = float(held.weights[features.of(own)].sum(dtype=np.float64)) + held.intercept
+            chance = 0.5 * (1.0 + math.tanh(0.5 * total))
+            return chance, int(chance >= 0.5)
+
+        return probability
+
+    return add_columns(df, [text], f"`{name}` double, `{flag}` int", make)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
