@@ -26,14 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import LONG_MAX, bucket_of, range_edges, shuffle_parts, table
+from forgepulse.llm.common import LONG_MAX, add_columns, bucket_of, range_edges, shuffle_parts, table
 
 LANES = 128
 PARAGRAPH_END = regex.compile(r"[\n\r]+|(?<=[.!?])\s+")
@@ -81,37 +80,32 @@ def likeness(a: bytes, b: bytes) -> float:
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """`df` with the fingerprint of the text, as binary."""
 
-    @F.pandas_udf("binary")
-    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([fingerprint(t) for t in batch], dtype=object)
-
-    return df.withColumn(name, marks(text))
+    return add_columns(df, [text], f"`{name}` binary", lambda: lambda t: (fingerprint(t),))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str = "likeness") -> DataFrame:
     """`df` with the likeness of two fingerprint columns; null if either is null."""
 
-    @F.pandas_udf("double")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if p is None or q is None else likeness(p, q) for p, q in zip(x, y)],
-            dtype="float64",
-        )
+    def near(x: bytes | None, y: bytes | None) -> tuple[float | None]:
+        return (None if x is None or y is None else likeness(x, y),)
 
-    return df.withColumn(name, near(a, b))
+    return add_columns(df, [a, b], f"`{name}` double", lambda: near)
 
 
 NEIGHBOUR_SCHEMA = (
-    "doc_id long, n_chars long, text string, edited string, next_text string"
+    "doc_id long, n_chars long, edited string, own_mark binary, edited_mark binary, "
+    "next_mark binary, near_edited double, near_next double"
 )
+BATCH_CHARS = 1 << 22
 
 
-def with_next_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document with the edited text and the text of the next document in descending order.
+def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document.
 
-    Columns: doc_id, n_chars, text, edited, next_text. The last document is followed by the first;
-    null ids come last, equal ids are ordered by text. A document alone is its own next one.
+    Columns: doc_id, n_chars, edited (the text whose last half is replaced by the beginning of the
+    next document's), own_mark, edited_mark, next_mark, near_edited, near_next. The next document is
+    that in descending order of the key; the last one is followed by the first; null ids come
+    last, equal ids are ordered by text. A document alone is its own next one.
 
     Texts are shuffled once: into ranges of the key, sorted, and read as a stream in which each row
     waits for the one after it. The first row of a range is also sent to the range before it. Only
@@ -154,49 +148,44 @@ def with_next_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _pair_with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_chars", pa.int64())]
-        + [(n, pa.string()) for n in ("text", "edited", "next_text")]
-    )
+    types = [pa.int64()] * 2 + [pa.string()] + [pa.binary()] * 3 + [pa.float64()] * 2
+    names = [column.split()[0] for column in NEIGHBOUR_SCHEMA.split(", ")]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [list(c) for c in zip(*rows)] if rows else [[]] * len(schema)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names
         )
 
-    waiting = None  # (id, text, bucket) of the row whose next one has not come yet
+    def compared(id_: int | None, own: str, mark: bytes, next_text: str, after: bytes) -> tuple:
+        half = len(own) // 2
+        edited = own[: len(own) - half] + next_text[:half]
+        changed = fingerprint(edited)
+        near = (likeness(mark, changed), likeness(mark, after))
+        return (id_, len(own), edited, mark, changed, after, *near)
+
+    waiting = None  # (id, text, mark, bucket) of the row whose next one has not come yet
     for batch in batches:
         out, held = [], 0
-        for id_, text, bucket, ghost in zip(
-            *(batch.column(n).to_pylist() for n in ("id", "text", "bucket", "ghost"))
-        ):
-            if waiting is not None and waiting[2] == bucket:
-                before = waiting[1]
-                kept = len(before) - len(before) // 2
-                edited = before[:kept] + text[: len(before) // 2]
-                out.append((waiting[0], len(before), before, edited, text))
-                held += len(before) + len(text)
-                if held > 1 << 24:
-                    yield made(out)
-                    out, held = [], 0
+        for i in range(batch.num_rows):  # one text at a time
+            id_, text, bucket, ghost = (
+                batch.column(n)[i].as_py() for n in ("id", "text", "bucket", "ghost")
+            )
+            mark = fingerprint(text)
+            if waiting is not None and waiting[3] == bucket:
+                out.append(compared(*waiting[:3], text, mark))
+                held += len(waiting[1])
             # Of several ghosts (equal keys) only the first is a next row; ghosts have none.
-            waiting = None if ghost else (id_, text, bucket)
+            waiting = None if ghost else (id_, text, mark, bucket)
+            if held > BATCH_CHARS:
+                yield made(out)
+                out, held = [], 0
         if out:
             yield made(out)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how near others are to it."""
-    paired = with_next_text(table(spark, sf_dir, "documents"))
-    marked = paired
-    for text, mark in (
-        ("text", "own_mark"), ("edited", "edited_mark"), ("next_text", "next_mark")
-    ):
-        marked = with_fingerprint(marked, text, mark)
-    near = with_likeness(marked, "own_mark", "edited_mark", "near_edited")
-    near = with_likeness(near, "own_mark", "next_mark", "near_next")
-    return near.select(
+    return compare_with_next(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
