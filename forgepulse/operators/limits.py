@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from forgepulse import schema as S
 
-# In larger inputs one very active account would send too many candidate rows (input splits x
-# limit) to a single task, so its old events are cut off before the shuffle.
-GUARD_FROM_BYTES = 256 << 30  # about 2,000 splits
-MAX_HOT_ACCOUNTS = 100_000
+# Rows from which an account is trimmed by `trim_hot_accounts`.
 HOT_ACCOUNT_ROWS = 1_000_000
 SALTS = 256
 
@@ -20,31 +15,18 @@ def newest_first() -> list[Column]:
     return [F.col("created_at").desc_nulls_last(), F.col("event_id").desc_nulls_last()]
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size Catalyst expects of the input, without running a job; huge where it cannot tell."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return sys.maxsize
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def hot_accounts(
-    flat: DataFrame, most: int = MAX_HOT_ACCOUNTS, min_rows: int = HOT_ACCOUNT_ROWS
-) -> DataFrame:
-    """The at most `most` busiest logins among those with `min_rows` events or more.
+def hot_accounts(flat: DataFrame, min_rows: int = HOT_ACCOUNT_ROWS) -> DataFrame:
+    """The logins with `min_rows` events or more; at most rows / `min_rows` of them.
 
-    Counts read the login column only and are combined before their narrow shuffle. The bound on
-    the list makes it safe to broadcast; a login beyond it is merely not trimmed early, and has
-    fewer rows than any that is: at most rows / `most`.
+    Counts read the login column only and are combined before their narrow shuffle.
     """
     counted = flat.groupBy("login").count().filter(F.col("count") >= min_rows)
-    return counted.orderBy(F.col("count").desc()).limit(most).select("login")
+    return counted.select("login")
 
 
 def trim_hot_accounts(
     flat: DataFrame,
     max_events: int,
-    most: int = MAX_HOT_ACCOUNTS,
     min_rows: int = HOT_ACCOUNT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -52,14 +34,15 @@ def trim_hot_accounts(
 
     The cut-off (the `max_events`-th newest event) is found over three narrow columns, first per
     salt and then per account, so no task ever sees more than `salts * max_events` rows of an
-    account or its share of one salt. Both broadcast sides have at most `most` rows.
+    account or its share of one salt. Whether the list of hot accounts is broadcast is left to
+    Spark, which measures it.
     """
-    hot = hot_accounts(flat, most, min_rows)
+    hot = hot_accounts(flat, min_rows)
     per_salt = Window.partitionBy("login", "salt").orderBy(*newest_first())
     per_login = Window.partitionBy("login").orderBy(*newest_first())
     cutoffs = (
         flat.select("login", "created_at", "event_id")
-        .join(F.broadcast(hot), "login")
+        .join(hot, "login")
         .withColumn("salt", F.spark_partition_id() % salts)
         .withColumn("place", F.row_number().over(per_salt))
         .filter(F.col("place") <= max_events)
@@ -73,23 +56,22 @@ def trim_hot_accounts(
         | (F.col("created_at") > at)
         | ((F.col("created_at") == at) & (number.isNull() | (F.col("event_id") >= number)))
     )
-    return flat.join(F.broadcast(cutoffs), "login", "left").filter(keep).drop("cutoff")
+    return flat.join(cutoffs, "login", "left").filter(keep).drop("cutoff")
 
 
 def latest_events(
-    flat: DataFrame, max_events: int = S.PAGE_SIZE * S.MAX_PAGES, guard: bool | None = None
+    flat: DataFrame, max_events: int | None = S.PAGE_SIZE * S.MAX_PAGES
 ) -> DataFrame:
     """The newest `max_events` events of each account, ranked by `event_rank` (1 = newest).
 
-    This is the bound every later operator relies on: no account has more rows than that.
-    Ranking filters before the shuffle (window group limit) as well as after it. `guard` forces
-    the early trimming of hot accounts on or off; by default the input size decides.
+    One plan at every size. Ranking filters before the shuffle (window group limit) as well as
+    after it, so an account sends at most `max_events` rows per input split. Callers whose input
+    has so many splits that this is still too much for one task apply `trim_hot_accounts` first.
+    Without a limit (None) all events of known accounts come back, unranked.
     """
     known = flat.filter(F.col("login").isNotNull())
-    if guard is None:
-        guard = estimated_bytes(known) > GUARD_FROM_BYTES
-    if guard:
-        known = trim_hot_accounts(known, max_events)
+    if max_events is None:
+        return known
     newest = Window.partitionBy("login").orderBy(*newest_first())
     return known.withColumn("event_rank", F.row_number().over(newest)).filter(
         F.col("event_rank") <= max_events

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from forgepulse import schema as S
 from forgepulse.operators import extract, features, limits, pairing
 from forgepulse.operators.activities import event_fates
-from forgepulse.operators.verdict import verdicts
+from forgepulse.operators.verdict import result_columns, verdicts
 from forgepulse.plans import oracle as O
 from forgepulse.plans import pipeline, testbed
+from forgepulse.plans.report import report
+from forgepulse.sources.events import combine_logins, read_accounts, read_events, read_logins
+from forgepulse.sources.folders import shared_folder
+from forgepulse.sources.results import with_date_text, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,7 +94,7 @@ _register(
 _register(
     "latest_events_guarded",
     lambda flat: limits.latest_events(
-        limits.trim_hot_accounts(flat, FEW, most=50, min_rows=FEW), FEW, guard=False
+        limits.trim_hot_accounts(flat, FEW, min_rows=FEW), FEW
     ).selectExpr("login", "event_id", "created_at", "CAST(event_rank AS bigint) AS event_rank"),
     O.with_tables(
         "SELECT login, event_id, created_at, event_rank FROM ranked", O.FLAT, O.limited(FEW)
@@ -111,8 +115,8 @@ _register(
 )
 _register(
     "dedup_events",
-    lambda flat: limits.dedup_events(limits.latest_events(flat)).select("login", "event_id"),
-    O.with_tables("SELECT login, event_id FROM ev", O.FLAT, O.limited(300)),
+    lambda flat: limits.dedup_events(limits.latest_events(flat, None)).select("login", "event_id"),
+    O.with_tables("SELECT login, event_id FROM ev", O.FLAT, O.limited(None)),
 )
 _register(
     "min_events_gate",
@@ -148,6 +152,14 @@ _register(
     lambda flat: pipeline.activities_of(flat).select(*_ACTIVITY_COLUMNS),
     _with_activities(f"SELECT {', '.join(_ACTIVITY_COLUMNS)} FROM activities"),
 )
+_register(
+    "activities_one_account",
+    lambda flat: pipeline.activities_of(testbed.one_account(flat)).select(*_ACTIVITY_COLUMNS),
+    O.with_tables(
+        f"SELECT {', '.join(_ACTIVITY_COLUMNS)} FROM activities",
+        *O.activity_parts(flat=O.ONE_ACCOUNT),
+    ),
+)
 _register(
     "activity_counts",
     lambda flat: pipeline.activities_of(flat)
@@ -278,6 +290,17 @@ _register(
     ),
 )
 
+_register(
+    "features_one_account",
+    lambda flat: pipeline.features_of(testbed.one_account(flat)),
+    O.with_tables(
+        f"SELECT contributor, {', '.join(S.FEATURES)}, events FROM statistics JOIN "
+        "(SELECT login AS contributor, count(*) AS events FROM ranked GROUP BY login) "
+        "USING (contributor)",
+        *O.feature_parts(flat=O.ONE_ACCOUNT),
+    ),
+)
+
 # --- verdicts ---------------------------------------------------------------------------------
 
 _register(
@@ -316,22 +339,30 @@ _QUERIES["progressive_fixed_score"] = _progressive_fixed
 _SQL["progressive_fixed_score"] = O.fixed_progressive(20, MIN_CONFIDENCE, PAGE_SIZE, S.MAX_PAGES)
 
 
+BOT_FROM, HUMAN_TO = 72, 68  # activities; accounts in between have no label
+
+
 def _train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the declared types, then judge the same accounts."""
+    """Learn a label that the activity count determines, and judge accounts not learned from."""
     from forgepulse.plans import model
 
-    labelled = pipeline.features_of(testbed.flat_events(spark, sf_dir)).join(
-        testbed.accounts(spark, sf_dir)
-        .filter("declared_type IN ('User', 'Bot')")
-        .selectExpr("login AS contributor", "declared_type = 'Bot' AS is_bot"),
-        "contributor",
-    )
-    fitted = model.train(labelled, rounds=5)
-    return verdicts(model.scorer(fitted)(labelled.drop("is_bot"))).select(
-        "contributor", "type", "confidence"
+    folder = shared_folder(spark, "train-score")
+    pipeline.features_of(testbed.flat_events(spark, sf_dir)).write.parquet(f"{folder}/features")
+    features = spark.read.parquet(f"{folder}/features").filter(
+        f"NA >= {BOT_FROM} OR NA <= {HUMAN_TO}"
     )
+    held_out = "CAST(substr(contributor, 5) AS bigint) % 4 = 0"
+    labelled = features.filter(f"NOT ({held_out})").selectExpr("*", f"NA >= {BOT_FROM} AS is_bot")
+    model.save(model.train(labelled, rounds=5, bins=256), f"{folder}/model")
+    score = model.scorer(model.load(f"{folder}/model"))
+    return verdicts(score(features.filter(held_out))).select("contributor", "type")
 
 
+_SQL["train_score_gbt"] = _with_features(
+    f"SELECT contributor, CASE WHEN NA >= {BOT_FROM} THEN 'Bot' ELSE 'Human' END AS type "
+    f"FROM statistics WHERE (NA >= {BOT_FROM} OR NA <= {HUMAN_TO}) "
+    "AND CAST(substr(contributor, 5) AS BIGINT) % 4 = 0"
+)
 _QUERIES["train_score_gbt"] = _train_score
 
 
@@ -340,7 +371,7 @@ def _classify_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from forgepulse.operators.extract import flatten_events
     from forgepulse.streaming import classify
 
-    folder = classify.shared_folder(spark, "classify-stream")
+    folder = shared_folder(spark, "classify-stream")
     stream = classify.classify_stream(
         flatten_events(testbed.stream_raw_events(spark, sf_dir)),
         testbed.accounts(spark, sf_dir),
@@ -358,8 +389,6 @@ def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the newest events of each account over a stream, then read them back."""
     from forgepulse.operators.extract import flatten_events
     from forgepulse.streaming import latest
-    from forgepulse.streaming.classify import shared_folder
-
     folder = shared_folder(spark, "stream-latest")
     stream = latest.store_latest_events(
         flatten_events(testbed.stream_raw_events(spark, sf_dir)),
@@ -377,14 +406,133 @@ def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["stream_latest_events"] = _stream_latest
 _SQL["stream_latest_events"] = O.with_tables(
     f"""SELECT login, event_id, event_type, repository, created_at, issue_closed_at, merged
-        FROM (SELECT DISTINCT * FROM flat)
+        FROM flat
         QUALIFY row_number() OVER (PARTITION BY login
                                    ORDER BY created_at DESC, event_id DESC) <= {FEW}""",
     O.FLAT,
 )
 _QUERIES["classify_stream"] = _classify_stream
-# The stream drops repeated events on arrival, so it counts them once.
-_SQL["classify_stream"] = O.fixed_classification(MIN_EVENTS, counted="ev")
+_SQL["classify_stream"] = O.fixed_classification(MIN_EVENTS)
+
+
+# --- sources and sinks --------------------------------------------------------------------------
+
+
+def _stored_json(spark: SparkSession, df: DataFrame, name: str) -> str:
+    folder = shared_folder(spark, name)
+    df.write.json(folder)
+    return folder
+
+
+def _events_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived archive as JSON lines, read and flattened."""
+    folder = _stored_json(spark, testbed.raw_events(spark, sf_dir), "events-json")
+    return extract.flatten_events(read_events(spark, folder))
+
+
+def _accounts_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _stored_json(spark, testbed.accounts(spark, sf_dir), "accounts-json")
+    return read_accounts(spark, folder)
+
+
+def _login_lists(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a short list `a` and a long list `b` of logins, each sorted."""
+    folder = shared_folder(spark, "logins")
+    numbers = "CAST(substr(login, 5) AS bigint)"
+    users = testbed.accounts(spark, sf_dir).selectExpr("login", f"{numbers} AS number")
+    for name, part in (("a", "number % 10 = 0"), ("b", "number % 10 != 0")):
+        lines = users.filter(part).orderBy("number").selectExpr("concat(login, ' note') AS value")
+        lines.coalesce(1).write.text(f"{folder}/{name}")
+    return folder
+
+
+def _combined_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named logins, then those of both lists, numbered in the order given."""
+    folder = _login_lists(spark, sf_dir)
+    listed = read_logins(spark, [f"{folder}/{name}" for name in ("b", "a")])
+    return combine_logins(spark, ["user1", "user0"], listed).selectExpr(
+        "login", "CAST(row_number() OVER (ORDER BY input_pos) AS bigint) AS place"
+    )
+
+
+_RESULT_COLUMNS = ["contributor", "type", "confidence"]
+
+
+def _written(file_format: str) -> Query:
+    """All verdicts written in a format and read again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = shared_folder(spark, f"results-{file_format}")
+        results = result_columns(_classify_fixed(spark, sf_dir), verbose=False)
+        write_results(results, folder, file_format)
+        if file_format == "text":
+            return spark.read.text(folder).selectExpr("value AS line")
+        reader = spark.read.schema("contributor string, type string, confidence double")
+        return reader.option("header", True).format(file_format).load(folder)
+
+    return query
+
+
+def _report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: archive, declarations and lists of logins to results in the order asked."""
+    events = _stored_json(spark, testbed.raw_events(spark, sf_dir), "report-events")
+    accounts = f"{events}-accounts"
+    testbed.accounts(spark, sf_dir).write.parquet(accounts)
+    return report(
+        spark, events, accounts, testbed.fixed_score, logins=["user1", "nobody"],
+        logins_file=_login_lists(spark, sf_dir) + "/*", min_events=MIN_EVENTS, max_queries=3,
+        accounts_format="parquet",
+    )
+
+
+_QUERIES["events_from_json"] = _events_from_json
+_SQL["events_from_json"] = _SQL["flatten_events"]
+_QUERIES["accounts_from_json"] = _accounts_from_json
+_SQL["accounts_from_json"] = O.with_tables("SELECT * FROM accounts", O.ACCOUNTS)
+_QUERIES["combined_logins"] = _combined_logins
+_SQL["combined_logins"] = O.with_tables(
+    "SELECT login, row_number() OVER (ORDER BY list, number) AS place FROM asked",
+    O.ACCOUNTS,
+    """asked AS (
+      SELECT 'user1' AS login, 0 AS list, 0 AS number UNION ALL SELECT 'user0', 0, 1
+      UNION ALL
+      SELECT login, CASE WHEN number % 10 = 0 THEN 1 ELSE 2 END, number
+      FROM (SELECT login, CAST(substr(login, 5) AS BIGINT) AS number FROM accounts))""",
+)
+_FIXED = O.fixed_classification(MIN_EVENTS)
+_SHORT = f"SELECT {', '.join(_RESULT_COLUMNS)} FROM ({_FIXED})"
+for _format in ("csv", "json", "text"):
+    _QUERIES[f"results_{_format}"] = _written(_format)
+_SQL["results_csv"] = _SQL["results_json"] = _SHORT
+_SQL["results_text"] = (
+    "SELECT concat_ws(chr(9), contributor, type, coalesce(CAST(confidence AS VARCHAR), '-')) "
+    f"AS line FROM ({_SHORT})"
+)
+_QUERIES["results_short"] = lambda spark, sf_dir: result_columns(
+    _classify_fixed(spark, sf_dir), verbose=False
+)
+_SQL["results_short"] = _SHORT
+_QUERIES["results_verbose"] = lambda spark, sf_dir: result_columns(
+    _classify_fixed(spark, sf_dir), verbose=True
+)
+_SQL["results_verbose"] = _FIXED
+_register(
+    "activity_dates_iso",
+    lambda flat: with_date_text(pipeline.activities_of(flat)).select(
+        "contributor", "event_id", "activity", "date"
+    ),
+    _with_activities(
+        "SELECT contributor, event_id, activity, strftime(date, '%Y-%m-%dT%H:%M:%S+00:00') AS date "
+        "FROM activities"
+    ),
+)
+_QUERIES["report_all"] = _report_all
+_SQL["report_all"] = f"""
+WITH asked AS (
+  SELECT DISTINCT 'user' || user_id AS login FROM events
+  UNION ALL SELECT 'user1' UNION ALL SELECT 'nobody')
+SELECT login AS contributor, coalesce(type, 'Invalid') AS type, confidence
+FROM asked LEFT JOIN ({_SHORT}) r ON r.contributor = asked.login"""
 
 
 def queries() -> dict[str, Query]:

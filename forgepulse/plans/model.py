@@ -20,13 +20,16 @@ def _inputs(features: DataFrame) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, label: str = "is_bot", rounds: int = 20, seed: int = 7) -> PipelineModel:
-    """Gradient-boosted trees on the 38 features; `label` is 1 for bots and 0 for humans."""
+def train(labelled: DataFrame, label: str = "is_bot", rounds: int = 20, seed: int = 7, bins: int = 32) -> PipelineModel:
+    """Gradient-boosted trees on the 38 features; `label` is 1 for bots and 0 for humans.
+
+    `labelled` is read several times: pass a stored feature table, not a plan over raw events.
+    """
     stages = [
         Imputer(strategy="median", inputCols=_INPUTS, outputCols=_INPUTS),
         VectorAssembler(inputCols=_INPUTS, outputCol="feature_vector"),
         GBTClassifier(
-            featuresCol="feature_vector", labelCol="label", maxIter=rounds, maxDepth=3, seed=seed
+            featuresCol="feature_vector", labelCol="label", maxIter=rounds, maxDepth=3, maxBins=bins, seed=seed
         ),
     ]
     prepared = _inputs(labelled).withColumn("label", F.col(label).cast("double"))
@@ -45,5 +48,9 @@ def scorer(model: PipelineModel):
     return score
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)

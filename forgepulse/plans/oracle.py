@@ -11,7 +11,8 @@ from forgepulse.plans.testbed import FIXED_SCORE_SQL
 
 FLAT = """
 src AS (
-  SELECT event_id AS i, user_id AS u, event_id % 40 AS m, (event_id // 40) % 7 - 3 AS d,
+  SELECT event_id AS i, user_id AS u,
+         CASE WHEN user_id % 50 = 7 THEN 39 ELSE event_id % 40 END AS m, (event_id // 40) % 7 - 3 AS d,
          date_trunc('second', ts) AS t
   FROM events),
 roles AS (
@@ -105,13 +106,19 @@ accounts AS (
 """
 
 
-def limited(max_events: int) -> str:
+ONE_ACCOUNT = FLAT.replace("\nflat AS (", "\nflat_given AS (") + """,
+flat AS (SELECT * REPLACE ('everyone' AS login) FROM flat_given)
+"""
+
+
+def limited(max_events: int | None) -> str:
+    cut = "" if max_events is None else f" WHERE event_rank <= {max_events}"
     return f"""
 ranked AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY login
                                  ORDER BY created_at DESC NULLS LAST, event_id DESC) AS event_rank
-    FROM flat) WHERE event_rank <= {max_events}),
+    FROM flat){cut}),
 ev AS (
   SELECT * FROM ranked
   QUALIFY row_number() OVER (PARTITION BY login, event_id, created_at ORDER BY event_rank) = 1)
@@ -438,11 +445,11 @@ def with_tables(select: str, *parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
 
-def activity_parts(max_events: int = 300, flat: str = FLAT) -> list[str]:
+def activity_parts(max_events: int | None = None, flat: str = FLAT) -> list[str]:
     return [flat, limited(max_events), PAIRS, ACTIVITIES]
 
 
-def feature_parts(max_events: int = 300, flat: str = FLAT) -> list[str]:
+def feature_parts(max_events: int | None = None, flat: str = FLAT) -> list[str]:
     return [*activity_parts(max_events, flat), RUNS, _SERIES, _ALL_STATISTICS]
 
 
@@ -459,7 +466,7 @@ def fixed_verdicts() -> str:
     )
 
 
-def fixed_classification(min_events: int, counted: str = "ranked") -> str:
+def fixed_classification(min_events: int) -> str:
     kept = ", ".join(f"s.{f}" for f in S.FEATURES)
     features = ", ".join(
         f"CASE WHEN declared_type = 'User' AND NOT lookup_failed THEN {f} END AS {f}"
@@ -469,26 +476,28 @@ def fixed_classification(min_events: int, counted: str = "ranked") -> str:
         f"""SELECT login AS contributor,
           CASE WHEN lookup_failed OR declared_type IS NULL THEN 'Invalid'
                WHEN declared_type <> 'User' THEN declared_type
-               WHEN events IS NULL OR events < {min_events} THEN 'Unknown'
+               WHEN events IS NULL OR events < {min_events} OR p_bot IS NULL THEN 'Unknown'
                ELSE {_VERDICT} END AS type,
           CASE WHEN lookup_failed OR declared_type IS NULL THEN NULL
                WHEN declared_type <> 'User' THEN 1.0
                WHEN events >= {min_events} THEN {_CONFIDENCE} END AS confidence,
           CASE WHEN declared_type = 'User' AND NOT lookup_failed
                THEN coalesce(events, 0) END AS events, {features}
-        FROM accounts LEFT JOIN (
-          SELECT s.contributor AS login, n.events, {kept}, {FIXED_SCORE_SQL} AS p_bot
-          FROM statistics s JOIN (SELECT login, count(*) AS events FROM {counted} GROUP BY login) n
-            ON n.login = s.contributor) USING (login)""",
+        FROM accounts
+        LEFT JOIN (SELECT login, count(*) AS events FROM ranked GROUP BY login) USING (login)
+        LEFT JOIN (
+          SELECT s.contributor AS login, {kept}, {FIXED_SCORE_SQL} AS p_bot
+          FROM statistics s) USING (login)""",
         ACCOUNTS,
-        *feature_parts(),
+        *feature_parts(300),
     )
 
 
 def fixed_progressive(min_events: int, min_confidence: float, page_size: int, pages: int) -> str:
     return with_tables(
         f"""SELECT login AS contributor, type, confidence, events, pages FROM (
-          SELECT a.login, type, confidence, coalesce(events, 0) AS events, pages,
+          SELECT a.login, coalesce(type, 'Unknown') AS type, confidence,
+            coalesce(events, t.total, 0) AS events, pages,
             row_number() OVER (PARTITION BY a.login
                                ORDER BY coalesce(stops, true) DESC, pages) AS choice
           FROM (SELECT login FROM accounts WHERE declared_type = 'User' AND NOT lookup_failed) a
@@ -504,7 +513,8 @@ def fixed_progressive(min_events: int, min_confidence: float, page_size: int, pa
               FROM (SELECT *, {FIXED_SCORE_SQL} AS p_bot FROM statistics) s
               JOIN (SELECT login, count(*) AS events FROM ranked GROUP BY login) n
                 ON n.login = s.contributor) p
-            JOIN totals USING (login)) v USING (login))
+            JOIN totals USING (login)) v USING (login)
+          LEFT JOIN totals t USING (login))
         WHERE choice = 1""",
         ACCOUNTS,
         FLAT,

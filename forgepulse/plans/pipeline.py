@@ -13,12 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from forgepulse import schema as S
 from forgepulse.operators.activities import emit_activities
 from forgepulse.operators.features import extract_features
-from forgepulse.operators.limits import (
-    count_events,
-    dedup_events,
-    estimated_bytes,
-    latest_events,
-)
+from forgepulse.operators.limits import count_events, dedup_events, latest_events
 from forgepulse.operators.pairing import resolve_pairs
 from forgepulse.operators.verdict import declared_verdicts, gated_verdicts
 
@@ -27,16 +22,14 @@ MAX_EVENTS = S.PAGE_SIZE * S.MAX_PAGES
 # A scorer adds the column `p_bot` to a feature table.
 Scorer = Callable[[DataFrame], DataFrame]
 
-# An account list up to this size is sent to every task to filter events before the shuffle.
-BROADCAST_BYTES = 64 << 20
 
-
-def resolved_events(flat: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
+def resolved_events(flat: DataFrame, max_events: int | None = None) -> DataFrame:
+    """Deduplicated events with their pairings; all of them unless `max_events` is given."""
     return resolve_pairs(dedup_events(latest_events(flat, max_events)))
 
 
 def activities_of(
-    flat: DataFrame, max_events: int = MAX_EVENTS, only: Sequence[int] | None = None
+    flat: DataFrame, max_events: int | None = None, only: Sequence[int] | None = None
 ) -> DataFrame:
     return emit_activities(resolved_events(flat, max_events), only=only)
 
@@ -49,13 +42,18 @@ def features_of_latest(latest: DataFrame, keys: Sequence[str] = ("login",)) -> D
     return extract_features(activities, ["contributor", *[k for k in keys if k != "login"]], ["events"])
 
 
-def features_of(flat: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
+def features_of(flat: DataFrame, max_events: int | None = None) -> DataFrame:
+    """Features of every account from all its events, or the newest `max_events`."""
     return features_of_latest(count_events(latest_events(flat, max_events)))
 
 
 def accounts_for(logins: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Declarations of the asked logins, order column and repeats kept; unknown logins failed."""
-    return logins.join(accounts, "login", "left").withColumn(
+    """Declarations of the asked logins, order column and repeats kept; unknown logins failed.
+
+    A login that is declared more than once counts once.
+    """
+    once = accounts.dropDuplicates(["login"])
+    return logins.join(once, "login", "left").withColumn(
         "lookup_failed", F.coalesce("lookup_failed", F.lit(True))
     )
 
@@ -68,17 +66,26 @@ def users_among(accounts: DataFrame) -> DataFrame:
 def _latest_of_users(accounts: DataFrame, flat: DataFrame, max_events: int) -> DataFrame:
     """Newest events of the accounts that need a model, that is, those declared `User`.
 
-    A short list filters events before the shuffle. A long one is joined after the limit, where
-    the events already lie partitioned by login and no account has more than `max_events` rows.
+    The join comes after the limit, where the events already lie partitioned by login and no
+    account has more than `max_events` rows; Spark decides from measured sizes how to run it.
     """
-    users = users_among(accounts)
-    if estimated_bytes(users) <= BROADCAST_BYTES:
-        flat = flat.join(F.broadcast(users), "login", "left_semi")
-        return count_events(latest_events(flat, max_events))
-    latest = latest_events(flat, max_events).join(users, "login", "left_semi")
+    latest = latest_events(flat, max_events).join(users_among(accounts), "login", "left_semi")
     return count_events(latest)
 
 
+def with_event_counts(latest: DataFrame, judged: DataFrame) -> DataFrame:
+    """`judged` with a row for every account in `latest` and the true count in `events`.
+
+    An account whose events are of no known kind has no features, but it has events.
+    """
+    counts = latest.groupBy(F.col("login").alias("contributor")).agg(
+        F.max("events").alias("counted")
+    )
+    return counts.join(judged, "contributor", "left").selectExpr(
+        "* EXCEPT (counted, events)", "coalesce(events, counted) AS events"
+    )
+
+
 def classify_accounts(
     accounts: DataFrame,
     flat: DataFrame,
@@ -93,6 +100,7 @@ def classify_accounts(
     """
     latest = _latest_of_users(accounts, flat, max_queries * page_size)
     judged = gated_verdicts(score(features_of_latest(latest)), min_events)
+    judged = with_event_counts(latest, judged)
     extra = tuple(c for c in accounts.columns if c not in S.ACCOUNT.fieldNames())
     return declared_verdicts(accounts, judged, extra)
 
@@ -151,5 +159,6 @@ def progressive_classify(
     judged = progressive_verdicts(
         latest, score, min_events, min_confidence, max_queries, page_size
     )
+    judged = with_event_counts(latest, judged)
     extra = tuple(c for c in accounts.columns if c not in S.ACCOUNT.fieldNames())
     return declared_verdicts(accounts, judged, ("pages", *extra))

@@ -26,11 +26,13 @@ def report(
     max_queries: int = S.MAX_PAGES,
     verbose: bool = False,
     file_format: str = "json",
+    accounts_format: str | None = None,
 ) -> DataFrame:
     """Type and confidence of each asked login, in the order asked.
 
     Pages of the newest events are added, up to `max_queries`, until the confidence exceeds
-    `min_confidence`. `verbose` adds the event count and the 38 features.
+    `min_confidence`. `verbose` adds the event count and the 38 features. `accounts_format` is
+    the format of the account table where it differs from that of the events.
     """
     if not 1 <= min_events <= S.PAGE_SIZE * S.MAX_PAGES:
         raise ValueError(f"min_events must lie between 1 and {S.PAGE_SIZE * S.MAX_PAGES}")
@@ -42,7 +44,7 @@ def report(
         raise ValueError("no logins given")
     listed = None if logins_file is None else read_logins(spark, logins_file)
     asked = combine_logins(spark, logins, listed)
-    accounts = accounts_for(asked, read_accounts(spark, accounts_path, file_format))
+    accounts = accounts_for(asked, read_accounts(spark, accounts_path, accounts_format or file_format))
     flat = flatten_events(read_events(spark, events_path, file_format))
     results = progressive_classify(
         accounts, flat, score, min_events, min_confidence, max_queries

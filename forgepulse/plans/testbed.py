@@ -65,7 +65,8 @@ def derive(source: DataFrame) -> DataFrame:
         source.selectExpr(
             "event_id AS i",
             "user_id AS u",
-            "event_id % 40 AS m",
+            # Every fiftieth user has only events of no known kind.
+            "CASE WHEN user_id % 50 = 7 THEN 39 ELSE event_id % 40 END AS m",
             "event_id DIV 40 % 7 - 3 AS d",
             "CAST(date_trunc('second', ts) AS timestamp_ntz) AS t",
         )
@@ -132,6 +133,11 @@ def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_events(raw_events(spark, sf_dir))
 
 
+def one_account(flat: DataFrame) -> DataFrame:
+    """All events under one login."""
+    return flat.selectExpr("* EXCEPT (login)", "'everyone' AS login").select(flat.columns)
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One declaration per account of the derived events."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()

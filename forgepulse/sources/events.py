@@ -30,12 +30,21 @@ def read_accounts(spark: SparkSession, path: str, file_format: str = "json") ->
     return spark.read.schema(S.ACCOUNT).format(file_format).load(path)
 
 
-def read_logins(spark: SparkSession, path: str) -> DataFrame:
-    """First space-separated token of each line, with its position in the file order.
+def read_logins(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """First space-separated token of each line, with its place in the order of lines.
 
-    Logins stay text. The position grows with file and offset, which is the order of lines.
+    Logins stay text. `input_pos` orders by file path, then by block and line within the file;
+    how Spark packs files into tasks does not matter.
     """
-    lines = spark.read.text(path).withColumn("input_pos", F.monotonically_increasing_id())
+    paths = [path] if isinstance(path, str) else path
+    lines = spark.read.text(paths).select(
+        "value",
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("input_pos"),
+    )
     first = F.split("value", " ").getItem(0)
     return lines.filter(F.length(first) > 0).select(first.alias("login"), "input_pos")
 
@@ -44,6 +53,8 @@ def combine_logins(
     spark: SparkSession, named: Sequence[str] = (), listed: DataFrame | None = None
 ) -> DataFrame:
     """Logins given by name first, those of a list after them; order and repeats are kept."""
-    rows = [(login, position - len(named)) for position, login in enumerate(named)]
-    given = spark.createDataFrame(rows, "login string, input_pos bigint")
+    rows = [(login, ("", 0, position)) for position, login in enumerate(named)]
+    given = spark.createDataFrame(
+        rows, "login string, input_pos struct<file: string, block: bigint, line: bigint>"
+    )
     return given if listed is None else given.unionByName(listed)

@@ -8,12 +8,19 @@ from forgepulse.functions.times import time_text
 
 
 def write_results(results: DataFrame, path: str, file_format: str = "csv") -> None:
-    """CSV with header, or one JSON object per line; each task writes its own part file."""
+    """CSV with header, one JSON object per line, parquet, or text as `text_lines`.
+
+    All rows are written; each task writes its own part file.
+    """
     writer = results.write.mode("overwrite")
     if file_format == "csv":
         writer.option("header", True).csv(path)
     elif file_format == "json":
         writer.option("ignoreNullFields", False).json(path)
+    elif file_format == "parquet":
+        writer.parquet(path)
+    elif file_format == "text":
+        text_lines(results).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown result format: {file_format}")
 
@@ -25,7 +32,13 @@ def as_text(results: DataFrame) -> DataFrame:
     )
 
 
-def render_results(results: DataFrame, rows: int = 20) -> None:
+def text_lines(results: DataFrame) -> DataFrame:
+    """Every row as one line of tab-separated text."""
+    columns = ", ".join(f"`{c}`" for c in results.columns)
+    return as_text(results).selectExpr(f"concat_ws('\t', {columns}) AS value")
+
+
+def preview_results(results: DataFrame, rows: int) -> None:
     """Print the first `rows` rows as a text table."""
     as_text(results).show(rows, truncate=False)
 

@@ -8,9 +8,6 @@ verdict of each account.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,29 +20,29 @@ from forgepulse.plans.pipeline import (
     accounts_for,
     features_of_latest,
     users_among,
+    with_event_counts,
 )
-from forgepulse.streaming.latest import kept_events, stream_latest_events
-
+from forgepulse.sources.folders import shared_folder  # noqa: F401
+from forgepulse.sources.results import write_results
+from forgepulse.streaming.latest import SNAPSHOT_EVERY, arriving, keep_latest, start
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach: below `spark.checkpoint.dir` if that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        token = os.urandom(8).hex()
-        return f"{base.rstrip('/')}/{name}-{token}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+VERDICT = (
+    "contributor string, type string, confidence double, events bigint, "
+    + ", ".join(f"`{f}` {'bigint' if f in ('NA', 'NT', 'NOR') else 'double'}" for f in S.FEATURES)
+)
 
 
 def judge_batch(
     flat: DataFrame, accounts: DataFrame, score: Scorer, min_events: int, max_events: int
 ) -> DataFrame:
     """Verdicts of the accounts in `flat`, which holds all kept events of each."""
-    latest = latest_events(flat, max_events, guard=False)
+    latest = latest_events(flat, max_events)
     # Accounts without any activity have no features but are part of the batch nevertheless.
     declared = accounts_for(latest.filter("event_rank = 1").select("login"), accounts)
     judged_by_model = latest.join(users_among(declared), "login", "left_semi")
-    features = features_of_latest(count_events(judged_by_model))
-    return declared_verdicts(declared, gated_verdicts(score(features), min_events))
+    counted = count_events(judged_by_model)
+    judged = gated_verdicts(score(features_of_latest(counted)), min_events)
+    return declared_verdicts(declared, with_event_counts(counted, judged))
 
 
 def classify_stream(
@@ -57,33 +54,33 @@ def classify_stream(
     min_events: int = 5,
     max_events: int = MAX_EVENTS,
     late_by: str | None = None,
+    file_format: str = "parquet",
+    kept: str | None = None,
+    snapshot_every: int = SNAPSHOT_EVERY,
     **trigger,
 ) -> StreamingQuery:
-    """Start the stream; `trigger` goes to the writer, e.g. `availableNow=True`."""
+    """Start the stream; `trigger` goes to the writer, e.g. `availableNow=True`.
+
+    Verdicts are written as parquet, csv, json or text. The newest events of each account are
+    stored in the folder `kept`, beside the checkpoint unless given.
+    """
+    state = kept or f"{checkpoint.rstrip('/')}-events"
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # The stateful step runs once: its output is stored before being read repeatedly.
-        kept = batch.persist()
-        try:
-            verdicts = judge_batch(kept_events(kept), accounts, score, min_events, max_events)
-            verdicts.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-        finally:
-            kept.unpersist()
-
-    writer = stream_latest_events(flat_stream, max_events, late_by).writeStream
-    return (
-        writer.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "1 minute"}))
-        .foreachBatch(publish)
-        .start()
-    )
+        events = keep_latest(batch, batch_id, state, max_events, snapshot_every)
+        verdicts = judge_batch(events, accounts, score, min_events, max_events)
+        write_results(verdicts, f"{output}/batch_id={batch_id}", file_format)
 
+    return start(arriving(flat_stream, late_by), checkpoint, publish, trigger)
 
-def current_verdicts(spark: SparkSession, output: str) -> DataFrame:
+
+def current_verdicts(
+    spark: SparkSession, output: str, file_format: str = "parquet"
+) -> DataFrame:
     """The last verdict of each account; combined before the shuffle, so hot accounts are cheap."""
     columns = ["contributor", "type", "confidence", "events", *S.FEATURES]
-    log = spark.read.parquet(output)
+    reader = spark.read.schema(f"{VERDICT}, batch_id bigint").option("header", True)
+    log = reader.format(file_format).load(output)
     return (
         log.groupBy("contributor")
         .agg(F.max_by(F.struct(*columns), "batch_id").alias("last"))

@@ -1,74 +1,79 @@
-"""Keep the newest events of each account while a stream of events comes in."""
+"""Keep the newest events of each account while a stream of events comes in.
 
-from __future__ import annotations
+Each batch is reduced to the newest events per account before its shuffle, joined by the stored
+events of the accounts it touches, reduced again and stored in a folder of its own. The folder is
+overwritten when the batch is repeated after a failure, and a batch reads only what earlier ones
+stored. Now and then a batch stores the events of all accounts; readers start at the last such
+snapshot, so what a batch reads does not grow with the age of the stream.
+
+Repeated events are rows like any others, as in `latest_events`: they take places among the newest
+and count. Events without id are never taken for repeats.
+"""
 
-from collections.abc import Callable, Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from forgepulse import schema as S
-from forgepulse.functions.times import epoch_micros
+from forgepulse.operators.limits import latest_events
+from forgepulse.sources.folders import exists
 
-_BODY = ", ".join(S.FLAT_EVENT.fieldNames())
-_OUTPUT = "login string, at bigint, id bigint, body string"
-_STATE = "at array<bigint>, id array<bigint>, body array<string>"
+_FIELDS = S.FLAT_EVENT.fieldNames()
+SNAPSHOT_EVERY = 50
 
 
-def _keeper(max_events: int) -> Callable:
-    """Merge new rows of one account into its kept ones; memory is bounded by `max_events`
-    plus one Arrow batch, however many rows a batch of the stream has for the account."""
-
-    def keep(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        columns = ["at", "id", "body"]
-        kept = pd.DataFrame(dict(zip(columns, state.get)) if state.exists else {}, columns=columns)
-        for chunk in chunks:
-            fresh = chunk[columns]
-            both = fresh if kept.empty else pd.concat([kept, fresh])
-            kept = (
-                both.drop_duplicates(["at", "id"])
-                .sort_values(["at", "id"], ascending=False)
-                .head(max_events)
-            )
-        state.update(tuple(kept[c].tolist() for c in columns))
-        yield kept.assign(login=key[0])[["login", *columns]]
+def arriving(flat: DataFrame, late_by: str | None = None) -> DataFrame:
+    """The events of known accounts. With `late_by`, events later than that watermark are ignored
+    and repeats of an id within it dropped; events without id or time pass."""
+    known = flat.filter("login IS NOT NULL")
+    if late_by is None:
+        return known
+    named = "event_id IS NOT NULL AND created_at IS NOT NULL"
+    once = (
+        known.filter(named)
+        .selectExpr("*", "CAST(created_at AS timestamp) AS event_time")
+        .withWatermark("event_time", late_by)
+        .dropDuplicatesWithinWatermark(["login", "event_id"])
+    )
+    return once.select(_FIELDS).union(known.filter(f"NOT ({named})").select(_FIELDS))
 
-    return keep
 
+def _stored(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The log of batches since the last snapshot; None if there is none."""
+    if not exists(spark, folder):
+        return None
+    log = spark.read.parquet(folder)
+    if before is not None:
+        log = log.filter(F.col("batch_id") < before)
+    last = log.filter("snapshot = 1").agg(F.max("batch_id")).first()[0]
+    return log if last is None else log.filter(F.col("batch_id") >= last)
 
-def stream_latest_events(
-    flat: DataFrame, max_events: int = S.PAGE_SIZE * S.MAX_PAGES, late_by: str | None = None
-) -> DataFrame:
-    """For each account touched by a batch, all of its newest events, without repeats.
 
-    The state holds at most `max_events` rows per account and drops repeats itself, since a
-    repeat is either still among them or older than all of them. With `late_by`, events later
-    than that watermark are ignored and repeats are removed before they reach the state.
-    """
-    known = flat.filter("login IS NOT NULL")
-    if late_by is not None:
-        known = (
-            known.selectExpr("*", "CAST(created_at AS timestamp) AS event_time")
-            .withWatermark("event_time", late_by)
-            .dropDuplicatesWithinWatermark(["login", "event_id"])
-        )
-    compact = known.selectExpr(
-        "login",
-        f"coalesce({epoch_micros('created_at')}, -9223372036854775808) AS at",
-        "coalesce(event_id, -1L) AS id",
-        f"to_json(struct({_BODY})) AS body",
-    )
-    return compact.groupBy("login").applyInPandasWithState(
-        _keeper(max_events), _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
-    )
+def _current(log: DataFrame) -> DataFrame:
+    last = log.groupBy("login").agg(F.max("batch_id").alias("batch_id"))
+    return log.join(last, ["login", "batch_id"]).select(_FIELDS)
 
 
-def kept_events(kept: DataFrame) -> DataFrame:
-    """The flat events of a batch of `stream_latest_events`."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FLAT_EVENT)
-    return kept.selectExpr(f"from_json(body, '{fields}') AS event").select("event.*")
+def keep_latest(
+    batch: DataFrame, batch_id: int, folder: str, max_events: int, snapshot_every: int
+) -> DataFrame:
+    """Store a batch's accounts with their newest events, and return those of the accounts the
+    batch touches."""
+    spark = batch.sparkSession
+    log = _stored(spark, folder, batch_id)
+    snapshot = int(batch_id > 0 and batch_id % snapshot_every == 0)
+    rows = latest_events(batch, max_events).select(_FIELDS)
+    touched = batch.filter("login IS NOT NULL").select("login").distinct()
+    if log is not None:
+        known = _current(log)
+        if not snapshot:
+            known = known.join(touched, "login", "left_semi")
+        rows = latest_events(rows.unionByName(known), max_events).select(_FIELDS)
+    path = f"{folder}/snapshot={snapshot}/batch_id={batch_id}"
+    rows.write.mode("overwrite").parquet(path)
+    kept = spark.read.schema(S.FLAT_EVENT).parquet(path)
+    return kept.join(touched, "login", "left_semi") if snapshot else kept
 
 
 def store_latest_events(
@@ -77,16 +82,20 @@ def store_latest_events(
     checkpoint: str,
     max_events: int = S.PAGE_SIZE * S.MAX_PAGES,
     late_by: str | None = None,
+    snapshot_every: int = SNAPSHOT_EVERY,
     **trigger,
 ) -> StreamingQuery:
-    """Write the kept events of the accounts each batch touches to a folder per batch."""
+    """Start keeping the newest events of each account below `output`."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        kept_events(batch).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        keep_latest(batch, batch_id, output, max_events, snapshot_every)
+
+    return start(arriving(flat, late_by), checkpoint, publish, trigger)
 
-    writer = stream_latest_events(flat, max_events, late_by).writeStream
+
+def start(stream: DataFrame, checkpoint: str, publish, trigger: dict) -> StreamingQuery:
     return (
-        writer.outputMode("update")
+        stream.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .foreachBatch(publish)
@@ -96,6 +105,9 @@ def store_latest_events(
 
 def current_events(spark: SparkSession, output: str) -> DataFrame:
     """The kept events of each account as of the last batch that touched it."""
-    log = spark.read.parquet(output)
-    last = log.groupBy("login").agg(F.max("batch_id").alias("batch_id"))
-    return log.join(last, ["login", "batch_id"]).select(*S.FLAT_EVENT.fieldNames())
+    return _current(_stored(spark, output))
+
+
+def compact_events(spark: SparkSession, output: str, target: str) -> None:
+    """Write the current events as one snapshot, to replace a long log of batches."""
+    current_events(spark, output).write.mode("overwrite").parquet(f"{target}/snapshot=1/batch_id=0")

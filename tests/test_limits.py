@@ -44,14 +44,14 @@ def newest(rows, limit):
 def test_latest_events(skewed, guard, limit):
     rows, table = skewed
     if guard:
-        table = limits.trim_hot_accounts(table, limit, most=20, min_rows=limit, salts=3)
-    found = limits.latest_events(table, limit, guard=False).select("login", "event_id")
+        table = limits.trim_hot_accounts(table, limit, min_rows=limit, salts=3)
+    found = limits.latest_events(table, limit).select("login", "event_id")
     assert sorted(map(tuple, found.collect())) == newest(rows, limit)
 
 
 def test_trimming_drops_only_old_events_of_hot_accounts(skewed):
     rows, table = skewed
-    trimmed = limits.trim_hot_accounts(table, 40, most=5, min_rows=500)
+    trimmed = limits.trim_hot_accounts(table, 40, min_rows=500)
     counts = {r["login"]: r["count"] for r in trimmed.groupBy("login").count().collect()}
     whole = {}
     for r in rows:
@@ -62,14 +62,14 @@ def test_trimming_drops_only_old_events_of_hot_accounts(skewed):
 
 def test_all_times_missing_in_a_hot_account(spark):
     rows = [event(n, S.PUSH, None, login="hot") for n in range(50)]
-    trimmed = limits.trim_hot_accounts(flat(spark, rows), 10, most=5, min_rows=10)
-    kept = limits.latest_events(trimmed, 10, guard=False).select("event_id").collect()
+    trimmed = limits.trim_hot_accounts(flat(spark, rows), 10, min_rows=10)
+    kept = limits.latest_events(trimmed, 10).select("event_id").collect()
     assert sorted(r.event_id for r in kept) == list(range(40, 50))
 
 
 def test_limit_prunes_before_the_only_shuffle(skewed):
     _, table = skewed
-    plan = limits.latest_events(table, 60, guard=False)._jdf.queryExecution().executedPlan().toString()
+    plan = limits.latest_events(table, 60)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert plan.count("Exchange hashpartitioning(login") == 1
 
@@ -88,7 +88,7 @@ def test_pages(spark):
 
 def test_dedup_needs_no_shuffle_beyond_the_limit(skewed):
     rows, table = skewed
-    deduplicated = limits.dedup_events(limits.latest_events(table, 10_000, guard=False))
+    deduplicated = limits.dedup_events(limits.latest_events(table, 10_000))
     assert deduplicated.count() == len({(r["login"], r["event_id"]) for r in rows})
     plan = deduplicated._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
@@ -96,7 +96,7 @@ def test_dedup_needs_no_shuffle_beyond_the_limit(skewed):
 
 def test_events_without_id_are_no_copies(spark):
     rows = [event(None, S.PUSH, 0), event(None, S.FORK, 0)]
-    assert limits.dedup_events(limits.latest_events(flat(spark, rows), guard=False)).count() == 2
+    assert limits.dedup_events(limits.latest_events(flat(spark, rows))).count() == 2
 
 
 def test_count_includes_repeats(spark):

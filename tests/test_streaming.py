@@ -1,14 +1,17 @@
 """Streams in several batches end where one batch over everything ends."""
 
+import json
+from types import SimpleNamespace
+
 import pytest
 
 from forgepulse.operators.extract import flatten_events
 from forgepulse.plans import pipeline, testbed
-from forgepulse.sources.events import stream_events
-from forgepulse.streaming import classify
+from forgepulse.sources.events import read_events, stream_events
+from forgepulse.streaming import classify, latest
 
 SF = "/root/testdata/sf0.001"
-COLUMNS = ["contributor", "type", "confidence", "NA", "NT", "DCA_mean", "NAT_gini", "DAAR_IQR"]
+COLUMNS = ["contributor", "type", "confidence", "events", "NA", "NT", "DCA_mean", "NAT_gini", "DAAR_IQR"]
 
 
 @pytest.fixture(scope="module")
@@ -29,13 +32,16 @@ def test_stream_equals_batch(spark, slices, tmp_path, max_events, late_by):
     accounts = testbed.accounts(spark, SF)
     query = classify.classify_stream(
         flat, accounts, testbed.fixed_score, str(tmp_path / "out"), str(tmp_path / "checkpoint"),
-        max_events=max_events, late_by=late_by, availableNow=True,
+        max_events=max_events, late_by=late_by, snapshot_every=2, availableNow=True,
     )
     query.awaitTermination()
     assert len(list((tmp_path / "out").iterdir())) >= 4
-    unique = testbed.flat_events(spark, SF).dropDuplicates(["event_id"])
+    # Repeats count as in batch, unless a watermark removes them.
+    whole = flatten_events(read_events(spark, slices))
+    if late_by:
+        whole = whole.dropDuplicates(["event_id"])
     expected = pipeline.classify_accounts(
-        accounts, unique, testbed.fixed_score, max_queries=1, page_size=max_events
+        accounts, whole, testbed.fixed_score, max_queries=1, page_size=max_events
     )
     found = classify.current_verdicts(spark, str(tmp_path / "out"))
     assert sorted(map(str, found.select(COLUMNS).collect())) == sorted(
@@ -59,3 +65,52 @@ def test_compaction_keeps_the_last_verdicts(spark, tmp_path):
 def test_shared_folder_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert classify.shared_folder(spark, "x").startswith(f"{base}/x-")
+
+
+@pytest.mark.parametrize("late_by", [None, "3650 days"])
+def test_events_without_id_are_all_kept(spark, tmp_path, late_by):
+    raw = [
+        {"type": kind, "actor": {"login": "ann"}, "created_at": "2024-02-03T04:05:06Z"}
+        for kind in ("WatchEvent", "ForkEvent", "PublicEvent")
+    ]
+    (tmp_path / "in").mkdir()
+    for i, row in enumerate(raw):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(row))
+    flat = flatten_events(stream_events(spark, str(tmp_path / "in"), max_files_per_trigger=1))
+    out = str(tmp_path / "out")
+    query = latest.store_latest_events(
+        flat, out, str(tmp_path / "checkpoint"), late_by=late_by, availableNow=True
+    )
+    query.awaitTermination()
+    kinds = [r.event_type for r in latest.current_events(spark, out).collect()]
+    assert sorted(kinds) == ["ForkEvent", "PublicEvent", "WatchEvent"]
+    latest.compact_events(spark, out, str(tmp_path / "small"))
+    assert latest.current_events(spark, str(tmp_path / "small")).count() == 3
+
+
+@pytest.mark.parametrize("file_format", ["csv", "json", "text"])
+def test_verdicts_in_the_format_asked_for(spark, slices, tmp_path, file_format):
+    out = str(tmp_path / "out")
+    classify.classify_stream(
+        flatten_events(stream_events(spark, slices)), testbed.accounts(spark, SF),
+        testbed.fixed_score, out, str(tmp_path / "checkpoint"), file_format=file_format,
+        availableNow=True,
+    ).awaitTermination()
+    if file_format == "text":
+        assert spark.read.text(out).count() == 15
+    else:
+        found = classify.current_verdicts(spark, out, file_format)
+        assert found.count() == 15 and found.filter("NA > 0").count() > 5
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, key, default):
+            return self.values.get(key, default)
+
+    with pytest.raises(ValueError):
+        classify.shared_folder(SimpleNamespace(conf=Conf("spark://host:7077")), "x")
+    assert "/x-" in classify.shared_folder(SimpleNamespace(conf=Conf("local[2]")), "x")

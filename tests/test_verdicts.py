@@ -59,7 +59,7 @@ def test_cascade(spark):
         "ann": ("Bot", 0.8, 6, 6),
         "few": ("Unknown", None, 3, 3),
         "none": ("Unknown", None, 0, None),
-        "odd": ("Unknown", None, 0, None),
+        "odd": ("Unknown", None, 1, None),
         "robot": ("Bot", 1.0, None, None),
         "club": ("Organization", 1.0, None, None),
         "gone": ("Invalid", None, None, None),
@@ -186,7 +186,13 @@ def test_sinks(spark, tmp_path, capsys):
     sinks.write_results(results, str(tmp_path / "j"), "json")
     lines = spark.read.text(str(tmp_path / "j")).collect()
     assert {"contributor": "b", "type": "Unknown", "confidence": None} in [json.loads(r.value) for r in lines]
-    sinks.render_results(results)
+    sinks.write_results(results, str(tmp_path / "t"), "text")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == [
+        "a\tBot\t0.8", "b\tUnknown\t-"
+    ]
+    many = spark.range(25).selectExpr("CAST(id AS string) AS contributor")
+    assert sinks.text_lines(many).count() == 25
+    sinks.preview_results(results, rows=2)
     assert "|b          |Unknown|-         |" in capsys.readouterr().out
     with pytest.raises(ValueError):
         sinks.write_results(results, str(tmp_path / "x"), "xml")
@@ -203,17 +209,36 @@ def test_date_text(spark):
     assert sinks.with_date_text(activities).first().date == "2024-03-01T12:00:05+00:00"
 
 
-def test_long_account_lists_join_after_the_limit(spark, monkeypatch):
-    sf = "/root/testdata/sf0.001"
+def test_users_of_unknown_events_keep_their_count(spark):
+    """Six events of no known kind: no features, no verdict, but six events."""
+    rows = [event(n, "SponsorshipEvent", n, login="odd") for n in range(6)]
+    events = flat(spark, [*rows, push(90, 0, login="ann")])
+    accounts = declare(spark, [("odd", "User", False), ("ann", "User", False), ("none", "User", False)])
+    for results in (
+        pipeline.classify_accounts(accounts, events, constant(0.2), min_events=1),
+        pipeline.progressive_classify(accounts, events, constant(0.2), min_events=1),
+    ):
+        found = {r.contributor: (r.type, r.events) for r in results.collect()}
+        assert found == {"odd": ("Unknown", 6), "ann": ("Human", 1), "none": ("Unknown", 0)}
+
+
+def test_repeated_declarations_count_once(spark):
+    accounts = declare(spark, [("ann", "Bot", False), ("ann", "Bot", False)])
+    asked = spark.createDataFrame([("ann",), ("bob",)], "login string")
+    found = pipeline.accounts_for(asked, accounts).collect()
+    assert sorted((r.login, r.lookup_failed) for r in found) == [("ann", False), ("bob", True)]
+
+
+def test_logins_keep_the_order_of_lines_and_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a0 x\n\na1\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(50)))
+    listed = sources.read_logins(spark, str(tmp_path))
+    asked = sources.combine_logins(spark, ["n0", "n1"], listed).orderBy("input_pos")
+    assert [r.login for r in asked.collect()] == ["n0", "n1", "a0", "a1", *[f"b{i}" for i in range(50)]]
 
-    def classified():
-        return pipeline.classify_accounts(
-            testbed.accounts(spark, sf), testbed.flat_events(spark, sf), testbed.fixed_score
-        )
 
-    short = sorted(map(str, classified().collect()))
-    monkeypatch.setattr(pipeline, "BROADCAST_BYTES", 0)
-    late = classified()
-    assert sorted(map(str, late.collect())) == short
-    plan = late._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("LeftSemi") < plan.index("row_number() windowspecdefinition(login")
+def test_all_events_count_unless_a_limit_is_given(spark):
+    rows = [push(n, n) for n in range(400)]
+    assert pipeline.features_of(flat(spark, rows)).first().NA == 400
+    assert pipeline.features_of(flat(spark, rows), 300).first().NA == 300
+    assert pipeline.activities_of(flat(spark, rows)).count() == 400
