@@ -122,13 +122,19 @@ def fit(
     )
     error = np.sqrt((1 / smooth[:, used]).sum(axis=0))
     ratio[used] *= np.abs(ratio[used]) >= ERRORS * error
-    shared = grams.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+    chosen = np.flatnonzero(ratio)
+    if not len(chosen):
+        return Model(flat, float(np.log(shares[1] / shares[0])))
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
+    shared = grams.sparkSession.sparkContext.broadcast((place, ratio[chosen]))
 
     @F.udf(VectorUDT())
     def scaled(held: bytes) -> SparseVector:
-        found = np.frombuffer(held, np.int32)
-        values = shared.value[found].astype(np.float64)
-        return SparseVector(1 << BITS, found[values != 0], values[values != 0])
+        places, ratios = shared.value
+        own = places[np.frombuffer(held, np.int32)]
+        own = np.sort(own[own >= 0])
+        return SparseVector(len(ratios), own, ratios[own])
 
     vectors = grams.select(F.col("label").cast("double"), scaled("grams").alias("features"))
     fitted = LogisticRegression(
@@ -137,8 +143,8 @@ def fit(
     shared.unpersist()
     sampled = [min(float(shares[k]), float(per_label)) for k in (0, 1)]
     prior = np.log(shares[1] / shares[0]) - np.log(sampled[1] / sampled[0])
-    weights = fitted.coefficients.toArray() * ratio
-    return Model(weights.astype(np.float32), float(fitted.intercept + prior))
+    flat[chosen] = fitted.coefficients.toArray() * ratio[chosen]
+    return Model(flat, float(fitted.intercept + prior))
 
 
 def score(
