@@ -73,13 +73,16 @@ def _latest_of_users(accounts: DataFrame, flat: DataFrame, max_events: int) -> D
     return count_events(latest)
 
 
-def with_event_counts(latest: DataFrame, judged: DataFrame) -> DataFrame:
-    """`judged` with a row for every account in `latest` and the true count in `events`.
+def with_event_counts(flat: DataFrame, max_events: int, judged: DataFrame) -> DataFrame:
+    """`judged` with a row for every account in `flat` and the true count in `events`.
 
-    An account whose events are of no known kind has no features, but it has events.
+    An account whose events are of no known kind has no features, but it has events. The counts
+    read the login column only and are combined before their shuffle.
     """
-    counts = latest.groupBy(F.col("login").alias("contributor")).agg(
-        F.max("events").alias("counted")
+    counts = (
+        flat.filter("login IS NOT NULL")
+        .groupBy(F.col("login").alias("contributor"))
+        .agg(F.least(F.count(F.lit(1)), F.lit(max_events).cast("bigint")).alias("counted"))
     )
     return counts.join(judged, "contributor", "left").selectExpr(
         "* EXCEPT (counted, events)", "coalesce(events, counted) AS events"
@@ -100,7 +103,7 @@ def classify_accounts(
     """
     latest = _latest_of_users(accounts, flat, max_queries * page_size)
     judged = gated_verdicts(score(features_of_latest(latest)), min_events)
-    judged = with_event_counts(latest, judged)
+    judged = with_event_counts(flat, max_queries * page_size, judged)
     extra = tuple(c for c in accounts.columns if c not in S.ACCOUNT.fieldNames())
     return declared_verdicts(accounts, judged, extra)
 
@@ -159,6 +162,6 @@ def progressive_classify(
     judged = progressive_verdicts(
         latest, score, min_events, min_confidence, max_queries, page_size
     )
-    judged = with_event_counts(latest, judged)
+    judged = with_event_counts(flat, max_queries * page_size, judged)
     extra = tuple(c for c in accounts.columns if c not in S.ACCOUNT.fieldNames())
     return declared_verdicts(accounts, judged, ("pages", *extra))

@@ -42,7 +42,7 @@ def judge_batch(
     judged_by_model = latest.join(users_among(declared), "login", "left_semi")
     counted = count_events(judged_by_model)
     judged = gated_verdicts(score(features_of_latest(counted)), min_events)
-    return declared_verdicts(declared, with_event_counts(counted, judged))
+    return declared_verdicts(declared, with_event_counts(flat, max_events, judged))
 
 
 def classify_stream(
