@@ -22,10 +22,8 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 import public_tokenizers
 import regex
 from pyspark import Broadcast
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from forgepulse.llm.common import table
+from forgepulse.llm.common import add_columns, table
 
 CACHE_ENTRIES = 300_000
 """Pre-tokens in each of the two generations of a worker's cache."""
@@ -177,16 +175,12 @@ def count_tokens(
     """`df` with the text's UTF-8 bytes, its tokens and whether they exceed `limit`."""
     shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(path))
 
-    @F.pandas_udf("long")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         counter = _counter(shared)
-        for batch in batches:
-            yield batch.map(counter.count, na_action=None).astype("int64")
+        return lambda held: (len((held or "").encode("utf-8")), counter.count(held))
 
     n_bytes, n_tokens, over = names
-    counted = df.withColumns(
-        {n_bytes: F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), n_tokens: tokens(text)}
-    )
+    counted = add_columns(df, [text], f"`{n_bytes}` long, `{n_tokens}` long", make)
     return counted.withColumn(over, F.col(n_tokens) > F.lit(limit))
 
 
