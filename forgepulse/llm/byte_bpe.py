@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import table
+from forgepulse.llm.common import add_columns, table
 
 PART_CHARS = 1 << 16
 SAFE_CUT = regex.compile(
@@ -98,28 +98,27 @@ def encode(
     """`df` with the ids of the text, as binary, and their number."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         encoder = _encoder(shared)
-        for batch in batches:
-            yield pd.Series([encode_text(encoder, t) for t in batch], dtype=object)
 
-    return df.withColumn(ids, encoded(text)).withColumn(
-        count, F.floor(F.octet_length(ids) / 4).cast("long")
-    )
+        def coded(held: str | None) -> tuple[bytes, int]:
+            packed = encode_text(encoder, held)
+            return packed, len(packed) // 4
+
+        return coded
+
+    return add_columns(df, [text], f"`{ids}` binary, `{count}` long", make)
 
 
 def decode(df: DataFrame, ranks: Ranks, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`df` with the raw bytes that the ids stand for."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf("binary")
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         encoder = _encoder(shared)
-        for batch in batches:
-            yield pd.Series([decode_ids(encoder, i) for i in batch], dtype=object)
+        return lambda held: (decode_ids(encoder, held),)
 
-    return df.withColumn(decoded, raw(ids))
+    return add_columns(df, [ids], f"`{decoded}` binary", make)
 
 
 def ids_array(ids: str = "ids") -> Column:
@@ -136,7 +135,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_multi_50k.tiktoken, and what they decode to."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(documents, ranks), ranks)
+    coded = decode(encode(documents, ranks).drop("text"), ranks)
     return coded.select(
         "doc_id",
         "n_tokens",
