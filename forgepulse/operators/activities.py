@@ -107,22 +107,17 @@ def emit_activities(
     )
     if collapsing:
         own = _choice(collapsing, test="activity_ord = {number}", result="{condition}")
-        # Rows of one second in one repository and pairing group are neighbours already.
+        # Rows of one second in one repository and pairing group lie together already. Events that
+        # don't collapse have no key and stay.
         same_time = f"{', '.join(keys)}, repository, group_2, sort_time"
         emitted = (
-            emitted.selectExpr("*", f"{own} AS emission_keys")
+            emitted.selectExpr("*", f"explode_outer({own}) AS emission_key")
             .selectExpr(
                 "*",
-                f"collect_list(emission_keys) OVER (PARTITION BY {same_time} ORDER BY event_id "
-                "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_keys",
-            )
-            .selectExpr(
-                "*",
-                """explode(array_repeat(1, CASE
-                     WHEN emission_keys IS NULL THEN 1
-                     WHEN size(earlier_keys) = 0 THEN size(emission_keys)
-                     ELSE size(array_except(emission_keys, flatten(earlier_keys))) END)) AS copy""",
+                f"row_number() OVER (PARTITION BY {same_time}, emission_key ORDER BY event_id) "
+                "AS emission",
             )
+            .filter("emission_key IS NULL OR emission = 1")
         )
     extra_keys = [k for k in keys if k != "login"]
     return emitted.selectExpr(
