@@ -67,6 +67,15 @@ def unit_draw(*parts: Column) -> Column:
     )
 
 
+def row_position(df: DataFrame, salt: str) -> Column:
+    """A number in [0, 1) hashed from the whole row, so that copies of a text differ by their ids.
+
+    Columns with maps, which have no hash, are left out.
+    """
+    columns = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]
+    return F.xxhash64(*columns, F.lit(salt)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+
 MAX_BUCKETS = 4096
 
 

@@ -9,7 +9,7 @@ set reports an absent n-gram with probability f**HASHES, so a hit rate h becomes
 
 A language has at most len(GRAMS) / MIN_SHARE n-grams in its filter by the meaning of the share, so
 the table has a fixed size for each language: SLOTS bits, broadcast once. The n-grams are counted on a
-bounded sample: about MAX_PER_LANGUAGE labelled texts of each language, picked by hash.
+bounded sample: about MAX_PER_LANGUAGE labelled texts of each language, picked by a hash of the whole row.
 
 Cases: `und` with score 0 for a null text or one without a letter; a text none of whose n-grams is
 known gets the language with most labelled rows, score 0; equal rates go to the language first by
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import add_columns, crc_fold, mix64, table
+from forgepulse.llm.common import add_columns, crc_fold, mix64, row_position, table
 
 GRAMS = (2, 3, 4)
 MIN_SHARE = 5e-5
@@ -102,7 +102,9 @@ def fit(
 ) -> Filters | None:
     """Filters of all languages of the labelled rows; None if there are none."""
     known = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).alias("language"), F.col(text).alias("text")
+        F.col(label).alias("language"),
+        F.col(text).alias("text"),
+        row_position(rows, "language").alias("position"),
     )
     counts = known.groupBy("language").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
@@ -112,8 +114,8 @@ def fit(
     counts = {r["language"]: r["count"] for r in counts}
     languages = sorted(counts)
     shares = F.create_map(*[F.lit(x) for k in languages for x in (k, per_language / counts[k])])
-    position = F.xxhash64("text", F.lit("language")).cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    sample = known.where(position < shares[F.col("language")])
+    drawn = F.col("position") < shares[F.col("language")]
+    sample = known.where(drawn).select("language", "text")
     grams = (
         sample.mapInArrow(_count_grams, "language string, size int, gram long, n long")
         .groupBy("language", "size", "gram")

@@ -3,7 +3,7 @@
 A text's features are the hashed character n-grams that occur in its lower-case form. Each
 feature is scaled by r = log(share of it among toxic rows / share among others), with add-one
 smoothing, where r is clear of chance, and a logistic regression is fitted on the scaled features. The fit uses a bounded sample of
-labelled rows: about MAX_PER_LABEL rows of each label, picked by hash; the intercept is corrected to the
+labelled rows: about MAX_PER_LABEL rows of each label, picked by a hash of the whole row; the intercept is corrected to the
 true shares of the labels. Every text is then scored as a whole by one broadcast table of 2**BITS
 weights.
 
@@ -27,7 +27,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import add_columns, crc_fold, mix64, stored, table
+from forgepulse.llm.common import add_columns, crc_fold, mix64, row_position, stored, table
 
 BITS = 18
 GRAMS = (5, 6)
@@ -100,13 +100,11 @@ def fit(
     flat = np.zeros(1 << BITS, dtype=np.float32)
     if len(shares) < 2:
         return Model(flat, np.inf if 1 in shares else -np.inf)
-    position = (F.xxhash64(text, F.lit("toxicity")).cast("double") / F.lit(2.0**64)) + F.lit(0.5)
+    position = row_position(known, "toxicity")
     share = F.when(F.col(label) == 1, per_label / shares[1]).otherwise(per_label / shares[0])
     sample = known.where(position < share).select(F.col(label).cast("int"), F.col(text))
     grams = stored(
-        sample.mapInArrow(_features, "label int, grams binary").repartition(
-            FIT_PARTS, F.xxhash64("grams")
-        ),
+        sample.mapInArrow(_features, "label int, grams binary").repartition(FIT_PARTS),
         "toxicity-sample",
     )
     # One row per task of the bounded sample comes to the driver.
@@ -171,7 +169,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     learned = crc_fold(F.col("doc_id"), 5) != 0
-    return labels.where(learned).join(texts.where(learned), "doc_id").select("text", "toxic")
+    return labels.where(learned).join(texts.where(learned), "doc_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
