@@ -18,8 +18,10 @@ levels before; so no link is lost.
 
 Groups. Equal sets are one node. In a bucket of equal words all sets are verified against its least
 member only, never all pairs. Where the links found so far leave several components in a
-bucket, the rest of its pairs is compared by sketch, in blocks of BLOCK sets, and what the bound
-lets pass is verified. Then two linked sets are always in one component.
+bucket, its sets are compared by finer sketches, in blocks of BLOCK sets; of the pairs that the bound lets
+pass, a forest that would connect the same sets is verified. Where one of these fails, all pairs of the
+bucket that pass and are not yet connected are verified. Then two linked sets are always in one
+component, and the pairs that leave a block are fewer than its sets.
 
 Scale. Sets equal in a word within one chunk of documents are joined at once to the chunk's least, so a
 group of copies that holds a third of all rows sends one row per chunk and word to a reducer. What is
@@ -39,12 +41,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import WordHashes, add_columns, mix64, stored, table, words_of
+from forgepulse.llm.common import WordHashes, add_columns, mix64, shuffle_parts, stored, table
 from forgepulse.llm.components import connected
 
 SHINGLE = 5
@@ -115,14 +116,15 @@ def plan_for(shingle: int = SHINGLE, percent: int = PERCENT) -> Plan:
 
 def shingle_set(text: str | None, hashes: WordHashes, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = hashes.of([w.lower() for w in words_of(text)] if text else [])
+    words = hashes.of(text.encode("utf-8").lower().split() if text else [])
     if not len(words):
         return words
-    n = max(1, len(words) - shingle + 1)
-    value = np.full(n, min(shingle, len(words)), dtype=U)
-    for i in range(min(shingle, len(words))):
-        value = mix64(value * U(0x9E3779B97F4A7C15) + words[i : i + n])
-    return np.unique(value)
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    value = np.full(n, k, dtype=U)
+    for i in range(k):
+        value = value * U(0x9E3779B97F4A7C15) + words[i : i + n]
+    return np.unique(mix64(value))
 
 
 def signature(members: np.ndarray) -> int:
@@ -139,14 +141,10 @@ def signature(members: np.ndarray) -> int:
 def sketch(members: np.ndarray, words: int, level: int) -> tuple[np.ndarray, np.ndarray]:
     """The XOR words of a set, and from how many shingles each was made."""
     spread = mix64(members ^ U((level + 1) * 0xA0761D6478BD642F % (1 << 64)))
-    at = ((spread >> U(32)) * U(words)) >> U(32)
-    order = np.argsort(at, kind="stable")
-    at, content = at[order].astype(np.int64), mix64(members ^ U(0x8BB84B93962EACC9))[order]
-    heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    values, counts = np.zeros(words, U), np.zeros(words, np.int64)
-    values[at[heads]] = np.bitwise_xor.reduceat(content, heads)
-    counts[at[heads]] = np.diff(np.append(heads, len(at)))
-    return values, counts
+    at = (((spread >> U(32)) * U(words)) >> U(32)).astype(np.int64)
+    values = np.zeros(words, U)
+    np.bitwise_xor.at(values, at, mix64(members ^ U(0x8BB84B93962EACC9)))
+    return values, np.bincount(at, minlength=words)
 
 
 def bucket_keys(members: np.ndarray, plan: Plan) -> list[tuple[int, np.ndarray]]:
@@ -267,8 +265,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return add_columns(met, ["x", "y"], "ok boolean", make).where("ok").select("a", "b")
 
 
+FINE = 4
+"""Words of the sketches that are compared, per word of those that are joined."""
+
+
 def _sketches(plan: Plan):
-    """(sig, text) to (sig, band, size, words): 32 bits of each word of the first level."""
+    """(sig, text) to (sig, band, size, words): 8 bits of each word of a finer sketch."""
     schema = pa.schema(
         [("sig", pa.int64()), ("band", pa.int32()), ("size", pa.int32()), ("words", pa.binary())]
     )
@@ -277,11 +279,11 @@ def _sketches(plan: Plan):
         hashes = WordHashes()
         for batch in batches:
             rows = []
-            for sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                members = shingle_set(text, hashes, plan.shingle)
+            for sig, text in zip(*batch.columns):
+                members = shingle_set(text.as_py(), hashes, plan.shingle)
                 for band in plan.bands(len(members)):
-                    words = sketch(members, band.words, 0)[0].astype(np.uint32).tobytes()
-                    rows.append((sig, band.index, len(members), words))
+                    words = sketch(members, FINE * band.words, 0)[0].astype(np.uint8).tobytes()
+                    rows.append((sig.as_py(), band.index, len(members), words))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
@@ -290,29 +292,80 @@ def _sketches(plan: Plan):
     return made
 
 
-def _compare_block(plan: Plan):
-    """Pairs of different roots in one block pair that the sketches' bound lets pass."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.stack([np.frombuffer(w, np.uint32) for w in rows["words"]])
-        sig, root = rows["sig"].to_numpy(), rows["root"].to_numpy()
-        size, part = rows["size"].to_numpy(), rows["part"].to_numpy()
-        one = part == rows["i"].iloc[0]
-        other = part == rows["j"].iloc[0]
-        found = []
-        for x in np.flatnonzero(one):
-            ys = np.flatnonzero(other & (root != root[x]) & (sig > sig[x] if one[0] and rows["i"].iloc[0] == rows["j"].iloc[0] else True))
-            if len(ys):
-                apart = (words[ys] != words[x]).sum(axis=1)
-                near = ys[apart <= plan.apart(size[ys] + size[x])]
-                found.extend((sig[x], sig[y]) for y in near)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def near_pairs(
+    sigs: list[int],
+    roots: list[int],
+    sizes: list[int],
+    words: np.ndarray,
+    first: int,
+    plan: Plan,
+    every: bool,
+) -> list[tuple[int, int]]:
+    """Pairs of different roots that the sketches' bound lets pass, in one pair of blocks.
+
+    The first `first` sets are compared with the others, or, if there are no others, with each
+    other. Unless `every`, pairs that earlier ones would connect already are left out.
+    """
+    within = first == len(sigs)
+    label = {r: r for r in roots}
+
+    def root_of(r: int) -> int:
+        while label[r] != r:
+            label[r] = label[label[r]]
+            r = label[r]
+        return r
+
+    size, found = np.array(sizes), []
+    for x in range(first):
+        low = x + 1 if within else first
+        apart = np.count_nonzero(words[low:] != words[x], axis=1)
+        for y in np.flatnonzero(apart <= plan.apart(size[low:] + size[x])) + low:
+            a, b = (roots[x], roots[y]) if every else (root_of(roots[x]), root_of(roots[y]))
+            if a != b:
+                found.append((sigs[x], sigs[y]))
+                if not every:
+                    label[b] = a
+    return found
+
+
+def _compare(plan: Plan, every: bool):
+    """Sorted (key, i, j, part, sig, root, size, words) to the near pairs of each (key, i, j)."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def settled(place: tuple, rows: list[tuple]) -> list[tuple[int, int, int]]:
+        key, i, j = place
+        first = len(rows) if i == j else sum(r[0] == i for r in rows)
+        words = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        columns = [list(c) for c in zip(*rows)]
+        pairs = near_pairs(*columns[1:4], words, first, plan, every)
+        return [(key, a, b) for a, b in pairs]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rows = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != place:
+                    if rows:
+                        found += settled(place, rows)
+                    place, rows = row[:3], []
+                rows.append(row[3:])
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in zip(*found)], schema=schema
+                )
+        if rows and (found := settled(place, rows)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in zip(*found)], schema=schema
+            )
 
     return compare
 
 
-def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs to verify in the buckets of three or more sets that are in several components."""
+def _rest(
+    buckets: DataFrame, roots: DataFrame, texts: DataFrame, plan: Plan, every: bool
+) -> DataFrame:
+    """(key, a, b) to verify in the buckets of three or more sets that are in several components."""
     rooted = buckets.join(roots, buckets["sig"] == roots["node"], "left").select(
         "key", "sig", "band", F.coalesce("root", "sig").alias("root")
     )
@@ -329,32 +382,25 @@ def _rest(buckets: DataFrame, roots: DataFrame, texts: DataFrame, plan: Plan) ->
     sketches = texts.join(needed, "sig", "left_semi").select("sig", "text").mapInArrow(
         _sketches(plan), "sig long, band int, size int, words binary"
     )
+    place = ["key", "i", "j"]
     blocks = (
         rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("part", "with"))
         .withColumn("j", F.greatest("part", "with"))
         .join(sketches, ["sig", "band"])
+        .select(*place, "part", "sig", "root", "size", "words")
     )
+    parts = shuffle_parts(buckets.sparkSession)
     return (
-        blocks.groupBy("key", "i", "j")
-        .applyInPandas(_compare_block(plan), "a long, b long")
-        .distinct()
+        blocks.repartition(parts, *place)
+        .sortWithinPartitions(*place, "part", "sig")
+        .mapInArrow(_compare(plan, every), "key long, a long, b long")
     )
 
 
-def groups(
-    df: DataFrame,
-    shingle: int = SHINGLE,
-    percent: int = PERCENT,
-    key: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """`df` with n_shingles, the size of the set, component_id, the smallest id of the rows that
-    links reach (the row's own if there are none), and group_id, a number of the group that null
-    ids have as well (null for empty sets)."""
-    plan = plan_for(shingle, percent)
-    names = ("n_shingles", "component_id", "group_id")
-    met = df.select(F.col(text).alias("text")).mapInArrow(_meet(plan), MET)
+def _links(df: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between signatures that connect all linked sets of (__sig, text)."""
+    met = df.select("text").mapInArrow(_meet(plan), MET)
     bucket = Window.partitionBy("route")
     buckets = stored(
         met.withColumn("least", F.min("sig").over(bucket))
@@ -366,36 +412,56 @@ def groups(
     pairs = buckets.where(F.col("sig") != F.col("lead")).select(
         F.col("sig").alias("a"), F.col("lead").alias("b")
     ).distinct()
-    members = buckets.select("sig").distinct()
+    # One text of each set, combined before the shuffle, so that copies don't move.
+    one_each = df.groupBy(F.col("__sig").alias("sig")).agg(F.first("text").alias("text"))
     texts = stored(
-        _signed(df.select(F.col(text).alias("text")), plan, "text")
-        .withColumnRenamed("__sig", "sig")
-        .join(members, "sig")
-        .groupBy("sig")
-        .agg(F.first("text").alias("text")),
-        "jaccard-texts",
+        one_each.join(buckets.select("sig").distinct(), "sig", "left_semi"), "jaccard-texts"
+    )
+    links = stored(_verified(pairs, texts, plan), "jaccard-links")
+    open_ = buckets
+    for every in (False, True):
+        asked = stored(_rest(open_, connected(links), texts, plan, every), "jaccard-rest")
+        more = stored(
+            _verified(asked.select("a", "b").distinct(), texts, plan), "jaccard-links"
+        )
+        links = links.union(more)
+        # Where a pair failed, those left out for its sake are still to be compared.
+        failed = asked.join(more, ["a", "b"], "left_anti").select("key").distinct()
+        if every or failed.isEmpty():
+            break
+        open_ = buckets.join(failed, "key", "left_semi")
+    return links
+
+
+def groups(
+    df: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """`df` with n_shingles, the size of the set, component_id, the smallest id of the rows that
+    links reach (the row's own if there are none), and group_id, a number of the group that null
+    ids have as well (null for empty sets)."""
+    plan = plan_for(shingle, percent)
+    names = ("n_shingles", "component_id", "group_id")
+    signed = stored(_signed(df, plan, text), "jaccard-sets")
+    own = signed.select(F.col(text).alias("text"), "__sig").where("__sig != 0")
+    roots = connected(_links(own, plan)).select(
+        F.col("node").alias("__sig"), F.col("root").alias("__root")
     )
-    edges = stored(_verified(pairs, texts, plan), "jaccard-links")
-    roots = connected(edges)
-    rest = stored(_rest(buckets, roots, texts, plan), "jaccard-rest")
-    more = stored(_verified(rest, texts, plan), "jaccard-links")
-    roots = connected(edges.union(more))
-    roots = roots.select(F.col("node").alias("__sig"), F.col("root").alias("__root"))
-    own = df.select(F.col(key).alias("__id"), F.col(text).alias("text"))
     root = F.coalesce("__root", "__sig").alias("__root")
     least = (
-        _signed(own, plan, "text")
-        .where("__sig != 0")
+        signed.where("__sig != 0")
         .groupBy("__sig")
-        .agg(F.min("__id").alias("__id"))
+        .agg(F.min(key).alias("__id"))
         .join(roots, "__sig", "left")
         .groupBy(root)
         .agg(F.min("__id").alias("__least"))
     )
     kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
     return (
-        _signed(df, plan, text)
-        .join(roots, "__sig", "left")
+        signed.join(roots, "__sig", "left")
         .select(*kept, "__sig", "__size", root)
         .join(least, "__root", "left")
         .select(

@@ -108,6 +108,34 @@ def test_groups_of_null_ids_repeated_rows_and_clashing_names(spark):
     assert jaccard_join.groups(df.limit(0)).count() == 0
 
 
+def test_near_pairs_connect_what_all_pairs_connect():
+    plan, rng = jaccard_join.plan_for(1, 80), random.Random(3)
+    for _ in range(30):
+        n = rng.randrange(3, 30)
+        words = np.array([[rng.randrange(2) for _ in range(40)] for _ in range(n)], np.uint8)
+        for i in range(1, n):
+            if rng.random() < 0.6:
+                words[i] = words[rng.randrange(i)]
+                words[i, rng.randrange(40)] ^= 1
+        sizes = [40] * n
+        first = rng.choice([n, n // 2 or 1])
+        every, some = (
+            jaccard_join.near_pairs(list(range(n)), list(range(n)), sizes, words, first, plan, e)
+            for e in (True, False)
+        )
+        lows = [range(x + 1, n) if first == n else range(first, n) for x in range(first)]
+        near = {
+            (x, y) for x in range(first) for y in lows[x] if (words[x] != words[y]).sum() <= 8
+        }
+        assert set(every) == near and set(some) <= near and len(some) < n
+        for pairs in (every, some):
+            label = list(range(n))
+            for x, y in pairs:
+                label = [label[x] if v == label[y] else v for v in label]
+            groups = {v: [i for i in range(n) if label[i] == v] for v in label}
+            assert all(label[x] == label[y] for x, y in near), groups
+
+
 def test_sketch_distance_bounds_the_difference():
     hashes, rng = WordHashes(), random.Random(2)
     for _ in range(60):
