@@ -54,7 +54,7 @@ BAND_RATIO = 2
 LEVELS = 4
 MARGIN = 1.12
 BLOCK = 512
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 U = np.uint64
 
 
@@ -176,7 +176,8 @@ MET_ARROW = pa.schema(
 def _text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
     texts, held = [], 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for value in batch.column(0):  # one text at a time
+            text = value.as_py()
             texts.append(text)
             held += len(text or "")
             if held >= CHUNK_BYTES:

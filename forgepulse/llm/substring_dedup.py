@@ -46,7 +46,7 @@ from forgepulse.llm.common import (
 )
 
 LENGTH = 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 FOUND = "route long, kind long, id long, tie int, lo long, n long"
@@ -135,7 +135,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows in lists of about CHUNK_BYTES of text."""
     rows, held = [], 0
     for batch in batches:
-        for row in zip(*(column.to_pylist() for column in batch.columns)):
+        for values in zip(*batch.columns):  # one row at a time
+            row = tuple(v.as_py() for v in values)
             rows.append(row)
             held += len(row[2] or "")
             if held >= CHUNK_BYTES:
