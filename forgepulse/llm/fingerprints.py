@@ -1,16 +1,22 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
-Each paragraph is hashed to a wide vector of LANES signs (+1 or -1). A fingerprint is the number of
-paragraphs and the lane-wise sum of their vectors, modulo 2**16 (the number: modulo 2**64). Hence
+Each paragraph is hashed to a vector of LANES draws from the Cauchy distribution, in whole units of
+1 / UNIT. A fingerprint is the number of paragraphs and the lane-wise sum of their vectors, both
+modulo 2**64. Hence
 
 - the order of paragraphs does not matter, and equal multisets have equal fingerprints;
 - a paragraph is inserted or deleted by adding or subtracting its vector (`combine`, `without`);
 - fingerprints of parts add up to that of the whole;
-- the mean square of the difference of two fingerprints estimates the size of the multisets'
-  symmetric difference (standard error about 12 percent with 128 lanes), and so their likeness.
+- a sum of Cauchy draws, each times a count, is a Cauchy draw times the sum of the absolute counts. So
+  the scale of the lanes of the difference of two fingerprints is the size of the multisets' symmetric
+  difference, however often a paragraph occurs. It is estimated by maximum likelihood (standard
+  error about 12 percent with 128 lanes), and with the numbers of paragraphs it gives the likeness:
+  the sum of the smaller counts over the sum of the larger ones.
 
-Two different multisets with one paragraph exchanged have equal fingerprints with probability
-2**-LANES.
+Draws have 32 bits and lie within +-2**31, lanes wrap beyond 2**55: not in texts that fit in memory.
+Two different multisets have equal fingerprints only where two paragraphs have equal 128-bit hashes
+or all lanes cancel out. Draws use nothing but rounded tables and the basic operations that IEEE 754 fixes, so
+all machines make the same ones.
 
 A paragraph ends at line breaks, and within a line after '.', '!' or '?' followed by white space, so
 that texts of a single line have parts as well. White space around a paragraph does not count, and
@@ -23,6 +29,7 @@ empty result; an input column named like a result column is replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,27 +39,58 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import LONG_MAX, add_columns, bucket_of, range_edges, shuffle_parts, table
+from forgepulse.llm.common import (
+    LONG_MAX,
+    add_columns,
+    bucket_of,
+    mix64,
+    range_edges,
+    shuffle_parts,
+    table,
+)
 
 LANES = 128
+UNIT = 256
+SLICE = 512
+"""Paragraphs whose vectors are in memory at a time."""
 PARAGRAPH_END = regex.compile(r"[\n\r]+|(?<=[.!?])\s+")
 
+_STEPS = np.arange(LANES // 2, dtype=np.uint64)
+# tan of the high and of the low 16 bits of an angle; rounded, so that no library's last bit counts.
+_HIGH, _LOW = (
+    np.array([math.tan(math.pi * a) for a in angles], dtype=np.float32).astype(np.float64)
+    for angles in (
+        [k / 2**16 - 0.5 for k in range(2**16)],
+        [(k + 0.5) / 2**32 for k in range(2**16)],
+    )
+)
+
 
 def paragraphs(text: str | None) -> list[str]:
     return [p for p in map(str.strip, PARAGRAPH_END.split(text or "")) if p]
 
 
+def _draws(found: list[str]) -> np.ndarray:
+    """A row of LANES Cauchy draws for each paragraph, in whole units."""
+    digests = b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "replace")) for p in found)
+    start, step = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    bits = mix64(start[:, None] + (step | np.uint64(1))[:, None] * _STEPS)
+    halves = bits.astype("<u8", copy=False).view("<u2").reshape(len(found), LANES, 2)
+    low, high = _LOW[halves[:, :, 0]], _HIGH[halves[:, :, 1]]
+    return np.rint((high + low) / (1 - high * low) * UNIT).astype(np.int64)
+
+
 def fingerprint(text: str | None) -> bytes:
-    """8 bytes for the number of paragraphs, 2 for each lane, little-endian."""
+    """8 bytes for the number of paragraphs, 8 for each lane, little-endian."""
     found = paragraphs(text)
-    digests = b"".join(xxhash.xxh3_128_digest(p.encode("utf-8", "replace")) for p in found)
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(found), LANES // 8), axis=1)
-    lanes = 2 * bits.sum(axis=0, dtype=np.int64) - len(found)
-    return np.uint64(len(found)).tobytes() + lanes.astype(np.uint16).tobytes()
+    lanes = np.zeros(LANES, np.int64)
+    for i in range(0, len(found), SLICE):
+        lanes += _draws(found[i : i + SLICE]).sum(axis=0)
+    return np.uint64(len(found)).tobytes() + lanes.tobytes()
 
 
 def _open(mark: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(mark[:8], np.uint64), np.frombuffer(mark[8:], np.uint16)
+    return np.frombuffer(mark[:8], np.uint64), np.frombuffer(mark[8:], np.uint64)
 
 
 def combine(a: bytes, b: bytes) -> bytes:
@@ -72,9 +110,18 @@ def likeness(a: bytes, b: bytes) -> float:
     if a == b:
         return 1.0
     (n, x), (m, y) = _open(a), _open(b)
-    apart = float(np.mean((x - y).astype(np.int16).astype(np.float64) ** 2))
-    total = float(n[0]) + float(m[0])
-    return min(1.0, max(0.0, (total - apart) / (total + apart)))
+    total, least = float(n[0]) + float(m[0]), abs(float(n[0]) - float(m[0]))
+    apart = min(total, max(least, _scale((x - y).astype(np.int64) / UNIT)))
+    return (total - apart) / (total + apart)
+
+
+def _scale(draws: np.ndarray) -> float:
+    """Maximum likelihood estimate of the scale of Cauchy draws, by Fisher scoring from the median."""
+    squares = draws**2
+    scale = max(float(np.median(squares)), 1 / UNIT**2)  # the scale's square
+    for _ in range(10):
+        scale *= math.exp(8 * (0.5 - float(np.mean(scale / (scale + squares)))))
+    return math.sqrt(scale)
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:

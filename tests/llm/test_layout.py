@@ -130,6 +130,33 @@ def test_likeness_follows_the_common_share():
     assert fingerprints.likeness(fingerprints.fingerprint(""), fingerprints.fingerprint(None)) == 1
 
 
+@pytest.mark.parametrize("times", [1, 5, 40, 226, 40_000])
+def test_likeness_counts_repeated_paragraphs(times):
+    rng = random.Random(times)
+    lines = [prose(rng, 6) for _ in range(60)] + ["same line"] * times + ["other line"] * (times // 3)
+    for cut in (0.1, 0.3, 0.5, 0.9):
+        edited = lines[int(cut * len(lines)) :] + [prose(rng, 5) for _ in range(8)]
+        a, b = Counter(lines), Counter(edited)
+        true = (a & b).total() / (a | b).total()
+        marks = (fingerprints.fingerprint("\n".join(rows)) for rows in (lines, edited))
+        assert abs(fingerprints.likeness(*marks) - true) < 0.12
+
+
+def test_likeness_has_the_stated_error():
+    rng, off = random.Random(8), []
+    for _ in range(200):
+        lines = [prose(rng, 4) for _ in range(rng.randrange(1, 40))] * rng.randrange(1, 6)
+        edited = lines[len(lines) // 2 :] + [prose(rng, 5) for _ in range(rng.randrange(20))] * 3
+        a, b = Counter(lines), Counter(edited)
+        apart = (a - b).total() + (b - a).total()
+        x, y = (
+            np.frombuffer(fingerprints.fingerprint("\n".join(rows))[8:], np.int64)
+            for rows in (lines, edited)
+        )
+        off.append(fingerprints._scale((x - y) / fingerprints.UNIT) / apart - 1)
+    assert abs(np.mean(off)) < 0.03 and 0.10 < np.std(off) < 0.15
+
+
 @pytest.mark.parametrize("edges", [None, [4, 30, 31, 60]])
 def test_neighbours_and_edits_as_by_brute_force(spark, edges, monkeypatch):
     if edges:
