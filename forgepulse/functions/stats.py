@@ -1,29 +1,43 @@
-"""SQL expressions that summarise a short numeric series held as an ascending array.
+"""SQL expressions that summarise a numeric series: by rank, or held as a short ascending array.
 
-Arrays here are bounded by the number of events kept per account, so folding one inside a row is
-cheap and needs no shuffle. Pass column names, not long expressions: names occur repeatedly.
+Only arrays of a few values are folded inside a row (NAT has one for each kind of activity). Pass
+column names, not long expressions: names occur repeatedly.
 """
 
 from __future__ import annotations
 
 
-def quantile(ordered: str, q: float) -> str:
-    """Quantile with linear interpolation; NULL for an empty array.
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def below(size: str, q: float) -> str:
+    """Index, from 0, of the value at or below a quantile of `size` ascending values."""
+    return f"floor(({size} - 1) * {q}D)"
+
+
+def part(size: str, q: float) -> str:
+    """How far a quantile lies between that value and the next one."""
+    return f"(({size} - 1) * {q}D - {below(size, q)})"
 
-    The upper half of an interval is interpolated downwards, as numerical Python libraries do, so
+
+def interpolated(low: str, high: str, part: str) -> str:
+    """The upper half of an interval is interpolated downwards, as numerical Python libraries do, so
     that values on a rounding boundary come out the same.
     """
-    position = f"(size({ordered}) - 1) * {q}D"
-    below = f"CAST(floor({position}) AS int)"
-    part = f"({position} - {below})"
-    low = f"get({ordered}, {below})"
-    high = f"coalesce(get({ordered}, {below} + 1), {low})"
     return (
         f"CASE WHEN {part} < 0.5D THEN {low} + ({high} - {low}) * {part} "
         f"ELSE {high} - ({high} - {low}) * (1 - {part}) END"
     )
 
 
+def quantile(ordered: str, q: float) -> str:
+    """Quantile with linear interpolation; NULL for an empty array."""
+    size = f"size({ordered})"
+    index = f"CAST({below(size, q)} AS int)"
+    low = f"get({ordered}, {index})"
+    return interpolated(low, f"coalesce(get({ordered}, {index} + 1), {low})", part(size, q))
+
+
 def iqr(ordered: str) -> str:
     return f"(({quantile(ordered, 0.75)}) - ({quantile(ordered, 0.25)}))"
 

@@ -74,6 +74,7 @@ def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -
     account = ", ".join(keys)
     in_repository = f"(PARTITION BY {account}, repository ORDER BY activity_ord)"
     by_time = f"(PARTITION BY {account} ORDER BY {TIME_ORDER})"
+    of_owner = f"(PARTITION BY {account}, owner ORDER BY activity_ord)"
     so_far = by_time[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     gap = hours("next_at - at")
     return (
@@ -88,6 +89,7 @@ def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -
             "*",
             f"row_number() OVER {by_time} AS position",
             f"lead(at) OVER {by_time} AS next_at",
+            f"owner IS NOT NULL AND row_number() OVER {of_owner} = 1 AS new_owner",
             f"lag(repository) OVER {by_time} AS repo_before",
             f"lead(repository) OVER {by_time} AS repo_after",
             f"lead(activity_ord) OVER {by_time} AS ord_after",
@@ -116,33 +118,105 @@ def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -
 
 
 def account_series(
-    activities: DataFrame, keys: Sequence[str] = ("contributor",), carry: Sequence[str] = ()
+    activities: DataFrame,
+    keys: Sequence[str] = ("contributor",),
+    carry: Sequence[str] = (),
+    series: Sequence[str] = tuple(S.SERIES),
 ) -> DataFrame:
-    """One row per account: the four counts, the series as ascending arrays, mean and std.
+    """One row per account: the four counts, NAT as an ascending array, five statistics of the others.
 
-    A single aggregate by account; the arrays are bounded by the account's activities. Columns a
-    caller does not ask for are pruned together with the windows that feed them.
+    Each value of a series is a row, ranked within its account and series; sums and the values at
+    the ranks around a quantile give the statistics. Nothing is collected, so rows stay small and
+    what an account needs beyond memory is spilled. Account and series lie within the partitioning by
+    account, so there is no further shuffle. The windows that feed series not asked for are pruned.
     """
     kinds = range(1, len(S.ACTIVITY_NAMES) + 1)
-    collected = [s for s in S.SERIES if s != "NAT"]
+    ranked = [s for s in series if s != "NAT"]
+    account = ", ".join(keys)
+    # Series 0 stands for the activity itself.
+    no = "CAST(NULL AS double)"
+    values = [f"struct(0 AS series, {no} AS value, {no} AS mean, {no} AS std)"] + [
+        f"CASE WHEN {s} IS NOT NULL THEN struct({n} AS series, {s} AS value, "
+        f"{s}_mean AS mean, {s}_std AS std) END"
+        for n, s in enumerate(ranked, start=1)
+    ]
+    rows = (
+        series_rows(activities, keys)
+        # Summed by time, before values are sorted: rounding of a mean on a tie depends on the order.
+        .selectExpr(
+            "*",
+            *[f"avg({s}) OVER (PARTITION BY {account}) AS {s}_mean" for s in ranked],
+            *[f"stddev_samp({s}) OVER (PARTITION BY {account}) AS {s}_std" for s in ranked],
+        )
+        .selectExpr(
+            *keys,
+            *carry,
+            "activity_ord",
+            "repository IS NOT NULL AS placed",
+            "new_owner",
+            "repo_ends",
+            f"array_compact(array({', '.join(values)})) AS in_series",
+        )
+        .selectExpr("* EXCEPT (in_series)", "inline(in_series)")
+        .selectExpr(
+            "*",
+            f"row_number() OVER (PARTITION BY {account}, series ORDER BY value) AS rank",
+            f"count(1) OVER (PARTITION BY {account}, series) AS size",
+        )
+    )
     # NULL where the account has no activity of the kind; only rows with a repository count.
-    counted = "CASE WHEN repository IS NULL THEN 0D ELSE 1D END"
-    account = series_rows(activities, keys).groupBy(*keys).agg(
+    counted = "CASE WHEN placed THEN 1D ELSE 0D END"
+    by_series = rows.groupBy(*keys, "series").agg(
         *_aggregates(
-            "count(1) AS NA",
-            "collect_set(owner) AS owners",
-            "count(NAR) AS repositories",
-            *[f"sum(CASE WHEN activity_ord = {n} THEN {counted} END) AS kind_{n}" for n in kinds],
-            *[f"sort_array(collect_list({s})) AS {s}" for s in collected],
-            *[f"count_if({s} <> 0) AS {s}_nonzero" for s in collected],
-            *[f"avg({s}) AS {s}_mean" for s in collected],
-            *[f"coalesce(stddev_samp({s}), 0D) AS {s}_std" for s in collected],
+            "count_if(series = 0) AS NA",
+            "count_if(series = 0 AND new_owner) AS NOR",
+            "count_if(series = 0 AND repo_ends) AS repositories",
+            *[
+                f"sum(CASE WHEN series = 0 AND activity_ord = {n} THEN {counted} END) AS kind_{n}"
+                for n in kinds
+            ],
+            "max(size) AS size",
+            "count_if(value <> 0) AS nonzero",
+            "max(mean) AS mean",
+            "max(std) AS std",
+            "sum(value) AS total",
+            "sum(value * (size - rank + 1)) AS ranked",
+            *[
+                f"max(CASE WHEN rank = {stats.below('size', q)} + {1 + up} THEN value END) AS at_{n}_{up}"
+                for n, q in enumerate(stats.QUARTILES)
+                for up in (0, 1)
+            ],
             *[f"max({c}) AS {c}" for c in carry],
         )
     )
+    first, median, third = (
+        stats.interpolated(f"at_{n}_0", f"coalesce(at_{n}_1, at_{n}_0)", stats.part("size", q))
+        for n, q in enumerate(stats.QUARTILES)
+    )
+    each = by_series.selectExpr(
+        "*",
+        f"{median} AS median",
+        f"({third}) - ({first}) AS IQR",
+        "CASE WHEN nonzero = 0 THEN 0D "
+        "ELSE ((nonzero + 1) * total - 2 * ranked) / (nonzero * total) END AS gini",
+    )
+    # An account without any value in a series has no row for it.
+    absent = {"std": "0D", "gini": "0D"}
+    wide = each.groupBy(*keys).agg(
+        *_aggregates(
+            *[f"max({c}) AS {c}" for c in ("NA", "NOR", "repositories", *carry)],
+            *[f"max(kind_{n}) AS kind_{n}" for n in kinds],
+            *[
+                f"coalesce(max(CASE WHEN series = {n} THEN {stat} END), {absent.get(stat, 'NULL')}) "
+                f"AS {s}_{stat}"
+                for n, s in enumerate(ranked, start=1)
+                for stat in S.STATISTICS
+            ],
+        )
+    )
     per_kind = ", ".join(f"kind_{n}" for n in kinds)
     return (
-        account.selectExpr("*", f"sort_array(array_compact(array({per_kind}))) AS NAT")
+        wide.selectExpr("*", f"sort_array(array_compact(array({per_kind}))) AS NAT")
         .selectExpr(
             "*",
             f"{stats.array_mean('NAT')} AS NAT_mean",
@@ -151,28 +225,29 @@ def account_series(
         .selectExpr(
             "*",
             f"{stats.array_std('NAT', 'NAT_mean')} AS NAT_std",
+            f"{stats.quantile('NAT', 0.5)} AS NAT_median",
+            f"{stats.gini('NAT', 'NAT_nonzero')} AS NAT_gini",
+            f"{stats.iqr('NAT')} AS NAT_IQR",
             "CAST(size(NAT) AS bigint) AS NT",
-            "CAST(size(owners) AS bigint) AS NOR",
-            "try_divide(size(owners), repositories) AS ORR",
+            "try_divide(NOR, repositories) AS ORR",
         )
     )
 
 
 def all_statistics(
-    activities: DataFrame, keys: Sequence[str] = ("contributor",), carry: Sequence[str] = ()
+    activities: DataFrame,
+    keys: Sequence[str] = ("contributor",),
+    carry: Sequence[str] = (),
+    series: Sequence[str] = tuple(S.SERIES),
 ) -> DataFrame:
-    """The four counts and all five statistics of all eight series, rounded to 3 digits."""
+    """The four counts and all five statistics of the series, rounded to 3 digits."""
     columns = ["NA", "NT", "NOR", f"{stats.rounded('ORR')} AS ORR"]
-    for series in S.SERIES:
-        wide = {
-            "mean": f"{series}_mean",
-            "median": stats.quantile(series, 0.5),
-            "std": f"{series}_std",
-            "gini": stats.gini(series, f"{series}_nonzero"),
-            "IQR": stats.iqr(series),
-        }
-        columns += [f"{stats.rounded(value)} AS {series}_{stat}" for stat, value in wide.items()]
-    return account_series(activities, keys, carry).selectExpr(*keys, *columns, *carry)
+    columns += [
+        f"{stats.rounded(f'{name}_{stat}')} AS {name}_{stat}"
+        for name in series
+        for stat in S.STATISTICS
+    ]
+    return account_series(activities, keys, carry, series).selectExpr(*keys, *columns, *carry)
 
 
 def extract_features(

@@ -246,22 +246,22 @@ _register(
 # --- series, runs, features -------------------------------------------------------------------
 
 
-def _statistics(flat: DataFrame) -> DataFrame:
-    return features.all_statistics(pipeline.activities_of(flat))
-
-
-def _register_statistics(name: str, columns: list[str]) -> None:
+def _register_statistics(name: str, columns: list[str], series: list[str]) -> None:
     _register(
         name,
-        lambda flat: _statistics(flat).select("contributor", *columns),
+        lambda flat: features.all_statistics(pipeline.activities_of(flat), series=series).select(
+            "contributor", *columns
+        ),
         _with_features(f"SELECT contributor, {', '.join(columns)} FROM statistics"),
     )
 
 
-_register_statistics("feat_basic", S.COUNT_FEATURES)
+_register_statistics("feat_basic", S.COUNT_FEATURES, [])
 for _series in S.SERIES:
-    _register_statistics(f"feat_{_series.lower()}", [f"{_series}_{s}" for s in S.STATISTICS])
-_register_statistics("gini", [f"{s}_gini" for s in S.SERIES])
+    _register_statistics(
+        f"feat_{_series.lower()}", [f"{_series}_{s}" for s in S.STATISTICS], [_series]
+    )
+_register_statistics("gini", [f"{s}_gini" for s in S.SERIES], S.SERIES)
 
 
 def _register_runs(name: str, query: Callable[[DataFrame], DataFrame], column: str) -> None:

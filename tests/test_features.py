@@ -1,5 +1,8 @@
 """Series, statistics and rounding on cases worked out by hand, and the shape of the plan."""
 
+import random
+
+import numpy as np
 import pytest
 from helpers import event, flat, push
 
@@ -88,6 +91,28 @@ def test_whole_chain_has_one_shuffle(stored):
     assert "Join" not in plan and "Python" not in plan
 
 
+def test_no_series_is_collected_into_a_row(stored):
+    plan = plan_of(pipeline.features_of(stored))
+    assert "collect_" not in plan and "sort_array(DCA" not in plan
+
+
+def test_ranked_statistics_match_numpy(spark):
+    rng = random.Random(4)
+    seconds, rows = 0, []
+    for n in range(700):
+        seconds += rng.choice([0, 0, 600, 600, rng.randrange(90_000)])
+        rows.append(push(n, seconds, repository=f"o{n % 3}/r{rng.randrange(9)}"))
+    row = features.all_statistics(pipeline.activities_of(flat(spark, rows))).first()
+    gaps = np.diff([r["created_at"].timestamp() for r in rows]) / 3600
+    first, median, third = np.quantile(gaps, [0.25, 0.5, 0.75])
+    some = np.sort(gaps[gaps != 0])
+    n, ranks = len(some), np.arange(1, len(some) + 1)
+    gini = ((2 * ranks - n - 1) * some).sum() / (n * some.sum())
+    expected = [gaps.mean(), median, gaps.std(ddof=1), gini, third - first]
+    assert [row[f"DCA_{s}"] for s in S.STATISTICS] == pytest.approx(expected, abs=0.00051)
+    assert row.NOR == 3 and row.NA == 700
+
+
 def test_a_plain_activity_needs_no_pairing(stored):
     plan = plan_of(pipeline.activities_of(stored, only=[9]))
     assert "lead(" not in plan and "collect_list" not in plan
