@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from forgepulse.operators.extract import flatten_events
+from forgepulse.sources.folders import is_folder
 
 # Kind of the primary event by event number modulo 40.
 _PRIMARY_TYPE = """
@@ -54,10 +55,13 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream over the table's files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-    return derive(files.option("maxFilesPerTrigger", 8).parquet(sf_dir))
+    """The same as a stream over the table's files: the file itself, or the parts in its folder."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    if is_folder(spark, path):
+        return derive(files.parquet(path))
+    return derive(files.option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
 
 
 def derive(source: DataFrame) -> DataFrame:

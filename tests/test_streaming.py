@@ -114,3 +114,21 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError):
         classify.shared_folder(SimpleNamespace(conf=Conf("spark://host:7077")), "x")
     assert "/x-" in classify.shared_folder(SimpleNamespace(conf=Conf("local[2]")), "x")
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_derived_events_are_streamed_whole(spark, tmp_path, parts):
+    """`events.parquet` may be a file or a folder of part files."""
+    table = spark.range(90).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "id % 4 AS user_id"
+    )
+    table.repartition(parts or 1).write.parquet(str(tmp_path / "events.parquet"))
+    if not parts:
+        part = next((tmp_path / "events.parquet").glob("part-*"))
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "events.parquet").write_bytes(part.read_bytes())
+    sf_dir = str(tmp_path if parts else tmp_path / "one")
+    stream = testbed.stream_raw_events(spark, sf_dir).writeStream.trigger(availableNow=True)
+    out = str(tmp_path / "out")
+    stream.option("checkpointLocation", str(tmp_path / "marks")).format("parquet").start(out).awaitTermination()
+    assert spark.read.parquet(out).count() == testbed.raw_events(spark, sf_dir).count() > 90
