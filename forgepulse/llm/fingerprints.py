@@ -13,7 +13,7 @@ modulo 2**64. Hence
   error about 12 percent with 128 lanes), and with the numbers of paragraphs it gives the likeness:
   the sum of the smaller counts over the sum of the larger ones.
 
-Draws have 32 bits and lie within +-2**31, lanes wrap beyond 2**55: not in texts that fit in memory.
+Draws have 32 bits and lie within +-2**32, lanes wrap beyond 2**55: not in texts that fit in memory.
 Two different multisets have equal fingerprints only where two paragraphs have equal 128-bit hashes
 or all lanes cancel out. Draws use nothing but rounded tables and the basic operations that IEEE 754 fixes, so
 all machines make the same ones.
