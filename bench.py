@@ -58,11 +58,15 @@ def main() -> None:
     only = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf_dir}/events.parquet").count()
     timings: dict[str, dict[str, float]] = {"cold": {}, "warm": {}}
+    errors: dict[str, str] = {}
     for name in only:
-        for run in timings.values():
-            start = time.perf_counter()
-            all_queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            run[name] = round(time.perf_counter() - start, 3)
+        try:
+            for run in timings.values():
+                start = time.perf_counter()
+                all_queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                run[name] = round(time.perf_counter() - start, 3)
+        except Exception as error:  # one failing query must not hide the figures of the others
+            errors[name] = f"{type(error).__name__}: {error}"[:300]
     spark.stop()
     print(
         json.dumps(
@@ -72,6 +76,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": timings["cold"],
                 "warm": timings["warm"],
+                "errors": errors,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

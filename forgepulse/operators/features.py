@@ -135,9 +135,9 @@ def account_series(
     account = ", ".join(keys)
     # Series 0 stands for the activity itself.
     no = "CAST(NULL AS double)"
-    values = [f"struct(0 AS series, {no} AS value, {no} AS mean, {no} AS std)"] + [
-        f"CASE WHEN {s} IS NOT NULL THEN struct({n} AS series, {s} AS value, "
-        f"{s}_mean AS mean, {s}_std AS std) END"
+    values = [f"struct(0 AS s_no, {no} AS s_value, {no} AS s_mean, {no} AS s_std)"] + [
+        f"CASE WHEN {s} IS NOT NULL THEN struct({n} AS s_no, {s} AS s_value, "
+        f"{s}_mean AS s_mean, {s}_std AS s_std) END"
         for n, s in enumerate(ranked, start=1)
     ]
     rows = (
@@ -160,29 +160,29 @@ def account_series(
         .selectExpr("* EXCEPT (in_series)", "inline(in_series)")
         .selectExpr(
             "*",
-            f"row_number() OVER (PARTITION BY {account}, series ORDER BY value) AS rank",
-            f"count(1) OVER (PARTITION BY {account}, series) AS size",
+            f"row_number() OVER (PARTITION BY {account}, s_no ORDER BY s_value) AS s_rank",
+            f"count(1) OVER (PARTITION BY {account}, s_no) AS s_size",
         )
     )
     # NULL where the account has no activity of the kind; only rows with a repository count.
     counted = "CASE WHEN placed THEN 1D ELSE 0D END"
-    by_series = rows.groupBy(*keys, "series").agg(
+    by_series = rows.groupBy(*keys, "s_no").agg(
         *_aggregates(
-            "count_if(series = 0) AS NA",
-            "count_if(series = 0 AND new_owner) AS NOR",
-            "count_if(series = 0 AND repo_ends) AS repositories",
+            "count_if(s_no = 0) AS NA",
+            "count_if(s_no = 0 AND new_owner) AS NOR",
+            "count_if(s_no = 0 AND repo_ends) AS repositories",
             *[
-                f"sum(CASE WHEN series = 0 AND activity_ord = {n} THEN {counted} END) AS kind_{n}"
+                f"sum(CASE WHEN s_no = 0 AND activity_ord = {n} THEN {counted} END) AS kind_{n}"
                 for n in kinds
             ],
-            "max(size) AS size",
-            "count_if(value <> 0) AS nonzero",
-            "max(mean) AS mean",
-            "max(std) AS std",
-            "sum(value) AS total",
-            "sum(value * (size - rank + 1)) AS ranked",
+            "max(s_size) AS s_size",
+            "count_if(s_value <> 0) AS s_nonzero",
+            "max(s_mean) AS s_mean",
+            "max(s_std) AS s_std",
+            "sum(s_value) AS s_total",
+            "sum(s_value * (s_size - s_rank + 1)) AS s_ranked",
             *[
-                f"max(CASE WHEN rank = {stats.below('size', q)} + {1 + up} THEN value END) AS at_{n}_{up}"
+                f"max(CASE WHEN s_rank = {stats.below('s_size', q)} + {1 + up} THEN s_value END) AS s_at_{n}_{up}"
                 for n, q in enumerate(stats.QUARTILES)
                 for up in (0, 1)
             ],
@@ -190,15 +190,15 @@ def account_series(
         )
     )
     first, median, third = (
-        stats.interpolated(f"at_{n}_0", f"coalesce(at_{n}_1, at_{n}_0)", stats.part("size", q))
+        stats.interpolated(f"s_at_{n}_0", f"coalesce(s_at_{n}_1, s_at_{n}_0)", stats.part("s_size", q))
         for n, q in enumerate(stats.QUARTILES)
     )
     each = by_series.selectExpr(
         "*",
-        f"{median} AS median",
-        f"({third}) - ({first}) AS IQR",
-        "CASE WHEN nonzero = 0 THEN 0D "
-        "ELSE ((nonzero + 1) * total - 2 * ranked) / (nonzero * total) END AS gini",
+        f"{median} AS s_median",
+        f"({third}) - ({first}) AS s_IQR",
+        "CASE WHEN s_nonzero = 0 THEN 0D "
+        "ELSE ((s_nonzero + 1) * s_total - 2 * s_ranked) / (s_nonzero * s_total) END AS s_gini",
     )
     # An account without any value in a series has no row for it.
     absent = {"std": "0D", "gini": "0D"}
@@ -207,7 +207,7 @@ def account_series(
             *[f"max({c}) AS {c}" for c in ("NA", "NOR", "repositories", *carry)],
             *[f"max(kind_{n}) AS kind_{n}" for n in kinds],
             *[
-                f"coalesce(max(CASE WHEN series = {n} THEN {stat} END), {absent.get(stat, 'NULL')}) "
+                f"coalesce(max(CASE WHEN s_no = {n} THEN s_{stat} END), {absent.get(stat, 'NULL')}) "
                 f"AS {s}_{stat}"
                 for n, s in enumerate(ranked, start=1)
                 for stat in S.STATISTICS
