@@ -11,6 +11,7 @@ from forgepulse.llm import (
     fingerprints,
     jaccard_join,
     language,
+    merkle,
     mixing,
     sharding,
     substring_dedup,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_topk": topk.op9_topk,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.op1_sql(),
         "op8_sharding": sharding.op8_sql(),
         "op9_topk": topk.OP9_SQL,
+        "op13_merkle": merkle.op13_sql(),
     }
