@@ -11,6 +11,7 @@ from forgepulse.llm import (
     fingerprints,
     jaccard_join,
     language,
+    license_scan,
     merkle,
     mixing,
     sharding,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_topk": topk.op9_topk,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op12_license_scan": license_scan.op12_license_scan,
         "op13_merkle": merkle.op13_merkle,
     }
 
@@ -42,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing": mixing.op1_sql(),
         "op8_sharding": sharding.op8_sql(),
         "op9_topk": topk.OP9_SQL,
+        "op12_license_scan": license_scan.op12_sql(),
         "op13_merkle": merkle.op13_sql(),
     }
