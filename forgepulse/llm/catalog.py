@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from forgepulse.llm import (
+    alignment,
     byte_bpe,
     fingerprints,
     jaccard_join,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_topk": topk.op9_topk,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_alignment": alignment.op11_alignment,
         "op12_license_scan": license_scan.op12_license_scan,
         "op13_merkle": merkle.op13_merkle,
     }
