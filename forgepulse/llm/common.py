@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -131,6 +133,41 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_LETTERS = np.where(_SPACES, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(1 << 16, _BASE), dtype=np.uint64)
+WORDS_SLICE = 1 << 20
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, as `words_of` cuts them, without a step per word.
+
+    A polynomial over scrambled bytes, scrambled with the length. Bytes are taken in slices of whole
+    words, so memory beyond the text is bounded by WORDS_SLICE and the longest word.
+    """
+    held = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACES[held], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + WORDS_SLICE, side="right")))
+        first, last = starts[lo], ends[hi - 1]
+        own = starts[lo:hi] - first
+        lengths = np.diff(np.append(own, last - first))
+        at = np.arange(last - first) - np.repeat(own, lengths)
+        powers = _POWERS
+        if lengths.max() > len(powers):
+            powers = np.cumprod(np.full(int(lengths.max()), _BASE), dtype=np.uint64)
+        sums = np.add.reduceat(_LETTERS[held[first:last]] * powers[at], own)
+        out[lo:hi] = mix64(sums + (ends[lo:hi] - starts[lo:hi]).astype(np.uint64) * _MIX2)
+        lo = hi
+    return out
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of other characters than space, tab, line feed, vertical tab, form feed and return."""
     return text.encode("utf-8").split() if text else []
@@ -170,6 +207,34 @@ class RangeHashes:
         return mix64((self.sums[start + length] - self.sums[start]) * self.down[start])
 
 
+_at_end: list[Callable[[], None]] = [RangeHashes._powers.clear]
+"""What frees the memory that modules keep between calls."""
+
+
+def at_task_end(free: Callable[[], None]) -> None:
+    _at_end.append(free)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for `mapInArrow`, giving memory back when its task ends: workers are used again by other
+    stages, and what they keep adds up within an executor."""
+
+    @functools.wraps(run)
+    def ran(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for free in _at_end:
+                free()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # other C libraries give memory back by themselves
+
+    return ran
+
+
 SLICE_CHARS = 1 << 21
 
 
@@ -214,4 +279,4 @@ def add_columns(
             if rows:
                 yield sliced(batch, lo, rows)
 
-    return source.mapInArrow(run, StructType([*kept, *added.fields]))
+    return source.mapInArrow(lean(run), StructType([*kept, *added.fields]))

@@ -37,15 +37,23 @@ like a result column are replaced. Identity of sets rests on 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import WordHashes, add_columns, mix64, shuffle_parts, stored, table
+from forgepulse.llm.common import (
+    add_columns,
+    lean,
+    mix64,
+    shuffle_parts,
+    stored,
+    table,
+    word_hashes,
+)
 from forgepulse.llm.components import connected
 
 SHINGLE = 5
@@ -114,9 +122,9 @@ def plan_for(shingle: int = SHINGLE, percent: int = PERCENT) -> Plan:
     return Plan(shingle, percent, 1, 1.0)
 
 
-def shingle_set(text: str | None, hashes: WordHashes, shingle: int) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = hashes.of(text.encode("utf-8").lower().split() if text else [])
+    words = word_hashes(text.encode("utf-8").lower() if text else b"")
     if not len(words):
         return words
     k = min(shingle, len(words))
@@ -131,28 +139,39 @@ def signature(members: np.ndarray) -> int:
     """One number for a set; 0 for the empty one."""
     if not len(members):
         return 0
-    folded = np.array(
-        [mix64(members).sum(dtype=U), np.bitwise_xor.reduce(mix64(~members)), U(len(members))]
-    )
+    spread = mix64(members)
+    folded = np.array([spread.sum(dtype=U), np.bitwise_xor.reduce(spread), U(len(members))])
     mixed = mix64(folded * U(0xD6E8FEB86659FD93) + np.arange(3, dtype=U))
     return int(mix64(mixed.sum(dtype=U, keepdims=True)).view(np.int64)[0]) or 1
 
 
-def sketch(members: np.ndarray, words: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The XOR words of a set, and from how many shingles each was made."""
-    spread = mix64(members ^ U((level + 1) * 0xA0761D6478BD642F % (1 << 64)))
-    at = (((spread >> U(32)) * U(words)) >> U(32)).astype(np.int64)
-    values = np.zeros(words, U)
-    np.bitwise_xor.at(values, at, mix64(members ^ U(0x8BB84B93962EACC9)))
-    return values, np.bincount(at, minlength=words)
+class Spread:
+    """A set's members in the order of one level's hash: a range of it falls into each word of any
+    number of words, so every sketch of the level is read off one running XOR."""
+
+    def __init__(self, members: np.ndarray, level: int) -> None:
+        place = mix64(members ^ U((level + 1) * 0xA0761D6478BD642F % (1 << 64))) >> U(32)
+        order = np.argsort(place)
+        self.place = place[order]
+        payload = mix64(members ^ U(0x8BB84B93962EACC9))[order]
+        self.so_far = np.concatenate([np.zeros(1, U), np.bitwise_xor.accumulate(payload)])
+
+    def sketch(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """The XOR words of the set, and from how many shingles each was made."""
+        at = ((self.place * U(words)) >> U(32)).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=words))])
+        held = self.so_far[ends]
+        return held[1:] ^ held[:-1], np.diff(ends)
 
 
 def bucket_keys(members: np.ndarray, plan: Plan) -> list[tuple[int, np.ndarray]]:
     """(band, keys) of the words to join on."""
-    found = []
+    found, levels = [], {}
     for band in plan.bands(len(members)):
         for level in range(LEVELS + 1):
-            values, counts = sketch(members, band.words, level)
+            if level not in levels:
+                levels[level] = Spread(members, level)
+            values, counts = levels[level].sketch(band.words)
             last = level == LEVELS
             used = np.flatnonzero(counts >= (0 if last else plan.least_count))
             place = U(band.index * (LEVELS + 1) + level) << U(40)
@@ -173,32 +192,29 @@ MET_ARROW = pa.schema(
 )
 
 
-def _text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
-    texts, held = [], 0
+def _text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, str]]:
+    """One text of each set, by signature, in chunks of about CHUNK_BYTES."""
+    texts, held = {}, 0
     for batch in batches:
-        for value in batch.column(0):  # one text at a time
-            text = value.as_py()
-            texts.append(text)
-            held += len(text or "")
+        sigs = batch.column(0).to_numpy()
+        for i, value in enumerate(batch.column(1)):  # one text at a time
+            if sigs[i] in texts:
+                continue
+            texts[sigs[i]] = text = value.as_py()
+            held += len(text)
             if held >= CHUNK_BYTES:
                 yield texts
-                texts, held = [], 0
+                texts, held = {}, 0
     if texts:
         yield texts
 
 
 def _meet(plan: Plan):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for texts in _text_chunks(batches):
-            seen: set[int] = set()
             keys, sigs, bands = [], [], []
-            for text in texts:
-                members = shingle_set(text, hashes, plan.shingle)
-                sig = signature(members)
-                if not sig or sig in seen:
-                    continue
-                seen.add(sig)
+            for sig, text in texts.items():
+                members = shingle_set(text, plan.shingle)
                 for band, own in bucket_keys(members, plan):
                     keys.append(own)
                     sigs.append(np.full(len(own), sig, np.int64))
@@ -233,10 +249,8 @@ def _signed(df: DataFrame, plan: Plan, text: str) -> DataFrame:
     """`df` with the signature and the size of the text's set."""
 
     def make():
-        hashes = WordHashes()
-
         def signed(held: str | None) -> tuple[int, int]:
-            members = shingle_set(held, hashes, plan.shingle)
+            members = shingle_set(held, plan.shingle)
             return signature(members), len(members)
 
         return signed
@@ -248,13 +262,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The linked ones of (a, b) pairs of signatures; b's side may be hot and is not moved twice."""
 
     def make():
-        hashes = WordHashes()
         last: list = ["", np.empty(0, U)]
 
         def linked(x: str, y: str) -> tuple[bool]:
             if last[0] != y:
-                last[:] = [y, shingle_set(y, hashes, plan.shingle)]
-            a, b = shingle_set(x, hashes, plan.shingle), last[1]
+                last[:] = [y, shingle_set(y, plan.shingle)]
+            a, b = shingle_set(x, plan.shingle), last[1]
             common = len(np.intersect1d(a, b, assume_unique=True))
             return (100 * common >= plan.percent * (len(a) + len(b) - common),)
 
@@ -277,13 +290,13 @@ def _sketches(plan: Plan):
     )
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
             for sig, text in zip(*batch.columns):
-                members = shingle_set(text.as_py(), hashes, plan.shingle)
+                members = shingle_set(text.as_py(), plan.shingle)
+                spread = Spread(members, 0)
                 for band in plan.bands(len(members)):
-                    words = sketch(members, FINE * band.words, 0)[0].astype(np.uint8).tobytes()
+                    words = spread.sketch(FINE * band.words)[0].astype(np.uint8).tobytes()
                     rows.append((sig.as_py(), band.index, len(members), words))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
@@ -381,7 +394,7 @@ def _rest(
     )
     needed = rows.select("sig").distinct()
     sketches = texts.join(needed, "sig", "left_semi").select("sig", "text").mapInArrow(
-        _sketches(plan), "sig long, band int, size int, words binary"
+        lean(_sketches(plan)), "sig long, band int, size int, words binary"
     )
     place = ["key", "i", "j"]
     blocks = (
@@ -395,13 +408,13 @@ def _rest(
     return (
         blocks.repartition(parts, *place)
         .sortWithinPartitions(*place, "part", "sig")
-        .mapInArrow(_compare(plan, every), "key long, a long, b long")
+        .mapInArrow(lean(_compare(plan, every)), "key long, a long, b long")
     )
 
 
 def _links(df: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between signatures that connect all linked sets of (__sig, text)."""
-    met = df.select("text").mapInArrow(_meet(plan), MET)
+    met = df.select("__sig", "text").mapInArrow(lean(_meet(plan)), MET)
     bucket = Window.partitionBy("route")
     buckets = stored(
         met.withColumn("least", F.min("sig").over(bucket))
@@ -434,6 +447,50 @@ def _links(df: DataFrame, plan: Plan) -> DataFrame:
     return links
 
 
+NAMES = ("n_shingles", "component_id", "group_id")
+
+
+def _placed(df: DataFrame, plan: Plan, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """`df` with __sig, __size and a number __row; and (__of, __root, __least) of each set that is
+    linked or has several rows. What is in neither needs nothing from other rows."""
+    numbered = _signed(df, plan, text).withColumn("__row", F.monotonically_increasing_id())
+    signed = stored(numbered, "jaccard-sets")
+    own = signed.select(F.col(f"`{text}`").alias("text"), "__sig").where("__sig != 0")
+    roots = connected(_links(own, plan)).select(
+        F.col("node").alias("__sig"), F.col("root").alias("__root")
+    )
+    roots = roots.union(roots.select("__root", "__root").distinct())
+    # One row per set. Few sets have links, and only they take part in finding the least id.
+    sets = stored(
+        signed.where("__sig != 0")
+        .groupBy("__sig")
+        .agg(F.min(f"`{key}`").alias("__id"), F.count(F.lit(1)).alias("__rows"))
+        .join(roots, "__sig", "left"),
+        "jaccard-roots",
+    )
+    linked = sets.where("__root IS NOT NULL")
+    least = _salted(linked.groupBy("__root").agg(F.min("__id").alias("__least")))
+    placed = (
+        linked.withColumn("__salt", _salt("__sig"))
+        .join(least, ["__root", "__salt"])
+        .select(F.col("__sig").alias("__of"), "__root", "__least")
+    )
+    copies = sets.where("__root IS NULL AND __rows > 1").select(
+        F.col("__sig").alias("__of"), F.col("__sig").alias("__root"), F.col("__id").alias("__least")
+    )
+    # Once stored, its size is known where the joins are planned.
+    return signed, stored(placed.unionByName(copies), "jaccard-placed")
+
+
+def _joined(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows with what was found for their set; whichever salt a row draws, it finds the same."""
+    dealt = rows.withColumn("__salt", F.floor(F.rand(3) * SALTS))
+    held = _salted(found).withColumnRenamed("__salt", "__at")
+    return dealt.join(
+        held, (F.col("__sig") == F.col("__of")) & (F.col("__salt") == F.col("__at")), how
+    )
+
+
 def groups(
     df: DataFrame,
     shingle: int = SHINGLE,
@@ -444,36 +501,60 @@ def groups(
     """`df` with n_shingles, the size of the set, component_id, the smallest id of the rows that
     links reach (the row's own if there are none), and group_id, a number of the group that null
     ids have as well (null for empty sets)."""
-    plan = plan_for(shingle, percent)
-    names = ("n_shingles", "component_id", "group_id")
-    signed = stored(_signed(df, plan, text), "jaccard-sets")
-    own = signed.select(F.col(text).alias("text"), "__sig").where("__sig != 0")
-    roots = connected(_links(own, plan)).select(
-        F.col("node").alias("__sig"), F.col("root").alias("__root")
+    signed, found = _placed(df, plan_for(shingle, percent), key, text)
+    own = F.col(f"`{key}`")
+    return _joined(signed, found, "left").select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in NAMES],
+        F.col("__size").alias("n_shingles"),
+        F.when(F.col("__of").isNull(), own).otherwise(F.col("__least")).alias("component_id"),
+        F.when(F.col("__sig") != 0, F.coalesce("__root", "__sig")).alias("group_id"),
     )
-    root = F.coalesce("__root", "__sig").alias("__root")
-    least = (
-        signed.where("__sig != 0")
-        .groupBy("__sig")
-        .agg(F.min(key).alias("__id"))
-        .join(roots, "__sig", "left")
-        .groupBy(root)
-        .agg(F.min("__id").alias("__least"))
+
+
+def one_of_each(
+    df: DataFrame,
+    ties: Sequence[str],
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """`df` with one row of each group: that of the smallest key (of equal ones the first by `ties`,
+    then by a hash of the text). Rows with an empty set are in no group and stay.
+
+    Which rows go is found on narrow columns; texts are moved only where Spark has to shuffle them
+    to leave out the numbers of these rows.
+    """
+    signed, found = _placed(df, plan_for(shingle, percent), key, text)
+    order = [f"`{c}`" for c in ties]
+    narrow = signed.where("__sig != 0").select(
+        "__sig", "__row", F.col(f"`{key}`").alias("__key"),
+        F.struct(*order, F.xxhash64(f"`{text}`").alias("__hash"), "__row").alias("__order"),
+    )
+    members = stored(
+        _joined(narrow, found, "inner").select("__row", "__key", "__root", "__least", "__order"),
+        "jaccard-members",
     )
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    return (
-        signed.join(roots, "__sig", "left")
-        .select(*kept, "__sig", "__size", root)
-        .join(least, "__root", "left")
-        .select(
-            *kept,
-            F.col("__size").alias("n_shingles"),
-            F.when(F.col("__sig") == 0, F.col(key)).otherwise(F.col("__least")).alias(
-                "component_id"
-            ),
-            F.when(F.col("__sig") != 0, F.col("__root")).alias("group_id"),
-        )
+    kept = (
+        members.where(F.col("__key").eqNullSafe(F.col("__least")))
+        .groupBy("__root")
+        .agg(F.min("__order")["__row"].alias("__row"))
     )
+    gone = stored(members.select("__row").join(kept, "__row", "left_anti"), "jaccard-gone")
+    return signed.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+SALTS = 8
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit("salt")), F.lit(SALTS).cast("long"))
+
+
+def _salted(narrow: DataFrame) -> DataFrame:
+    """Each row once per salt, so that rows that look for a frequent one are dealt to SALTS tasks."""
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return narrow.withColumn("__salt", F.explode(salts))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

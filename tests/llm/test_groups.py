@@ -18,7 +18,7 @@ from llm_helpers import (  # noqa: E402
 )
 
 from forgepulse.llm import components, jaccard_join, substring_dedup  # noqa: E402
-from forgepulse.llm.common import WordHashes  # noqa: E402
+from forgepulse.llm.common import word_hashes, words_of  # noqa: E402
 
 
 @pytest.mark.parametrize("length, anchor", [(20, None), (7, 3), (50, None), (1, None)])
@@ -136,22 +136,50 @@ def test_near_pairs_connect_what_all_pairs_connect():
             assert all(label[x] == label[y] for x, y in near), groups
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    from forgepulse.llm import common
+
+    texts = ["", " ", "a", " a\tb\x0bab ba  a ", "é e\u0301 \x1c\x85 x", "x" * 70_000 + " " + "x" * 70_001]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("ab \n") for _ in range(60)) for _ in range(50)]
+    by_hash = {}
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(common, "WORDS_SLICE", size)
+        for text in texts:
+            words, hashes = words_of(text), word_hashes(text.encode()).tolist()
+            assert len(words) == len(hashes)
+            for word, value in zip(words, hashes):
+                assert by_hash.setdefault(word, value) == value
+    assert len(set(by_hash.values())) == len(by_hash) > 50
+
+
+def test_sketch_equals_the_plain_one():
+    members = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
+    for words in (1, 7, 64):
+        values, counts = jaccard_join.Spread(members, 1).sketch(words)
+        whole, _ = jaccard_join.Spread(members, 1).sketch(1)
+        assert np.bitwise_xor.reduce(values) == whole[0] and counts.sum() == len(members)
+        # Taking one member out changes one word.
+        less, fewer = jaccard_join.Spread(members[1:], 1).sketch(words)
+        assert (less != values).sum() == 1 == (fewer != counts).sum()
+
+
 def test_sketch_distance_bounds_the_difference():
-    hashes, rng = WordHashes(), random.Random(2)
+    rng = random.Random(2)
     for _ in range(60):
         one = prose(rng, 40).split(" ")
         other = one[: rng.randrange(41)] + prose(rng, rng.randrange(1, 20)).split(" ")
-        a, b = (jaccard_join.shingle_set(" ".join(x), hashes, 2) for x in (one, other))
+        a, b = (jaccard_join.shingle_set(" ".join(x), 2) for x in (one, other))
         apart = len(np.setxor1d(a, b))
         for words in (5, 16, 60):
             for level in (0, 2):
-                x, y = (jaccard_join.sketch(s, words, level)[0] for s in (a, b))
+                x, y = (jaccard_join.Spread(s, level).sketch(words)[0] for s in (a, b))
                 assert (x != y).sum() <= apart
 
 
 def test_linked_pairs_share_a_bucket():
     """The pigeonhole promise, on pairs at the threshold."""
-    plan, rng, hashes = jaccard_join.plan_for(1, 80), random.Random(9), WordHashes()
+    plan, rng = jaccard_join.plan_for(1, 80), random.Random(9)
     met = 0
     for n in (5, 9, 10, 16, 17, 40, 64, 65, 130, 300):
         for _ in range(40):
@@ -160,7 +188,7 @@ def test_linked_pairs_share_a_bucket():
             other = set(rng.sample(sorted(one), n - drop)) | {
                 f"u{rng.random()}" for _ in range(rng.randrange(n // 9 + 1))
             }
-            a, b = (jaccard_join.shingle_set(" ".join(s), hashes, 1) for s in (one, other))
+            a, b = (jaccard_join.shingle_set(" ".join(s), 1) for s in (one, other))
             common = len(np.intersect1d(a, b))
             if 100 * common >= 80 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
                 keys = [
