@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import add_columns, table
+from forgepulse.llm.common import add_columns, at_task_end, table
 
 PART_CHARS = 1 << 16
 SAFE_CUT = regex.compile(
@@ -57,10 +57,11 @@ def build_encoder(ranks: Ranks) -> tiktoken.Encoding:
 
 
 _encoders: dict[int, tiktoken.Encoding] = {}
+at_task_end(_encoders.clear)
 
 
 def _encoder(shared: Broadcast) -> tiktoken.Encoding:
-    """One per worker process and broadcast, kept over tasks."""
+    """One per task and broadcast."""
     key = hash(shared.value)
     if key not in _encoders:
         _encoders.clear()

@@ -39,6 +39,7 @@ from forgepulse.llm.common import (
     RangeHashes,
     WordHashes,
     add_columns,
+    lean,
     mix64,
     stored,
     table,
@@ -227,11 +228,11 @@ def repeats(
 ) -> DataFrame:
     """The repeated stretches of each document of (id, tie, text): id, tie, repeats [lo, n, ...]."""
     anchor = anchor or max(1, 2 * length // 5)
-    seeds = places.mapInArrow(_stretches(length, anchor), FOUND)
+    seeds = places.mapInArrow(lean(_stretches(length, anchor)), FOUND)
     marks = stored(_by_document(_judged(seeds)), "substring-marks")
     asked = marks.where(F.size("unsettled") > 0).select("id", "tie", "unsettled")
     texts = places.join(asked, ["id", "tie"]).select("id", "tie", "text", "unsettled")
-    singles = _judged(texts.mapInArrow(_single_windows(length), FOUND))
+    singles = _judged(texts.mapInArrow(lean(_single_windows(length)), FOUND))
     more = singles.where("again").groupBy("id", "tie").agg(
         F.flatten(F.collect_list(F.array("lo", "n"))).alias("repeats")
     )

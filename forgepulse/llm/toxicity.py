@@ -3,7 +3,7 @@
 A text's features are the hashed character n-grams that occur in its lower-case form. Each
 feature is scaled by r = log(share of it among toxic rows / share among others), with add-one
 smoothing, where r is clear of chance, and a logistic regression is fitted on the scaled features. The fit uses a bounded sample of
-labelled rows: about MAX_PER_LABEL rows of each label, picked by a hash of the whole row; the intercept is corrected to the
+labelled rows: about MAX_PER_LABEL rows of each label, picked by a hash of the label's whole row; the intercept is corrected to the
 true shares of the labels. Every text is then scored as a whole by one broadcast table of 2**BITS
 weights.
 
@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import add_columns, crc_fold, mix64, row_position, stored, table
+from forgepulse.llm.common import add_columns, crc_fold, lean, mix64, row_position, stored, table
 
 BITS = 18
 GRAMS = (5, 6)
@@ -41,6 +41,7 @@ ERRORS = 4.0
 """Log-count ratios within so many standard errors of 0 count as 0."""
 
 FIT_PARTS = 12
+FEATURE_ROWS = 256
 
 
 class Model(NamedTuple):
@@ -76,18 +77,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("label", pa.int32()), ("grams", pa.binary())])
     features = Features()
     for batch in batches:
-        grams = [features.of(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int32()), pa.array(grams, pa.binary())], schema=schema
-        )
+        for lo in range(0, batch.num_rows, FEATURE_ROWS):
+            part = batch.slice(lo, FEATURE_ROWS)
+            grams = [features.of(t.as_py()).astype(np.int32).tobytes() for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).cast(pa.int32()), pa.array(grams, pa.binary())], schema=schema
+            )
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per task: in how many of its rows of label 0 and 1 each feature occurs."""
     counts = np.zeros((2, 1 << BITS), dtype=np.int64)
     for batch in batches:
-        for label, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label, np.frombuffer(grams, np.int32)] += 1
+        for label, grams in zip(*batch.columns):
+            counts[label.as_py(), np.frombuffer(grams.as_buffer(), np.int32)] += 1
     yield pa.RecordBatch.from_pydict({"counts": pa.array([counts.tobytes()], pa.binary())})
 
 
@@ -96,19 +99,37 @@ def fit(
 ) -> Model:
     """A model of the labelled rows, from a sample of about `per_label` rows of each label."""
     known = rows.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    shares = {r[0]: r[1] for r in known.groupBy(F.col(label).cast("int")).count().collect()}
+    shares = _shares(known, label)
+    position = row_position(known, "toxicity")
+    return fit_sample(
+        known.where(position < _rate(shares, label, per_label)), shares, label, text, per_label
+    )
+
+
+def _shares(known: DataFrame, label: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in known.groupBy(F.col(label).cast("int")).count().collect()}
+
+
+def _rate(shares: dict[int, int], label: str, per_label: int) -> Column:
+    """The share of a label's rows that the sample takes."""
+    one, other = (per_label / max(shares.get(k, 0), 1) for k in (1, 0))
+    return F.when(F.col(label) == 1, one).otherwise(other)
+
+
+def fit_sample(
+    sample: DataFrame, shares: dict[int, int], label: str, text: str, per_label: int = MAX_PER_LABEL
+) -> Model:
+    """A model of sampled rows, where `shares` has the rows of each label before sampling."""
     flat = np.zeros(1 << BITS, dtype=np.float32)
     if len(shares) < 2:
         return Model(flat, np.inf if 1 in shares else -np.inf)
-    position = row_position(known, "toxicity")
-    share = F.when(F.col(label) == 1, per_label / shares[1]).otherwise(per_label / shares[0])
-    sample = known.where(position < share).select(F.col(label).cast("int"), F.col(text))
+    texts = sample.select(F.col(label).cast("int"), F.col(text))
     grams = stored(
-        sample.mapInArrow(_features, "label int, grams binary").repartition(FIT_PARTS),
+        texts.mapInArrow(lean(_features), "label int, grams binary").repartition(FIT_PARTS),
         "toxicity-sample",
     )
     # One row per task of the bounded sample comes to the driver.
-    parts = grams.coalesce(FIT_PARTS).mapInArrow(_gram_counts, "counts binary").collect()
+    parts = grams.coalesce(FIT_PARTS).mapInArrow(lean(_gram_counts), "counts binary").collect()
     counts = sum(np.frombuffer(p["counts"], np.int64).reshape(2, -1) for p in parts)
     used = counts.sum(axis=0) >= MIN_ROWS
     if not used.any():
@@ -164,18 +185,27 @@ def score(
     return add_columns(df, [text], f"`{name}` double, `{flag}` int", make)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and label of the rows to learn from: those outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+def fit_labelled(spark: SparkSession, sf_dir: str, per_label: int = MAX_PER_LABEL) -> Model:
+    """A model of the labelled rows outside the held-out fold.
+
+    The sample is picked among the labels; texts are joined to the few picked ids only.
+    """
     learned = crc_fold(F.col("doc_id"), 5) != 0
-    return labels.where(learned).join(texts.where(learned), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labels = labels.where(learned & F.col("toxic").isin(0, 1))
+    texts = table(spark, sf_dir, "documents").where(learned & F.col("text").isNotNull())
+    shares = _shares(labels.join(texts.select("doc_id"), "doc_id"), "toxic")
+    picked = row_position(labels, "toxicity") < _rate(shares, "toxic", per_label)
+    # Once stored, its size is known where the join is planned.
+    chosen = stored(labels.where(picked), "toxicity-chosen")
+    sample = texts.select("doc_id", "text").join(chosen, "doc_id")
+    return fit_sample(sample, shares, "toxic", "text", per_label)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside the held-out fold."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(documents, fit(labelled(spark, sf_dir))).select(
+    return score(documents, fit_labelled(spark, sf_dir)).select(
         "doc_id",
         (F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))).alias("held_out"),
         "score",
