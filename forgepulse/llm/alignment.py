@@ -7,9 +7,11 @@ of tokens and groups, G = A H (H: bytes by groups), the product G_A G_B^T links
 Matrices are in compressed rows, built by hand, and products are Gustavson's: for each entry (i, k)
 of the left matrix, row k of the right one is added to row i.
 
-Both tokenizers split the text at a single space between other characters, whatever stands around, so
-a text is a sequence of units (a space and what follows) that are aligned alone, in large batches, once
-for each unit that a worker has not seen lately. The unit's result is that of the library on the unit.
+Both tokenizers split a text before a single space between other characters, around a single line feed
+between others, and before a full stop or comma that ends a word, whatever stands around. So a text is
+a sequence of units, which are aligned alone, in large batches, once for each unit that a worker has not
+seen lately. That no piece of the vocabulary crosses such a place is checked when the tokenizers are
+loaded; a vocabulary with such pieces is an error.
 
 How many documents hold a pair of ids linked is counted over all documents: chunks of documents list
 their distinct pairs, so a pair that nearly all documents hold sends one row per chunk. The counts go
@@ -48,7 +50,10 @@ from forgepulse.llm.token_counts import byte_level_alphabet
 
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
-UNIT_END = re.compile(r"(?<=\S)(?= \S)")
+UNIT_END = re.compile(
+    r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,](?:\s|$))"
+)
+CROSSES_UNITS = re.compile(r"[^▁]▁+[^▁]|\n|[A-Za-zÀ-ÖØ-öø-ɏ][.,]")
 UNITS = 200_000
 """A worker forgets its units at the end of a chunk when it holds more."""
 
@@ -145,30 +150,51 @@ class Tokenizers:
         letters = byte_level_alphabet()
         with open(byte_file, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        self.bytes_a = {
-            i: bytes(letters[c] for c in entry)
-            for entry, i in vocabulary.items()
-            if all(c in letters for c in entry)
-        }
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
+            if all(c in letters for c in entry):
+                self.bytes_a[i] = bytes(letters[c] for c in entry)
         self.bytes_b = []
         for i in range(len(self.second)):
             piece = self.second.id_to_piece(i)
+            if CROSSES_UNITS.search(piece):
+                raise ValueError(f"piece {piece!r} crosses the end of a unit")
             if self.second.is_byte(i):
                 self.bytes_b.append(bytes([int(piece[1:-1], 16)]))
             else:
                 self.bytes_b.append(piece.replace("▁", " ").encode())
-
-    def encoded(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of each unit, which begins with a space; None where bytes aren't given back."""
-        first = self.first.encode_batch(units, add_special_tokens=False)
-        second = self.second.encode([u[1:] for u in units], num_threads=1)
-        out = []
-        for unit, held, b in zip(units, first, second):
-            a, whole = held.ids, unit.encode()
-            same = b"".join([self.bytes_a.get(i, b"\0\0") for i in a]) == whole
-            same = same and b"".join([self.bytes_b[i] for i in b]) == whole
-            out.append((a, b) if same else None)
-        return out
+        self.lengths = [
+            np.fromiter(map(len, held), np.int64, len(held)) for held in (self.bytes_a, self.bytes_b)
+        ]
+        self.names = [list(map(str, range(len(held)))) for held in (self.bytes_a, self.bytes_b)]
+        # A space of its own goes before a text, so units that don't begin with one follow a line feed.
+        self.lead = self.second.encode("\n")
+
+    def encoded(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each unit by both; none where bytes aren't given back."""
+        first = [e.ids for e in self.first.encode_batch(units, add_special_tokens=False)]
+        second = self.second.encode(
+            [u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1
+        )
+        lead = len(self.lead)
+        for i, unit in enumerate(units):
+            if unit[0] != " ":
+                second[i] = second[i][lead:]
+        whole = "".join(units).encode()
+        sizes = [len(u) if u.isascii() else len(u.encode()) for u in units]
+        for ids, bytes_of, lengths in (
+            (first, self.bytes_a, self.lengths[0]), (second, self.bytes_b, self.lengths[1])
+        ):
+            flat = list(chain.from_iterable(ids))
+            tokens = np.fromiter(map(len, ids), np.int64, len(ids))
+            covered = np.r_[0, np.cumsum(lengths[flat])][np.r_[0, np.cumsum(tokens)]]
+            if b"".join(map(bytes_of.__getitem__, flat)) != whole or (
+                np.diff(covered) != sizes
+            ).any():
+                for i, unit in enumerate(units):
+                    if b"".join(map(bytes_of.__getitem__, ids[i])) != unit.encode():
+                        first[i], second[i] = [], []
+        return first, second
 
 
 class Units:
@@ -190,45 +216,38 @@ class Units:
         coded = self.tokenizers.encoded(units)
         for i, unit in enumerate(units, len(self.number)):
             self.number[unit] = i
-        good = [(a, b) if c else ([], []) for c in coded for a, b in [c or ([], [])]]
-        ids = [np.fromiter(chain.from_iterable(g[k] for g in good), np.int64) for k in (0, 1)]
-        sizes = np.array([(len(a), len(b)) for a, b in good], np.int64).reshape(-1, 2)
-        lengths = [
-            np.fromiter((len(table_of[i]) for i in held), np.int64, len(held))
-            for table_of, held in zip((self.tokenizers.bytes_a, self.tokenizers.bytes_b),
-                                      (ids[0].tolist(), ids[1].tolist()))
-        ]
-        links = align(np.cumsum(lengths[0]), np.cumsum(lengths[1]))
+        sizes = np.array([list(map(len, side)) for side in coded], np.int64).T
+        flat = [list(chain.from_iterable(side)) for side in coded]
+        ids = [np.array(held, np.int64) for held in flat]
+        links = align(
+            *[np.cumsum(lengths[held]) for lengths, held in zip(self.tokenizers.lengths, ids)]
+        )
         # Tokens of a unit, its links and its groups are consecutive.
         token_ends = np.r_[0, np.cumsum(sizes[:, 0])]
         link_ends = links.shared.starts[token_ends]
         rows = row_numbers(links.shared)
         found = (ids[0][rows] << ID_BITS) | ids[1][links.shared.columns]
-        group_of_a = links.groups_a.columns
-        n_groups = np.diff(np.r_[0, self._groups_until(group_of_a, token_ends[1:])])
+        group_ends = np.r_[0, links.groups_a.columns + 1][token_ends]  # a token is in one group
         self.starts = np.r_[self.starts, self.starts[-1] + link_ends[1:]]
         self.pairs = np.r_[self.pairs, found]
-        self.sizes = np.r_[self.sizes, np.c_[sizes, n_groups]]
-        shown = self._shown(ids, group_of_a, links.groups_b.columns)
-        ends = np.cumsum(n_groups).tolist()
-        for c, lo, hi in zip(coded, [0, *ends], ends):
-            self.shown.append(";".join(shown[lo:hi]) if c else None)
-
-    @staticmethod
-    def _groups_until(group_of_a: np.ndarray, token_ends: np.ndarray) -> np.ndarray:
-        """Number of groups up to the end of each unit; a token lies in one group only."""
-        before = np.r_[0, group_of_a + 1]
-        return before[token_ends]
-
-    @staticmethod
-    def _shown(ids, group_of_a: np.ndarray, group_of_b: np.ndarray) -> list[str]:
+        self.sizes = np.r_[self.sizes, np.c_[sizes, np.diff(group_ends)]]
+        groups = self._groups(flat, links)
+        ends = group_ends.tolist()
+        self.shown += [
+            (groups[lo] if hi == lo + 1 else ";".join(groups[lo:hi])) if hi > lo else None
+            for lo, hi in zip(ends, ends[1:])
+        ]
+
+    def _groups(self, flat: list[list[int]], links: Links) -> list[str]:
         """Each group as text: its ids of A and of B."""
-        n = int(group_of_a[-1]) + 1 if len(group_of_a) else 0
         sides = []
-        for held, group in zip(ids, (group_of_a, group_of_b)):
-            texts = held.astype(str).tolist()
-            ends = np.searchsorted(group, np.arange(n), side="right").tolist()
-            sides.append([",".join(texts[lo:hi]) for lo, hi in zip([0, *ends], ends)])
+        for held, names, m in zip(flat, self.tokenizers.names, (links.groups_a, links.groups_b)):
+            texts = list(map(names.__getitem__, held))
+            ends = np.searchsorted(m.columns, np.arange(m.width), side="right").tolist()
+            sides.append([
+                texts[lo] if hi == lo + 1 else ",".join(texts[lo:hi])
+                for lo, hi in zip([0, *ends], ends)
+            ])
         return [f"{a}|{b}" for a, b in zip(*sides)]
 
     def of(self, texts: list[str | None]) -> list[np.ndarray | None]:
