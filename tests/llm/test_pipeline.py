@@ -118,3 +118,19 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_the_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_columns_named_like_the_operators_own_keep_their_values(spark):
+    names = ("n_removed", "group_id", "copy_no", "kept_text", "shuffle_key", "component_id", "score")
+    docs = _docs(spark, sorted(_corpus()))
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(77 + i))
+    for stage in (
+        corpus_pipeline.drop_toxic,
+        corpus_pipeline.keep_one_of_near_duplicates,
+        corpus_pipeline.drop_repeats,
+        corpus_pipeline.mix_sources,
+    ):
+        done = stage(spark, docs, SF)
+        assert done.columns == docs.columns
+        assert [tuple(r) for r in done.select(*names).distinct().collect()] == [tuple(range(77, 84))]
