@@ -15,54 +15,67 @@ again as the next stage's docs. All but the last return the columns of documents
    shuffled globally. Copies are repeated rows.
 5. byte_bpe: token ids of each text, and whether they decode to its bytes.
 
-Null text and empty tables pass through every stage.
+Null text and empty tables pass through every stage; further columns keep their values, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgepulse.llm import byte_bpe, jaccard_join, mixing, substring_dedup, toxicity
 from forgepulse.llm.common import stored, table
 
 REPEAT_WORDS = 50
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with inner names for columns beyond those of documents, and what names them back.
+
+    The operators replace columns named like their results, which such a column may be.
+    """
+    inner = {c: f"__extra{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+    names = [(inner.get(c, c), c) for c in docs.columns]
+    return docs.withColumnsRenamed(inner), lambda done: done.select(
+        *[F.col(own).alias(c) for own, c in names]
+    )
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(toxicity.labelled(spark, sf_dir))
+    model = toxicity.fit_labelled(spark, sf_dir)
     scored = toxicity.score(docs, model, name="__score", flag="__toxic")
     return scored.where(F.col("__toxic") == 0).select(docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.groups(docs)
-    empty = F.col("group_id").isNull()
-    least = found.where(empty | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows that share a group's smallest id are repeated rows; each empty one stands for itself.
-    alone = F.when(empty, F.monotonically_increasing_id())
-    order = Window.partitionBy("group_id", alone).orderBy("source", "lang", F.xxhash64("text"))
-    ranked = least.withColumn("__rank", F.row_number().over(order))
-    return ranked.where(F.col("__rank") == 1).select(docs.columns)
+    docs, named_back = _aside(docs)
+    return named_back(jaccard_join.one_of_each(docs, ties=["source", "lang"]))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, named_back = _aside(docs)
     done = substring_dedup.remove_repeats(docs, REPEAT_WORDS)
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
-    return done.withColumns(
+    cleaned = done.withColumns(
         {
             "text": text,
             "n_chars": F.when(cut, F.char_length("kept_text").cast("long")).otherwise(
                 F.col("n_chars")
             ),
         }
-    ).select(docs.columns)
+    )
+    return named_back(cleaned)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, mixing.WEIGHTS).select(docs.columns)
+    docs, named_back = _aside(docs)
+    return named_back(mixing.mix(docs, mixing.WEIGHTS))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
