@@ -151,5 +151,5 @@ def event_fates(resolved: DataFrame) -> DataFrame:
 def identify_activities(
     events: DataFrame, keys: Sequence[str] = ("login",), only: Sequence[int] | None = None
 ) -> DataFrame:
-    """Activities of deduplicated flat events whose accounts are bounded by `latest_events`."""
+    """Activities of deduplicated flat events, all of them."""
     return emit_activities(resolve_pairs(events, keys), keys, only)

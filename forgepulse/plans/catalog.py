@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from forgepulse import schema as S
 from forgepulse.operators import extract, features, limits, pairing
 from forgepulse.operators.activities import event_fates
+from forgepulse.operators.numbering import numbered
 from forgepulse.operators.verdict import result_columns, verdicts
 from forgepulse.plans import oracle as O
 from forgepulse.plans import pipeline, testbed
@@ -340,28 +341,37 @@ _SQL["progressive_fixed_score"] = O.fixed_progressive(20, MIN_CONFIDENCE, PAGE_S
 
 
 BOT_FROM, HUMAN_TO = 72, 68  # activities; accounts in between have no label
+CERTAIN = f"NA >= {BOT_FROM} OR NA <= {HUMAN_TO}"
+HELD_OUT = "CAST(substr(contributor, 5) AS bigint) % 4 = 0"
 
 
 def _train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learn a label that the activity count determines, and judge accounts not learned from."""
+    """Learn a label that the activity count determines on three of four folds, and judge every account.
+
+    Accounts near the border have no label: they aren't learned from, and their verdict, which hangs on
+    the model, is shown as `uncertain`.
+    """
     from forgepulse.plans import model
 
     folder = shared_folder(spark, "train-score")
     pipeline.features_of(testbed.flat_events(spark, sf_dir)).write.parquet(f"{folder}/features")
-    features = spark.read.parquet(f"{folder}/features").filter(
-        f"NA >= {BOT_FROM} OR NA <= {HUMAN_TO}"
-    )
-    held_out = "CAST(substr(contributor, 5) AS bigint) % 4 = 0"
-    labelled = features.filter(f"NOT ({held_out})").selectExpr("*", f"NA >= {BOT_FROM} AS is_bot")
-    model.save(model.train(labelled, rounds=5, bins=256), f"{folder}/model")
+    features = spark.read.parquet(f"{folder}/features")
+    labelled = features.filter(f"NOT ({HELD_OUT}) AND ({CERTAIN})")
+    learned = model.train(labelled.selectExpr("*", f"NA >= {BOT_FROM} AS is_bot"), rounds=5, bins=256)
+    model.save(learned, f"{folder}/model")
     score = model.scorer(model.load(f"{folder}/model"))
-    return verdicts(score(features.filter(held_out))).select("contributor", "type")
+    return verdicts(score(features)).selectExpr(
+        "contributor",
+        f"{HELD_OUT} AS held_out",
+        f"CASE WHEN {CERTAIN} OR type NOT IN ('Bot', 'Human') THEN type ELSE 'uncertain' END AS type",
+    )
 
 
 _SQL["train_score_gbt"] = _with_features(
-    f"SELECT contributor, CASE WHEN NA >= {BOT_FROM} THEN 'Bot' ELSE 'Human' END AS type "
-    f"FROM statistics WHERE (NA >= {BOT_FROM} OR NA <= {HUMAN_TO}) "
-    "AND CAST(substr(contributor, 5) AS BIGINT) % 4 = 0"
+    f"""SELECT contributor, {HELD_OUT} AS held_out,
+               CASE WHEN NOT ({CERTAIN}) THEN 'uncertain'
+                    WHEN NA >= {BOT_FROM} THEN 'Bot' ELSE 'Human' END AS type
+        FROM statistics"""
 )
 _QUERIES["train_score_gbt"] = _train_score
 
@@ -442,7 +452,7 @@ def _login_lists(spark: SparkSession, sf_dir: str) -> str:
     users = testbed.accounts(spark, sf_dir).selectExpr("login", f"{numbers} AS number")
     for name, part in (("a", "number % 10 = 0"), ("b", "number % 10 != 0")):
         lines = users.filter(part).orderBy("number").selectExpr("concat(login, ' note') AS value")
-        lines.coalesce(1).write.text(f"{folder}/{name}")
+        lines.write.text(f"{folder}/{name}")  # the order of rows is that of files and lines
     return folder
 
 
@@ -450,9 +460,8 @@ def _combined_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named logins, then those of both lists, numbered in the order given."""
     folder = _login_lists(spark, sf_dir)
     listed = read_logins(spark, [f"{folder}/{name}" for name in ("b", "a")])
-    return combine_logins(spark, ["user1", "user0"], listed).selectExpr(
-        "login", "CAST(row_number() OVER (ORDER BY input_pos) AS bigint) AS place"
-    )
+    combined = combine_logins(spark, ["user1", "user0"], listed)
+    return numbered(combined, ["input_pos"]).select("login", "place")
 
 
 _RESULT_COLUMNS = ["contributor", "type", "confidence"]

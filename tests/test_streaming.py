@@ -8,7 +8,9 @@ import pytest
 from forgepulse.operators.extract import flatten_events
 from forgepulse.plans import pipeline, testbed
 from forgepulse.sources.events import read_events, stream_events
+from forgepulse.sources.folders import shared_folder
 from forgepulse.streaming import classify, latest
+from helpers import event, flat
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["contributor", "type", "confidence", "events", "NA", "NT", "DCA_mean", "NAT_gini", "DAAR_IQR"]
@@ -112,8 +114,8 @@ def test_a_cluster_needs_a_shared_folder():
             return self.values.get(key, default)
 
     with pytest.raises(ValueError):
-        classify.shared_folder(SimpleNamespace(conf=Conf("spark://host:7077")), "x")
-    assert "/x-" in classify.shared_folder(SimpleNamespace(conf=Conf("local[2]")), "x")
+        shared_folder(SimpleNamespace(conf=Conf("spark://host:7077")), "x")
+    assert "/x-" in shared_folder(SimpleNamespace(conf=Conf("local[2]")), "x")
 
 
 @pytest.mark.parametrize("parts", [0, 3])
@@ -132,3 +134,36 @@ def test_derived_events_are_streamed_whole(spark, tmp_path, parts):
     out = str(tmp_path / "out")
     stream.option("checkpointLocation", str(tmp_path / "marks")).format("parquet").start(out).awaitTermination()
     assert spark.read.parquet(out).count() == testbed.raw_events(spark, sf_dir).count() > 90
+
+
+def _ids(df):
+    return sorted((r["login"], r["event_id"]) for r in df.collect())
+
+
+def test_a_folder_that_a_killed_driver_left_empty(spark, tmp_path):
+    folder = str(tmp_path / "events")
+    (tmp_path / "events" / "snapshot=0" / "batch_id=0").mkdir(parents=True)
+    first = flat(spark, [event(1, "ForkEvent", 1), event(2, "ForkEvent", 2, login="bob")])
+    for _ in range(2):  # the repeated batch ends as it should, however often
+        assert _ids(latest.keep_latest(first, 0, folder, 5, 50)) == [("ann", 1), ("bob", 2)]
+    # A later batch dies with part of its files written, and is repeated.
+    second = flat(spark, [event(3, "ForkEvent", 3)])
+    latest.keep_latest(flat(spark, [event(9, "ForkEvent", 9)]), 1, folder, 5, 50)
+    (tmp_path / "events" / "snapshot=0" / "batch_id=1" / "_SUCCESS").unlink()
+    assert _ids(latest.keep_latest(second, 1, folder, 5, 50)) == [("ann", 1), ("ann", 3)]
+    assert _ids(latest.current_events(spark, folder)) == [("ann", 1), ("ann", 3), ("bob", 2)]
+
+
+def test_a_small_batch_opens_the_buckets_it_touches_only(spark, tmp_path):
+    folder = str(tmp_path / "events")
+    many = [event(i, "ForkEvent", 1, login=f"user{i}") for i in range(300)]
+    latest.keep_latest(flat(spark, many), 0, folder, 5, 50)
+    stored = spark.read.parquet(folder)
+    (own,) = [r["bucket"] for r in stored.filter("login = 'user7'").collect()]
+    files = list((tmp_path / "events").rglob("*.parquet"))
+    assert len({f.parent.name for f in files}) > 50
+    for file in files:
+        if file.parent.name != f"bucket={own}":
+            file.write_bytes(b"not to be opened")
+    kept = latest.keep_latest(flat(spark, [event(999, "ForkEvent", 5, login="user7")]), 1, folder, 5, 50)
+    assert _ids(kept) == [("user7", 7), ("user7", 999)]
