@@ -279,7 +279,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return add_columns(met, ["x", "y"], "ok boolean", make).where("ok").select("a", "b")
 
 
-FINE = 4
+FINE = 2
 """Words of the sketches that are compared, per word of those that are joined."""
 
 

@@ -27,7 +27,16 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgepulse.llm.common import add_columns, crc_fold, lean, mix64, row_position, stored, table
+from forgepulse.llm.common import (
+    add_columns,
+    crc_fold,
+    lean,
+    mix64,
+    row_position,
+    shuffles_removed,
+    stored,
+    table,
+)
 
 BITS = 18
 GRAMS = (5, 6)
@@ -194,11 +203,13 @@ def fit_labelled(spark: SparkSession, sf_dir: str, per_label: int = MAX_PER_LABE
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     labels = labels.where(learned & F.col("toxic").isin(0, 1))
     texts = table(spark, sf_dir, "documents").where(learned & F.col("text").isNotNull())
-    shares = _shares(labels.join(texts.select("doc_id"), "doc_id"), "toxic")
+    with shuffles_removed(spark):
+        shares = _shares(labels.join(texts.select("doc_id"), "doc_id"), "toxic")
     picked = row_position(labels, "toxicity") < _rate(shares, "toxic", per_label)
-    # Once stored, its size is known where the join is planned.
     chosen = stored(labels.where(picked), "toxicity-chosen")
-    sample = texts.select("doc_id", "text").join(chosen, "doc_id")
+    # About 2 * per_label rows, unless label rows are repeated; only then texts are shuffled.
+    few = chosen.count() <= 8 * per_label
+    sample = texts.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
     return fit_sample(sample, shares, "toxic", "text", per_label)
 
 
