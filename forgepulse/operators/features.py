@@ -14,7 +14,7 @@ from forgepulse.functions.times import epoch_micros, hours
 TIME_ORDER = "date ASC NULLS LAST, activity_ord, event_id"
 
 
-def _changed(column: str, neighbour: str) -> str:
+def changed(column: str, neighbour: str) -> str:
     """True at the edge of a run; a missing value on either side always ends the run."""
     return f"NOT coalesce({column} = {neighbour}, false)"
 
@@ -31,7 +31,7 @@ def runs(
     by_time = f"(PARTITION BY {account} ORDER BY {TIME_ORDER})"
     blocks = (
         activities.selectExpr("*", f"lag({column}) OVER {by_time} AS before")
-        .selectExpr("*", f"CAST({_changed(column, 'before')} AS bigint) AS starts")
+        .selectExpr("*", f"CAST({changed(column, 'before')} AS bigint) AS starts")
         .selectExpr(
             "*",
             f"sum(starts) OVER (PARTITION BY {account} ORDER BY {TIME_ORDER} "
@@ -98,10 +98,10 @@ def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -
         )
         .selectExpr(
             "*",
-            f"CASE WHEN {_changed('repository', 'repo_before')} "
+            f"CASE WHEN {changed('repository', 'repo_before')} "
             "THEN struct(position, at) END AS run_edge",
-            f"{_changed('repository', 'repo_after')} AS run_ends",
-            f"{_changed('activity_ord', 'ord_after')} AS type_ends",
+            f"{changed('repository', 'repo_after')} AS run_ends",
+            f"{changed('activity_ord', 'ord_after')} AS type_ends",
         )
         .selectExpr("*", f"last(run_edge, true) OVER {so_far} AS run_start")
         .selectExpr(
@@ -117,6 +117,28 @@ def series_rows(activities: DataFrame, keys: Sequence[str] = ("contributor",)) -
     )
 
 
+def with_kinds(wide: DataFrame) -> DataFrame:
+    """Add NAT with its statistics, NT and ORR to a row per account that has the counts by kind."""
+    per_kind = ", ".join(f"kind_{n}" for n in range(1, len(S.ACTIVITY_NAMES) + 1))
+    return (
+        wide.selectExpr("*", f"sort_array(array_compact(array({per_kind}))) AS NAT")
+        .selectExpr(
+            "*",
+            f"{stats.array_mean('NAT')} AS NAT_mean",
+            "CAST(size(filter(NAT, x -> x <> 0)) AS bigint) AS NAT_nonzero",
+        )
+        .selectExpr(
+            "*",
+            f"{stats.array_std('NAT', 'NAT_mean')} AS NAT_std",
+            f"{stats.quantile('NAT', 0.5)} AS NAT_median",
+            f"{stats.gini('NAT', 'NAT_nonzero')} AS NAT_gini",
+            f"{stats.iqr('NAT')} AS NAT_IQR",
+            "CAST(size(NAT) AS bigint) AS NT",
+            "try_divide(NOR, repositories) AS ORR",
+        )
+    )
+
+
 def account_series(
     activities: DataFrame,
     keys: Sequence[str] = ("contributor",),
@@ -214,24 +236,7 @@ def account_series(
             ],
         )
     )
-    per_kind = ", ".join(f"kind_{n}" for n in kinds)
-    return (
-        wide.selectExpr("*", f"sort_array(array_compact(array({per_kind}))) AS NAT")
-        .selectExpr(
-            "*",
-            f"{stats.array_mean('NAT')} AS NAT_mean",
-            "CAST(size(filter(NAT, x -> x <> 0)) AS bigint) AS NAT_nonzero",
-        )
-        .selectExpr(
-            "*",
-            f"{stats.array_std('NAT', 'NAT_mean')} AS NAT_std",
-            f"{stats.quantile('NAT', 0.5)} AS NAT_median",
-            f"{stats.gini('NAT', 'NAT_nonzero')} AS NAT_gini",
-            f"{stats.iqr('NAT')} AS NAT_IQR",
-            "CAST(size(NAT) AS bigint) AS NT",
-            "try_divide(NOR, repositories) AS ORR",
-        )
-    )
+    return with_kinds(wide)
 
 
 def all_statistics(

@@ -5,10 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from forgepulse.sources.folders import shared_folder
 
 _PART_BITS = 33  # `monotonically_increasing_id` has the partition above them, the row below
+PART = f"shiftright(__at, {_PART_BITS})"  # the range of a row of `ranged`
+
+
+def ranged(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """`df` stored in sorted ranges of `order` (ascending, NULL first), read back with `__at`.
+
+    `__at` ascends with the order through all ranges, so it stands for the order of rows equal in
+    `order` as well. Rows equal in `order` lie in one range: give an order with few of them.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("__at", F.monotonically_increasing_id())
+        .write.parquet(folder)
+    )
+    schema = StructType([*df.schema.fields, StructField("__at", LongType())])
+    return df.sparkSession.read.schema(schema).parquet(folder)
 
 
 def numbered(df: DataFrame, order: Sequence[str], place: str = "place") -> DataFrame:
@@ -20,18 +39,9 @@ def numbered(df: DataFrame, order: Sequence[str], place: str = "place") -> DataF
     is replaced.
     """
     spark = df.sparkSession
-    held = df.drop(place)
-    folder = shared_folder(spark, "numbered")
-    (
-        held.withColumn("__tie", F.rand(11))
-        .repartitionByRange(*order, "__tie")
-        .sortWithinPartitions(*order, "__tie")
-        .withColumn("__at", F.monotonically_increasing_id())
-        .drop("__tie")
-        .write.parquet(folder)
-    )
-    stored = spark.read.schema(held.schema.add("__at", "long")).parquet(folder)
-    part = F.shiftright("__at", _PART_BITS)
+    held = df.drop(place).withColumn("__tie", F.rand(11))
+    stored = ranged(held, [*order, "__tie"], "numbered").drop("__tie")
+    part = F.expr(PART)
     sizes = stored.groupBy(part.alias("part")).count().collect()
     starts, before = [], 0
     for row in sorted(sizes):

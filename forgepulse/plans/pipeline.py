@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from forgepulse import schema as S
+from forgepulse.operators import any_size
 from forgepulse.operators.activities import emit_activities
 from forgepulse.operators.features import extract_features
 from forgepulse.operators.limits import count_events, dedup_events, latest_events
@@ -47,6 +48,17 @@ def features_of(flat: DataFrame, max_events: int | None = None) -> DataFrame:
     return features_of_latest(count_events(latest_events(flat, max_events)))
 
 
+def features_of_any_size(flat: DataFrame) -> DataFrame:
+    """What `features_of` gives without a limit, with the features of one account split over tasks.
+
+    For archives in which an account outgrows a task. Ranges of activities and of values are stored
+    below `spark.checkpoint.dir`.
+    """
+    counts = flat.groupBy(F.col("login").alias("__login")).agg(F.count(F.lit(1)).alias("events"))
+    features = any_size.extract_features(activities_of(flat))
+    return features.join(counts, F.col("contributor").eqNullSafe(F.col("__login"))).drop("__login")
+
+
 def accounts_for(logins: DataFrame, accounts: DataFrame) -> DataFrame:
     """Declarations of the asked logins, order column and repeats kept; unknown logins failed.
 
