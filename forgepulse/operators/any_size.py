@@ -122,23 +122,35 @@ def stitched(ranges: DataFrame, column: str = "repository") -> DataFrame:
     )
 
 
-def runs(activities: DataFrame, column: str) -> DataFrame:
-    """Maximal blocks of consecutive activities with equal `column`, which is `repository` or `activity_ord`.
+def runs(activities: DataFrame, column: str, counted: str) -> DataFrame:
+    """Maximal blocks of consecutive activities with equal `column`, `repository` or `activity`.
 
-    One row per block: contributor, run_id, the column, activities, first_time, last_time.
+    One row per block, as `features.runs` gives it, without the time at which the next one begins.
     """
+    compared = "activity_ord" if column == "activity" else column
+    run_ends = changed(compared, f"after.{compared}")
     return (
-        stitched(time_ranges(activities), column)
+        stitched(time_ranges(activities), compared)
         .groupBy("contributor", F.col("run_no").alias("run_id"))
         .agg(
             F.max(column).alias(column),
-            F.count(F.lit(1)).alias("activities"),
+            F.count(counted).alias("activities"),
             F.min("date").alias("first_time"),
             F.max("date").alias("last_time"),
+            F.expr(f"{hours('max(at) - min(at)')} AS time_spent"),
+            F.expr(f"{hours(f'max(CASE WHEN {run_ends} THEN after.at - at END)')} AS time_to_switch"),
         )
     )
 
 
+def repository_runs(activities: DataFrame) -> DataFrame:
+    return runs(activities, "repository", "activity")
+
+
+def type_runs(activities: DataFrame) -> DataFrame:
+    return runs(activities, "activity", "repository")
+
+
 def _amounts(ranges: DataFrame, by_kind: DataFrame) -> DataFrame:
     """Every value of every series but NAT as a whole number: microseconds or a count."""
     run_ends = changed("repository", "after.repository")

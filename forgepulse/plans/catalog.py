@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from forgepulse import schema as S
-from forgepulse.operators import extract, features, limits, pairing
+from forgepulse.operators import any_size, extract, features, limits, pairing
 from forgepulse.operators.activities import event_fates
 from forgepulse.operators.numbering import numbered
 from forgepulse.operators.verdict import result_columns, verdicts
@@ -265,7 +265,12 @@ for _series in S.SERIES:
 _register_statistics("gini", [f"{s}_gini" for s in S.SERIES], S.SERIES)
 
 
-def _register_runs(name: str, query: Callable[[DataFrame], DataFrame], column: str) -> None:
+def _register_runs(
+    name: str,
+    query: Callable[[DataFrame], DataFrame],
+    column: str,
+    one_account: Callable[[DataFrame], DataFrame],
+) -> None:
     spark_columns = [
         "contributor", "run_id", column, "activities", "first_time", "last_time",
         "time_spent", "time_to_switch",
@@ -277,10 +282,21 @@ def _register_runs(name: str, query: Callable[[DataFrame], DataFrame], column: s
             f"SELECT {', '.join(spark_columns)} FROM {name}", *O.activity_parts(), O.RUNS
         ).replace("FROM repository_runs", "FROM repo_runs"),
     )
+    _register(
+        f"{name}_one_account",
+        lambda flat: one_account(pipeline.activities_of(testbed.one_account(flat))).selectExpr(
+            *spark_columns
+        ),
+        O.with_tables(
+            f"SELECT {', '.join(spark_columns)} FROM {name}",
+            *O.activity_parts(flat=O.ONE_ACCOUNT),
+            O.RUNS,
+        ),
+    )
 
 
-_register_runs("repo_runs", features.repository_runs, "repository")
-_register_runs("type_runs", features.type_runs, "activity")
+_register_runs("repo_runs", features.repository_runs, "repository", any_size.repository_runs)
+_register_runs("type_runs", features.type_runs, "activity", any_size.type_runs)
 _register(
     "features_all",
     pipeline.features_of,
@@ -293,7 +309,9 @@ _register(
 
 _register(
     "features_one_account",
-    lambda flat: pipeline.features_of(testbed.one_account(flat)),
+    lambda flat: pipeline.features_of_any_size(testbed.one_account(flat)).select(
+        "contributor", *S.FEATURES, "events"
+    ),
     O.with_tables(
         f"SELECT contributor, {', '.join(S.FEATURES)}, events FROM statistics JOIN "
         "(SELECT login AS contributor, count(*) AS events FROM ranked GROUP BY login) "

@@ -61,13 +61,12 @@ def test_features_as_by_one_task(spark, many_ranges, seed, size):
         close(a, b)
 
 
-@pytest.mark.parametrize("column", ["repository", "activity_ord"])
+@pytest.mark.parametrize("of", ["repository_runs", "type_runs"])
 @pytest.mark.parametrize("repositories", [["a/x"], ["a/x", "a/y", "b/x"]])
-def test_runs_reach_over_ranges(spark, many_ranges, column, repositories):
+def test_runs_reach_over_ranges(spark, many_ranges, of, repositories):
     activities = pipeline.activities_of(flat(spark, crowd(9, 3, 200, repositories))).cache()
-    columns = ["contributor", "run_id", column, "activities", "first_time", "last_time"]
-    got = any_size.runs(activities, column).select(columns)
-    expected = features.runs(activities, column, "event_id").select(columns)
+    got = getattr(any_size, of)(activities)
+    expected = getattr(features, of)(activities).select(got.columns)
     order = ["contributor", "run_id"]
     assert got.orderBy(order).collect() == expected.orderBy(order).collect()
 
@@ -77,7 +76,7 @@ def test_one_run_over_all_ranges(spark, many_ranges):
     activities = pipeline.activities_of(flat(spark, rows)).cache()
     ranges = any_size.time_ranges(activities)
     assert ranges.selectExpr(f"{PART} AS part").distinct().count() > 5
-    (run,) = any_size.runs(activities, "repository").collect()
+    (run,) = any_size.repository_runs(activities).collect()
     assert (run.activities, run.run_id) == (200, 1)
     row = any_size.extract_features(activities).first()
     assert row.NCAR_mean == 200.0 and row.DCAR_mean == pytest.approx(199 / 60, abs=0.001)
@@ -95,7 +94,7 @@ def test_no_window_is_by_account_alone(spark, many_ranges):
 
 def test_no_events(spark):
     assert pipeline.features_of_any_size(flat(spark, [])).collect() == []
-    assert any_size.runs(pipeline.activities_of(flat(spark, [])), "repository").collect() == []
+    assert any_size.repository_runs(pipeline.activities_of(flat(spark, []))).collect() == []
 
 
 def test_account_without_a_name(spark, many_ranges):
