@@ -7,14 +7,16 @@ score: 2 q.v = |q|^2 + |v|^2 - |q - v|^2. Candidates are evaluated in the order
 falls below the k-th best score found; then no other vector can enter, so the result is exact.
 
 The stated query set meets all vectors in blocks: each task packs its vectors (and its queries) into
-rows of BLOCK vectors, with their pivot distances, and these rows are paired. No task holds more than two blocks
-at a time, whatever the number of vectors or queries. Each pair yields at most k rows per query, which
+rows of BLOCK vectors, with their pivot distances, and these rows are paired. A task opens one pair of blocks at
+a time, beside the Arrow batch of pairs it was sent (64 MB as Spark sets it), whatever the number of vectors or
+queries. Each pair yields at most k rows per query, which
 are merged by query. Pivots are the first PIVOTS distinct vectors by hash, a bounded sample; they
 change the speed, never the result.
 
 Cases: vectors that are null or hold null or non-finite components take no part, neither as queries
 nor as candidates; vectors of another length than the query's are not compared with it; components
-are clipped to +-2**27 after scaling, so that sums stay exact; equal scores go to the smaller id;
+stay exact up to 64 bits, and products that may outgrow 64 bits are summed as integers of any size; a
+component or a best score that 64 bits can't hold is an error, never a wrong number; equal scores go to the smaller id;
 rows without id take no part; of repeated ids every row is a candidate, except for queries of that id,
 and each row of a repeated query id is answered as one query (the rows' best scores are merged);
 an empty table gives an empty result; other columns are ignored.
@@ -34,7 +36,7 @@ from forgepulse.llm.common import table
 BLOCK = 1024
 PIVOTS = 32
 SCALE = 256
-LIMIT = 1 << 27
+WIDEST = float(1 << 63)
 FIRST = 64
 """Candidates evaluated before the first comparison with the bound; doubled each time."""
 
@@ -49,7 +51,9 @@ def _pack_blocks(pivots: list[list[int]], block: int):
     tables = {d: np.array(rows, dtype=np.float64).reshape(-1, d) for d, rows in tables.items()}
 
     def row(dims: int, ids: list[int], vectors: list[list[int]]) -> dict:
-        matrix = np.array(vectors, dtype=np.float64).reshape(len(ids), dims)
+        whole = np.array(vectors, dtype=np.int64).reshape(len(ids), dims)
+        matrix = whole.astype(np.float64)
+        narrow = matrix.size == 0 or np.abs(matrix).max() < 1 << 31
         near = tables.get(dims)
         distances = (
             np.sqrt(((matrix[:, None, :] - near[None]) ** 2).sum(axis=2))
@@ -59,7 +63,7 @@ def _pack_blocks(pivots: list[list[int]], block: int):
         return {
             "dims": dims,
             "ids": np.array(ids, dtype=np.int64).tobytes(),
-            "vectors": matrix.astype(np.int32).tobytes(),
+            "vectors": (whole.astype(np.int32) if narrow else whole).tobytes(),
             "pivots": distances.tobytes(),
         }
 
@@ -83,6 +87,19 @@ def _pack_blocks(pivots: list[list[int]], block: int):
     return pack
 
 
+def _largest(vectors: np.ndarray) -> int:
+    """Of the absolute components; Python's integer, as the least 64-bit one has no positive."""
+    return max(int(vectors.max()), -int(vectors.min())) if vectors.size else 0
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to smaller ids."""
+    if scores.dtype == object:
+        ordered = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))
+        return np.array(ordered[:k], dtype=np.int64)
+    return np.lexsort((ids, -scores))[:k]
+
+
 def best_of_block(
     queries: tuple[np.ndarray, np.ndarray, np.ndarray],
     block: tuple[np.ndarray, np.ndarray, np.ndarray],
@@ -97,29 +114,33 @@ def best_of_block(
     ids, vectors, pivots = block
     order = np.argsort(ids, kind="stable")
     ids, vectors, pivots = ids[order], vectors[order].astype(np.int64), pivots[order]
-    squares = (vectors**2).sum(axis=1)
-    for q_id, q, to_pivots in zip(q_ids, q_vectors.astype(np.int64), q_pivots):
+    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
+    q_vectors = q_vectors.astype(np.int64)
+    fits = _largest(vectors) * _largest(q_vectors) * max(1, vectors.shape[1]) < 1 << 62
+    kind = np.int64 if fits else object
+    vectors, q_vectors = vectors.astype(kind), q_vectors.astype(kind)
+    for q_id, q, to_pivots in zip(q_ids, q_vectors, q_pivots):
         apart = (
             np.abs(pivots - to_pivots).max(axis=1) if pivots.shape[1] else np.zeros(len(ids))
         )
-        total = (squares + int((q**2).sum())).astype(np.float64)
+        total = squares + float((q.astype(np.float64) ** 2).sum())
         # Rounding of the distances may not hide a candidate: a millionth of the terms and 1.
         bound = (total - apart**2) / 2 + 1e-6 * total + 1
         bound[ids == q_id] = -np.inf
         candidates = np.argsort(-bound, kind="stable")[: int((ids != q_id).sum())]
-        found_ids, found = np.empty(0, np.int64), np.empty(0, np.int64)
+        found_ids, found = np.empty(0, np.int64), np.empty(0, kind)
         start, step = 0, max(FIRST, k)
         while start < len(candidates):
-            if len(found) == k and bound[candidates[start]] < found[-1]:
+            if len(found) == k and bound[candidates[start]] < float(found[-1]):
                 break
             part = candidates[start : start + step]
             if len(found) == k:
-                part = part[bound[part] >= found[-1]]
+                part = part[bound[part] >= float(found[-1])]
             if evaluated is not None:
                 evaluated.append(len(part))
             all_ids = np.concatenate([found_ids, ids[part]])
             all_scores = np.concatenate([found, vectors[part] @ q])
-            best = np.lexsort((all_ids, -all_scores))[:k]
+            best = _best(all_ids, all_scores, k)
             found_ids, found = all_ids[best], all_scores[best]
             start, step = start + step, 2 * step
         for vec_id, score in zip(found_ids.tolist(), found.tolist()):
@@ -130,7 +151,7 @@ def _opened(ids: bytes, vectors: bytes, pivots: bytes, dims: int):
     n = len(ids) // 8
     return (
         np.frombuffer(ids, np.int64),
-        np.frombuffer(vectors, np.int32).reshape(n, dims),
+        np.frombuffer(vectors, np.int32 if len(vectors) == 4 * n * dims else np.int64).reshape(n, dims),
         np.frombuffer(pivots, np.float64).reshape(n, -1) if n else np.zeros((0, 0)),
     )
 
@@ -140,7 +161,8 @@ def _search(k: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 queries = _opened(row["q_ids"], row["q_vectors"], row["q_pivots"], row["dims"])
                 block = _opened(row["ids"], row["vectors"], row["pivots"], row["dims"])
                 rows = list(best_of_block(queries, block, k))
@@ -164,14 +186,16 @@ def usable(vector: str) -> Column:
 
 
 def scaled(vector: str) -> Column:
-    """floor(256 * x) of every component, clipped to +-2**27."""
-    return F.transform(
-        vector,
-        lambda x: F.greatest(
-            F.lit(-LIMIT),
-            F.least(F.lit(LIMIT), F.floor(x.cast("double") * F.lit(float(SCALE)))),
-        ).cast("int"),
-    )
+    """floor(256 * x) of every component; an error where 64 bits can't hold it."""
+
+    def whole(x: Column) -> Column:
+        large = x.cast("double") * F.lit(float(SCALE))
+        return F.when(
+            F.abs(large) >= F.lit(WIDEST),
+            F.raise_error(F.concat(F.lit("component out of range: "), x.cast("string"))).cast("long"),
+        ).otherwise(F.floor(large))
+
+    return F.transform(vector, whole)
 
 
 def search(

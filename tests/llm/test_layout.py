@@ -223,6 +223,24 @@ def test_topk_as_by_brute_force(spark, block):
     assert len(found) == len(set(found)) and set(found) == expected
 
 
+def test_topk_keeps_large_components_exact(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-3.0, 2.5, 700.0]) for _ in range(4)]) for i in range(40)]
+    rows += [(50, [1e9, 1.0, 0.0, 0.0]), (51, [-1e9, 0.5, 0.0, 0.0]), (100, [0.0, 0.0, 1e11, 2.0]),
+             (101, [0.0, 3.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.where("vec_id % 50 = 0"), k=4, n_pivots=6)
+    expected = _best(rows, [0, 50, 100], 4)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == expected
+
+
+@pytest.mark.parametrize("large", [1e9, 1e200])
+def test_topk_fails_where_64_bits_do_not_hold_a_score(spark, large):
+    df = spark.createDataFrame([(0, [large] * 3), (1, [large] * 3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception):
+        topk.search(df, df, k=1).collect()
+
+
 def test_topk_of_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, df).count() == 0
