@@ -55,7 +55,8 @@ UNIT_END = re.compile(
 )
 CROSSES_UNITS = re.compile(r"[^▁]▁+[^▁]|\n|[A-Za-zÀ-ÖØ-öø-ɏ][.,]")
 UNITS = 200_000
-"""A worker forgets its units at the end of a chunk when it holds more."""
+"""A worker that holds more at the end of a chunk forgets those that only one chunk has used since it
+last forgot any; where more than half would stay, it forgets all."""
 
 CHUNK_CHARS = 1 << 21
 ID_BITS = 32
@@ -210,6 +211,32 @@ class Units:
         self.sizes = np.zeros((0, 3), np.int64)
         self.starts = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)
+        self.chunks = np.zeros(0, np.int32)
+        """In how many chunks each unit has been used."""
+
+    def used(self, numbers: list[np.ndarray]) -> None:
+        """Count a chunk for the units of its documents; forget rare ones if there are too many."""
+        in_chunk = np.zeros(len(self.number), bool)
+        for own in numbers:
+            in_chunk[own] = True
+        before = np.r_[self.chunks, np.zeros(len(in_chunk) - len(self.chunks), np.int32)]
+        self.chunks = before + in_chunk
+        if len(self.number) > UNITS:
+            kept = np.flatnonzero(self.chunks > 1)
+            if len(kept) > UNITS // 2:
+                self.clear()
+            else:
+                self._keep(kept)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        units, shown = list(self.number), self.shown
+        lengths = np.diff(self.starts)[kept]
+        self.pairs = self.pairs[spread(self.starts[kept], lengths)]
+        self.starts = np.r_[0, np.cumsum(lengths)]
+        self.sizes = self.sizes[kept]
+        self.shown = [shown[i] for i in kept.tolist()]
+        self.number = {units[i]: n for n, i in enumerate(kept.tolist())}
+        self.chunks = np.zeros(len(kept), np.int32)
 
     def learn(self, units: list[str]) -> None:
         """Align new units in one batch: their matrices lie side by side on the diagonal."""
@@ -253,15 +280,15 @@ class Units:
     def of(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The numbers of each text's units; None for texts without tokens."""
         split = [UNIT_END.split(" " + t) if t else [] for t in texts]
-        new = dict.fromkeys(u for units in split for u in units if u not in self.number)
+        new = [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in self.number]
         if new:
-            self.learn(list(new))
-        number, shown = self.number, self.shown
+            self.learn(new)
+        number = self.number.__getitem__
         out = []
         for units in split:
-            own = [number[u] for u in units]
-            whole = own and all(shown[i] is not None for i in own)
-            out.append(np.array(own, np.int64) if whole else None)
+            own = np.fromiter(map(number, units), np.int64, len(units))
+            # A unit whose bytes aren't given back has no groups.
+            out.append(own if units and self.sizes[own, 2].all() else None)
         return out
 
 
@@ -311,8 +338,7 @@ def _chunk(units: Units, keys: pa.Array, texts: list[str | None], name: str, sch
             }
         )
         at += size
-    if len(units.number) > UNITS:
-        units.clear()
+    units.used([own for own in held if own is not None])
     columns = [[name], [pairs], [in_docs.astype(np.int64)], [documents]]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema

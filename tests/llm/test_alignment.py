@@ -125,6 +125,33 @@ def test_units_are_forgotten_without_effect(spark, monkeypatch):
     assert shown == again
 
 
+def test_units_that_recur_are_kept(monkeypatch):
+    rng = random.Random(4)
+    common, rare = prose(rng, 20), [prose(rng, 40) + f" once{n}" for n in range(8)]
+    fresh = alignment.Units(alignment.Tokenizers(A_FILE, B_FILE))
+    units = alignment.Units(fresh.tokenizers)
+    monkeypatch.setattr(alignment, "UNITS", 90)
+    forgot, kept = 0, 0
+    for text in rare:
+        texts = [common, text, None, common]
+        held = units.of(texts)
+        for own, plain in zip(held, fresh.of(texts)):
+            if own is None:
+                assert plain is None
+                continue
+            for a, b in zip(own.tolist(), plain.tolist(), strict=True):
+                assert units.shown[a] == fresh.shown[b]
+                assert (units.sizes[a] == fresh.sizes[b]).all()
+                own_pairs = units.pairs[units.starts[a] : units.starts[a + 1]]
+                assert (own_pairs == fresh.pairs[fresh.starts[b] : fresh.starts[b + 1]]).all()
+        before = len(units.number)
+        units.used([own for own in held if own is not None])
+        forgot += len(units.number) < before
+        kept += 0 < len(units.number) < before
+        assert len(units.number) <= 90 and len(units.chunks) == len(units.number)
+    assert forgot and kept
+
+
 def test_products_of_sparse_matrices():
     rng = np.random.default_rng(2)
     for shape in ((4, 5, 3), (1, 7, 1), (6, 1, 6), (3, 0, 2), (0, 2, 2)):
