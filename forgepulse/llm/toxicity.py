@@ -103,6 +103,15 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"counts": pa.array([counts.tobytes()], pa.binary())})
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of the counts of all tasks, of which there are FIT_PARTS at most."""
+    total = np.zeros(2 << BITS, dtype=np.int64)
+    for batch in batches:
+        for counts in batch.column(0):
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def fit(
     rows: DataFrame, label: str = "toxic", text: str = "text", per_label: int = MAX_PER_LABEL
 ) -> Model:
@@ -137,9 +146,11 @@ def fit_sample(
         texts.mapInArrow(lean(_features), "label int, grams binary").repartition(FIT_PARTS),
         "toxicity-sample",
     )
-    # One row per task of the bounded sample comes to the driver.
-    parts = grams.coalesce(FIT_PARTS).mapInArrow(lean(_gram_counts), "counts binary").collect()
-    counts = sum(np.frombuffer(p["counts"], np.int64).reshape(2, -1) for p in parts)
+    # One row per task of the bounded sample, added up before one row of fixed size comes to the driver.
+    parts = grams.coalesce(FIT_PARTS).mapInArrow(lean(_gram_counts), "counts binary")
+    summed = parts.repartition(1).mapInArrow(lean(_summed), "counts binary")
+    with shuffles_removed(grams.sparkSession):
+        counts = np.frombuffer(summed.first()["counts"], np.int64).reshape(2, -1)
     used = counts.sum(axis=0) >= MIN_ROWS
     if not used.any():
         return Model(flat, float(np.log(shares[1] / shares[0])))
