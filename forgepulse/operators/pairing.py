@@ -16,7 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from forgepulse.functions.times import END_OF_TIME, PAIR_TOLERANCE, close_in_time
+from forgepulse.functions.times import END_OF_TIME, close_in_time
+from forgepulse.operators.looks import InAccount, InRanges
 
 # Parts an event can play in a pairing; 0 is none. Small numbers keep the rows narrow.
 RELEASE, TAG, ISSUE_CLOSED, ISSUE_REOPENED, ISSUE_COMMENT = 1, 2, 3, 4, 5
@@ -121,33 +122,45 @@ def _pair(left: str, right: str, timed: str = "true") -> str:
     )
 
 
-def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFrame:
+# What an account has anywhere opens whole steps; flags are true for an event that shows it.
+GATES = {
+    "transfer_open": "event_type IN ('IssuesEvent', 'IssueCommentEvent') "
+    "AND PR_number IS NULL AND PR_node_id IS NULL",
+    "close_named": f"(role = {ISSUE_CLOSED} OR {_COMMENT}) AND issue_node_id IS NOT NULL",
+    "close_dated": f"(role = {ISSUE_CLOSED} OR {_COMMENT}) AND issue_closed_at IS NOT NULL",
+    "pr_reopen_open": f"(role = {PR_REOPENED} OR {_COMMENT}) AND PR_node_id IS NOT NULL",
+    "merged_known": f"{_PR_CLOSING} AND merged IS NOT NULL",
+    "reviews_known": "event_type = 'PullRequestReviewEvent'",
+    "review_comments_known": "event_type = 'PullRequestReviewCommentEvent'",
+}
+GATES_2 = {
+    "reopen_open": "names_issue AND NOT taken_1",
+    "names_pr_left": "names_pr AND NOT taken_1",
+}
+# What is still needed of an event once its flags are known.
+_NEEDED = [
+    "event_id", "login", "repository", "event_type", "created_at", "comment_node_id", "state",
+    "issue_closed_at", "role", "candidate", "subject", "item_number", "tag", "sort_time",
+    "names_issue", "names_pr", *GATES,
+]
+
+
+def _flags(conditions: dict[str, str]) -> list[str]:
+    return [f"coalesce({condition}, false) AS {name}" for name, condition in conditions.items()]
+
+
+def resolve_pairs(
+    events: DataFrame, keys: Sequence[str] = ("login",), look: InAccount | InRanges | None = None
+) -> DataFrame:
     """Add pairing results and account-level gates to deduplicated flat events.
 
     `keys` identify one account's event set. For round N in 1, 2: `prev_N` and `next_N` tell
     whether the neighbour is the other half of a pair, `prev_N_id` and `next_N_id` name it. All
-    are false where an account-level gate closes the whole step.
+    are false where an account-level gate closes the whole step. `look` decides how events see
+    others; with `InRanges` accounts may have any size, and only the columns needed remain.
     """
-    account = ", ".join(keys)
-
-    def in_group(call: str, group: str) -> str:
-        return (
-            f"{call} OVER (PARTITION BY {account}, repository, {group} "
-            "ORDER BY sort_time, event_id)"
-        )
-
-    def nearby(role: int) -> str:
-        return (
-            f"max(role = {role}) OVER (PARTITION BY {account}, repository, group_1 "
-            f"ORDER BY sort_time RANGE BETWEEN {PAIR_TOLERANCE} PRECEDING "
-            f"AND {PAIR_TOLERANCE} FOLLOWING)"
-        )
-
-    def somewhere(condition: str) -> str:
-        return f"max(coalesce({condition}, false)) OVER (PARTITION BY {account})"
-
-    # Account-level gates first: most flat columns are needed for nothing beyond them.
-    gated = (
+    look = look or InAccount(keys)
+    prepared = (
         events.selectExpr("*", f"{ROLE} AS role", f"{CANDIDATE} AS candidate")
         .selectExpr(
             "*",
@@ -158,36 +171,18 @@ def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFr
             f"(role = {ISSUE_REOPENED} OR {_COMMENT}) AND issue_node_id IS NOT NULL AS names_issue",
             f"coalesce({_PR_CLOSING} OR {_COMMENT}, false) AND PR_node_id IS NOT NULL AS names_pr",
         )
-        .selectExpr(
-            "*",
-            somewhere(
-                "event_type IN ('IssuesEvent', 'IssueCommentEvent') "
-                "AND PR_number IS NULL AND PR_node_id IS NULL"
-            )
-            + " AS transfer_open",
-            somewhere(f"(role = {ISSUE_CLOSED} OR {_COMMENT}) AND issue_node_id IS NOT NULL")
-            + " AND "
-            + somewhere(f"(role = {ISSUE_CLOSED} OR {_COMMENT}) AND issue_closed_at IS NOT NULL")
-            + " AS close_open",
-            somewhere(f"(role = {PR_REOPENED} OR {_COMMENT}) AND PR_node_id IS NOT NULL")
-            + " AS pr_reopen_open",
-            somewhere(f"{_PR_CLOSING} AND merged IS NOT NULL") + " AS merged_known",
-            somewhere("event_type = 'PullRequestReviewEvent'") + " AS reviews_known",
-            somewhere("event_type = 'PullRequestReviewCommentEvent'") + " AS review_comments_known",
-        )
+        .selectExpr("*", *_flags(GATES))
     )
-    round_1 = (
-        gated.selectExpr("*", f"{GROUP_1} AS group_1")
-        .selectExpr("*", f"{_link('group_1', 2)} AS link_1")
-        .selectExpr(
-            "*",
-            f"{in_group('lag(link_1)', 'group_1')} AS p_1",
-            f"{in_group('lead(link_1)', 'group_1')} AS n_1",
-            f"{in_group('lead(link_1, 2)', 'group_1')} AS n2_1",
-        )
-        # Merges and pushes pair many to many, which a range frame answers directly.
-        .selectExpr("*", f"{nearby(PUSH)} AS push_near", f"{nearby(MERGE)} AS merge_near")
+    # Account-level gates first: most flat columns are needed for nothing beyond them.
+    gated = look.anywhere(look.begin(prepared, _NEEDED), list(GATES)).selectExpr(
+        "* EXCEPT (close_named, close_dated)", "close_named AND close_dated AS close_open"
     )
+    round_1 = look.beside(
+        gated.selectExpr("*", f"{GROUP_1} AS group_1").selectExpr("*", f"{_link('group_1', 2)} AS link_1"),
+        1,
+    )
+    # Merges and pushes pair many to many.
+    round_1 = look.nearby(round_1, {"push_near": PUSH, "merge_near": MERGE})
     # A release takes the tag after it if the names agree, however late, and only otherwise the
     # one before it; a tag has to see that choice from its side.
     gate_1 = """CASE group_1 WHEN 1 THEN true WHEN 2 THEN close_open
@@ -209,19 +204,14 @@ def resolve_pairs(events: DataFrame, keys: Sequence[str] = ("login",)) -> DataFr
             "n_1.id AS next_1_id",
         )
     )
-    round_2 = (
-        taken_1.selectExpr("*", f"{GROUP_2} AS group_2")
-        .selectExpr("*", f"{_link('group_2', 6, ', comment_node_id AS node')} AS link_2")
-        .selectExpr(
-            "*",
-            f"{in_group('lag(link_2)', 'group_2')} AS p_2",
-            f"{in_group('lead(link_2)', 'group_2')} AS n_2",
-        )
-        .selectExpr(
-            "*",
-            f"{somewhere('names_issue AND NOT taken_1')} AS reopen_open",
-            f"merged_known AND {somewhere('names_pr AND NOT taken_1')} AS pr_close_open",
-        )
+    round_2 = look.beside(
+        taken_1.selectExpr("*", f"{GROUP_2} AS group_2").selectExpr(
+            "*", f"{_link('group_2', 6, ', comment_node_id AS node')} AS link_2"
+        ),
+        2,
+    )
+    round_2 = look.anywhere(round_2.selectExpr("*", *_flags(GATES_2)), list(GATES_2)).selectExpr(
+        "* EXCEPT (names_pr_left)", "merged_known AND names_pr_left AS pr_close_open"
     )
     gate_2 = "CASE group_2 WHEN 5 THEN reopen_open WHEN 6 THEN pr_close_open ELSE false END"
 

@@ -155,7 +155,9 @@ _register(
 )
 _register(
     "activities_one_account",
-    lambda flat: pipeline.activities_of(testbed.one_account(flat)).select(*_ACTIVITY_COLUMNS),
+    lambda flat: pipeline.activities_of_any_size(testbed.one_account(flat)).select(
+        *_ACTIVITY_COLUMNS
+    ),
     O.with_tables(
         f"SELECT {', '.join(_ACTIVITY_COLUMNS)} FROM activities",
         *O.activity_parts(flat=O.ONE_ACCOUNT),
@@ -208,12 +210,11 @@ _register(
 
 
 def _register_pairing(name: str, pairs: str, role: int, group: int) -> None:
+    """The pairing, and the same with all events in one repository of one account."""
     turn = 1 if group <= 4 else 2
 
-    def query(flat: DataFrame) -> DataFrame:
-        main = pipeline.resolved_events(flat).filter(
-            f"role = {role} AND group_{turn} = {group}"
-        )
+    def query(resolved: DataFrame) -> DataFrame:
+        main = resolved.filter(f"role = {role} AND group_{turn} = {group}")
         sides = (
             f"array(CASE WHEN prev_{turn} THEN prev_{turn}_id END, "
             f"CASE WHEN next_{turn} THEN next_{turn}_id END)"
@@ -222,9 +223,16 @@ def _register_pairing(name: str, pairs: str, role: int, group: int) -> None:
             "login", "event_id AS main_id", f"explode(array_compact({sides})) AS companion_id"
         )
 
+    select = f"SELECT login, main_id, companion_id FROM {pairs}"
     _register(
-        name, query, O.with_tables(f"SELECT login, main_id, companion_id FROM {pairs}",
-                                   *O.activity_parts())
+        name,
+        lambda flat: query(pipeline.resolved_events(flat)),
+        O.with_tables(select, *O.activity_parts()),
+    )
+    _register(
+        f"{name}_one_repository",
+        lambda flat: query(pipeline.resolved_events_of_any_size(testbed.one_repository(flat))),
+        O.with_tables(select, *O.activity_parts(flat=O.ONE_REPOSITORY)),
     )
 
 
@@ -233,15 +241,21 @@ _register_pairing("pair_close_issue", "pair_close", pairing.ISSUE_CLOSED, 2)
 _register_pairing("pair_reopen_issue", "pair_reopen", pairing.ISSUE_REOPENED, 5)
 _register_pairing("pair_reopen_pr", "pair_pr_reopen", pairing.PR_REOPENED, 3)
 _register_pairing("pair_reject_pr", "pair_reject", pairing.REJECT, 6)
+_BAND_SQL = (
+    "SELECT login, event_id, event_type FROM ev WHERE (login, event_id) IN "
+    "(SELECT (login, main_id) FROM band UNION SELECT (login, companion_id) FROM band)"
+)
 _register(
     "band_merge_push",
     lambda flat: pipeline.resolved_events(flat)
     .filter("merge_push").select("login", "event_id", "event_type"),
-    O.with_tables(
-        "SELECT login, event_id, event_type FROM ev WHERE (login, event_id) IN "
-        "(SELECT (login, main_id) FROM band UNION SELECT (login, companion_id) FROM band)",
-        *O.activity_parts(),
-    ),
+    O.with_tables(_BAND_SQL, *O.activity_parts()),
+)
+_register(
+    "band_merge_push_one_repository",
+    lambda flat: pipeline.resolved_events_of_any_size(testbed.one_repository(flat))
+    .filter("merge_push").select("login", "event_id", "event_type"),
+    O.with_tables(_BAND_SQL, *O.activity_parts(flat=O.ONE_REPOSITORY)),
 )
 
 # --- series, runs, features -------------------------------------------------------------------
@@ -284,9 +298,9 @@ def _register_runs(
     )
     _register(
         f"{name}_one_account",
-        lambda flat: one_account(pipeline.activities_of(testbed.one_account(flat))).selectExpr(
-            *spark_columns
-        ),
+        lambda flat: one_account(
+            pipeline.activities_of_any_size(testbed.one_account(flat))
+        ).selectExpr(*spark_columns),
         O.with_tables(
             f"SELECT {', '.join(spark_columns)} FROM {name}",
             *O.activity_parts(flat=O.ONE_ACCOUNT),

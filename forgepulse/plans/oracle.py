@@ -109,6 +109,9 @@ accounts AS (
 ONE_ACCOUNT = FLAT.replace("\nflat AS (", "\nflat_given AS (") + """,
 flat AS (SELECT * REPLACE ('everyone' AS login) FROM flat_given)
 """
+ONE_REPOSITORY = FLAT.replace("\nflat AS (", "\nflat_given AS (") + """,
+flat AS (SELECT * REPLACE ('everyone' AS login, 'all/together' AS repository) FROM flat_given)
+"""
 
 
 def limited(max_events: int | None) -> str:

@@ -14,7 +14,8 @@ from forgepulse import schema as S
 from forgepulse.operators import any_size
 from forgepulse.operators.activities import emit_activities
 from forgepulse.operators.features import extract_features
-from forgepulse.operators.limits import count_events, dedup_events, latest_events
+from forgepulse.operators.limits import count_events, dedup_any_size, dedup_events, latest_events
+from forgepulse.operators.looks import InRanges
 from forgepulse.operators.pairing import resolve_pairs
 from forgepulse.operators.verdict import declared_verdicts, gated_verdicts
 
@@ -35,6 +36,19 @@ def activities_of(
     return emit_activities(resolved_events(flat, max_events), only=only)
 
 
+def resolved_events_of_any_size(flat: DataFrame) -> DataFrame:
+    """What `resolved_events` gives without a limit, with the work on one account split over tasks.
+
+    Ranges of events are stored below `spark.checkpoint.dir`; only the columns that activities and
+    fates of events need remain.
+    """
+    return resolve_pairs(dedup_any_size(latest_events(flat, None)), look=InRanges())
+
+
+def activities_of_any_size(flat: DataFrame, only: Sequence[int] | None = None) -> DataFrame:
+    return emit_activities(resolved_events_of_any_size(flat), only=only)
+
+
 def features_of_latest(latest: DataFrame, keys: Sequence[str] = ("login",)) -> DataFrame:
     """Features and `events` of limited events that already carry their `events` count."""
     activities = emit_activities(
@@ -55,7 +69,7 @@ def features_of_any_size(flat: DataFrame) -> DataFrame:
     below `spark.checkpoint.dir`.
     """
     counts = flat.groupBy(F.col("login").alias("__login")).agg(F.count(F.lit(1)).alias("events"))
-    features = any_size.extract_features(activities_of(flat))
+    features = any_size.extract_features(activities_of_any_size(flat))
     return features.join(counts, F.col("contributor").eqNullSafe(F.col("__login"))).drop("__login")
 
 

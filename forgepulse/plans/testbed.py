@@ -142,6 +142,12 @@ def one_account(flat: DataFrame) -> DataFrame:
     return flat.selectExpr("* EXCEPT (login)", "'everyone' AS login").select(flat.columns)
 
 
+def one_repository(flat: DataFrame) -> DataFrame:
+    """All events in one repository of one login."""
+    own = one_account(flat).selectExpr("* EXCEPT (repository)", "'all/together' AS repository")
+    return own.select(flat.columns)
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One declaration per account of the derived events."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()

@@ -3,12 +3,13 @@
 import random
 
 import pytest
-from helpers import event, flat, push
+from helpers import event, flat, issue, issue_comment, pr_comment, pull, push, release, tag
+from test_dense_random import crowd as colliding, sql_rows
 
 from forgepulse import schema as S
 from forgepulse.operators import any_size, features
 from forgepulse.operators.numbering import PART
-from forgepulse.plans import pipeline
+from forgepulse.plans import oracle, pipeline
 
 COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -19,7 +20,7 @@ def many_ranges(spark):
     """Ranges of a few rows each."""
     before = spark.conf.get(PARTITIONS)
     spark.conf.set(COALESCE, "false")
-    spark.conf.set(PARTITIONS, "13")
+    spark.conf.set(PARTITIONS, "7")
     yield
     spark.conf.unset(COALESCE)
     spark.conf.set(PARTITIONS, before)
@@ -106,3 +107,75 @@ def test_account_without_a_name(spark, many_ranges):
     assert len(got) == len(expected)
     for a, b in zip(got, expected):
         close(a, b)
+
+
+FATE = ["event_id", "login", "prev_1", "next_1", "prev_2", "next_2", "merge_push", "taken_1", "taken_2"]
+GATES = [
+    "transfer_open", "close_open", "pr_reopen_open", "reviews_known", "review_comments_known",
+    "reopen_open", "pr_close_open",
+]
+
+
+def one_login(rows):
+    return [row | {"login": "hot", "event_id": n} for n, row in enumerate(rows)]
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_pairs_reach_over_ranges(spark, many_ranges, alone):
+    rows = colliding(12, accounts=30, events=60)
+    rows = one_login(rows) if alone else rows
+    table = flat(spark, rows).cache()
+    columns = [*FATE, *GATES, "prev_1_id", "next_1_id", "prev_2_node", "next_2_node"]
+    got, expected = (
+        resolved(table)
+        .selectExpr(*[
+            # a neighbour is named only where it is the other half
+            f"CASE WHEN {c[:6]} THEN {c} END AS {c}" if c[6:] in ("_id", "_node") else c
+            for c in columns
+        ])
+        .orderBy("event_id", "login")
+        .collect()
+        for resolved in (pipeline.resolved_events_of_any_size, pipeline.resolved_events)
+    )
+    assert got == expected
+    assert sum(r.taken_1 for r in got) > 5 and any(r.taken_2 for r in got)
+    assert any(r.merge_push for r in got)
+
+
+def test_activities_of_any_size_match_sql(spark, many_ranges):
+    rows = colliding(13, accounts=12, events=60)
+    columns = ["contributor", "repository", "activity", "date", "event_id"]
+    expected = sql_rows(rows, f"SELECT {', '.join(columns)} FROM activities", oracle.activity_parts())
+    found = pipeline.activities_of_any_size(flat(spark, rows)).select(*columns).collect()
+    assert sorted(map(tuple, found)) == sorted(expected) != []
+
+
+def test_pairs_of_one_per_range(spark, many_ranges):
+    """Main event, companion and rival each in a range of their own; a tag far from its release."""
+    rows = [
+        release(1, 0), tag(2, 500_000), tag(3, 500_001),
+        issue(4, 10, "closed"), issue_comment(5, 11, state="closed"),
+        pull(6, 20, "closed", merged=True), push(7, 22), push(8, 25), push(9, 18),
+        pull(10, 40, "closed", pr=3), pr_comment(11, 900_000, pr=3, state="closed"),
+    ]
+    table = flat(spark, rows)
+    columns = ["event_id", "taken_1", "taken_2", "merge_push"]
+    got = pipeline.resolved_events_of_any_size(table).select(columns).orderBy("event_id").collect()
+    assert got == pipeline.resolved_events(table).select(columns).orderBy("event_id").collect()
+    assert {r.event_id for r in got if r.merge_push} == {6, 7, 9}
+
+
+def test_events_without_id_or_time_all_stay(spark, many_ranges):
+    rows = [push(None, None) for _ in range(40)] + [push(7, None)] * 5 + [push(8, 3)] * 5
+    got = pipeline.resolved_events_of_any_size(flat(spark, rows))
+    assert got.count() == pipeline.resolved_events(flat(spark, rows)).count() == 42
+
+
+def test_no_window_over_events_is_by_account(spark, many_ranges):
+    """Windows by account or group hold the one row per range; those over events name the range or
+    the second, and no task needs all events of an account."""
+    table = flat(spark, one_login(colliding(15, accounts=5, events=40)))
+    plan = pipeline.activities_of_any_size(table)._jdf.queryExecution().optimizedPlan().toString()
+    over_events = [w for w in plan.splitlines() if "Window" in w and ("__at" in w or "event_id" in w)]
+    assert over_events and all("part#" in w or "sort_time#" in w for w in over_events)
+    assert "collect_" not in plan
