@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, functions as F
 from forgepulse.functions.times import PAIR_TOLERANCE
 from forgepulse.operators.numbering import PART, ranged
 
+# Frames grow from the start of the order only. One that shrinks towards the end is computed anew for every
+# row, which is quadratic; what follows a row is looked up in descending order instead.
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-_BEHIND = "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
 _UP_TO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-_FROM = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 
 
 class InAccount:
@@ -127,6 +127,7 @@ class InRanges:
         by = ["login", "repository", "group_1"]
         chosen = f"role IN ({', '.join(map(str, roles.values()))})"
         within = f"OVER (PARTITION BY {', '.join(by)}, part ORDER BY __at"
+        back = f"{within} DESC {_UP_TO})"
         own = {name: f"CASE WHEN role = {r} THEN sort_time END" for name, r in roles.items()}
         meeting = rows.filter(chosen)
         edges = meeting.groupBy(*by, "part").agg(
@@ -138,13 +139,13 @@ class InRanges:
             *by,
             "part",
             *[f"max(last_{name}) {parts} {_BEFORE}) AS last_{name}" for name in own],
-            *[f"min(first_{name}) {parts} {_BEHIND}) AS first_{name}" for name in own],
+            *[f"min(first_{name}) {parts} DESC {_BEFORE}) AS first_{name}" for name in own],
         )
         seen = self._joined(meeting, edges, [*by, "part"]).selectExpr(
             f"* EXCEPT ({', '.join(f'last_{name}, first_{name}' for name in own)})",
             *[
                 f"coalesce(sort_time <= greatest(last_{name}, max({t}) {within} {_UP_TO})) + {PAIR_TOLERANCE}"
-                f" OR sort_time >= least(first_{name}, min({t}) {within} {_FROM})) - {PAIR_TOLERANCE}, false)"
+                f" OR sort_time >= least(first_{name}, min({t}) {back}) - {PAIR_TOLERANCE}, false)"
                 f" AS {name}"
                 for name, t in own.items()
             ],

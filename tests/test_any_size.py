@@ -1,6 +1,7 @@
 """Features and runs from stitched ranges: against the plans that hold an account in one task."""
 
 import random
+import re
 
 import pytest
 from helpers import event, flat, issue, issue_comment, pr_comment, pull, push, release, tag
@@ -179,3 +180,14 @@ def test_no_window_over_events_is_by_account(spark, many_ranges):
     over_events = [w for w in plan.splitlines() if "Window" in w and ("__at" in w or "event_id" in w)]
     assert over_events and all("part#" in w or "sort_time#" in w for w in over_events)
     assert "collect_" not in plan
+
+
+def test_no_frame_shrinks_towards_the_end_of_its_group(spark, many_ranges):
+    """Such a frame is computed anew for every row: quadratic in the events of a range."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    resolved = pipeline.resolved_events_of_any_size(flat(spark, crowd(6, 2, 40, ["a/x"])))
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    frames = re.findall(r"specifiedwindowframe\(RowFrame, ([\w-]+)\S*, ([\w-]+)", plan)
+    assert ("unboundedpreceding", "currentrow") in frames
+    assert not [f for f in frames if f[0] != "unboundedpreceding" and f[1] == "unboundedfollowing"]
