@@ -103,3 +103,13 @@ def test_count_includes_repeats(spark):
     rows = [event(1, S.PUSH, 0), event(1, S.PUSH, 0), event(2, S.PUSH, 1)]
     counted = limits.count_events(limits.latest_events(flat(spark, rows)))
     assert counted.select(F.max("events")).first()[0] == 3
+
+
+def test_partitions_by_account_stay_small(spark):
+    """What a task holds is bounded by the size of a partition, however few are asked for."""
+    rows = spark.range(300_000).selectExpr(
+        "concat('user', id % 5000) AS login", "unhex(sha2(string(id), 512)) AS a", "unhex(sha2(string(-id), 512)) AS b"
+    )
+    shuffled = 300_000 * 128  # bytes at least, as digests don't compress
+    assert limits.count_events(rows).rdd.getNumPartitions() > shuffled // (16 << 20) + 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
