@@ -22,6 +22,7 @@ from forgepulse.plans.pipeline import (
     users_among,
     with_event_counts,
 )
+from forgepulse.sources.folders import shared_folder  # noqa: F401  (also known by this module)
 from forgepulse.sources.results import write_results
 from forgepulse.streaming.latest import SNAPSHOT_EVERY, arriving, keep_latest, start
 
