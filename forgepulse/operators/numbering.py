@@ -13,6 +13,13 @@ _PART_BITS = 33  # `monotonically_increasing_id` has the partition above them, t
 PART = f"shiftright(__at, {_PART_BITS})"  # the range of a row of `ranged`
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` stored as it is and read back."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def ranged(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """`df` stored in sorted ranges of `order` (ascending, NULL first), read back with `__at`.
 

@@ -204,15 +204,16 @@ def resolve_pairs(
             "n_1.id AS next_1_id",
         )
     )
+    settled = look.settled(taken_1).selectExpr("*", *_flags(GATES_2))
+    gated_2 = look.anywhere(settled, list(GATES_2)).selectExpr(
+        "* EXCEPT (names_pr_left)", "merged_known AND names_pr_left AS pr_close_open"
+    )
     round_2 = look.beside(
-        taken_1.selectExpr("*", f"{GROUP_2} AS group_2").selectExpr(
+        gated_2.selectExpr("*", f"{GROUP_2} AS group_2").selectExpr(
             "*", f"{_link('group_2', 6, ', comment_node_id AS node')} AS link_2"
         ),
         2,
     )
-    round_2 = look.anywhere(round_2.selectExpr("*", *_flags(GATES_2)), list(GATES_2)).selectExpr(
-        "* EXCEPT (names_pr_left)", "merged_known AND names_pr_left AS pr_close_open"
-    )
     gate_2 = "CASE group_2 WHEN 5 THEN reopen_open WHEN 6 THEN pr_close_open ELSE false END"
 
     def timed_2(other: str) -> str:

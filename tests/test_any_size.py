@@ -8,7 +8,7 @@ from helpers import event, flat, issue, issue_comment, pr_comment, pull, push, r
 from test_dense_random import crowd as colliding, sql_rows
 
 from forgepulse import schema as S
-from forgepulse.operators import any_size, features
+from forgepulse.operators import any_size, features, looks
 from forgepulse.operators.numbering import PART
 from forgepulse.plans import oracle, pipeline
 
@@ -191,3 +191,18 @@ def test_no_frame_shrinks_towards_the_end_of_its_group(spark, many_ranges):
     frames = re.findall(r"specifiedwindowframe\(RowFrame, ([\w-]+)\S*, ([\w-]+)", plan)
     assert ("unboundedpreceding", "currentrow") in frames
     assert not [f for f in frames if f[0] != "unboundedpreceding" and f[1] == "unboundedfollowing"]
+
+
+def test_events_are_ranged_once_and_round_1_is_not_found_again(spark, many_ranges, monkeypatch):
+    """Both rounds use the same ranges, and what follows reads what round 1 stored."""
+    made, ranged = [], looks.ranged
+
+    def counted(df, order, name):
+        made.append(name)
+        return ranged(df, order, name)
+
+    monkeypatch.setattr(looks, "ranged", counted)
+    got = pipeline.resolved_events_of_any_size(flat(spark, colliding(16, accounts=5, events=40)))
+    assert made == ["resolving"]
+    assert all("/paired-" in file for file in got.inputFiles())
+    assert got.count() > 0
