@@ -10,11 +10,13 @@ from pyspark.sql import SparkSession
 #
 # A task here sorts the rows of its partition up to a dozen times in a row, each time wider, and holds them
 # all: some 30 bytes of memory a byte shuffled. So partitions are kept small, and cut finely enough
-# that they stay so as the input grows.
+# that they stay so as the input grows. The same goes for splits of files, which a task sorts by account before the
+# shuffle: Spark makes them as large as size / cores, up to 128 MB, so they are held to a size of their own.
 RUNTIME_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8MB",
+    "spark.sql.files.maxPartitionBytes": "8MB",
 }
 INITIAL_PARTITIONS = 2000
 

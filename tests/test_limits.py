@@ -113,3 +113,12 @@ def test_partitions_by_account_stay_small(spark):
     shuffled = 300_000 * 128  # bytes at least, as digests don't compress
     assert limits.count_events(rows).rdd.getNumPartitions() > shuffled // (16 << 20) + 2
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_splits_do_not_grow_with_the_input(spark, tmp_path):
+    """A task sorts its split by account before the shuffle; 64 MB on 4 cores were splits of 16 MB."""
+    (tmp_path / "events.txt").write_text("x" * 1023 + "\n")
+    with open(tmp_path / "events.txt", "a") as file:
+        for _ in range(64):
+            file.write(("x" * 1023 + "\n") * 1024)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 8
