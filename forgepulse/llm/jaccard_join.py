@@ -18,10 +18,13 @@ levels before; so no link is lost.
 
 Groups. Equal sets are one node. In a bucket of equal words all sets are verified against its least
 member only, never all pairs. Where the links found so far leave several components in a
-bucket, its sets are compared by finer sketches, in blocks of BLOCK sets; of the pairs that the bound lets
-pass, a forest that would connect the same sets is verified. Where one of these fails, all pairs of the
-bucket that pass and are not yet connected are verified. Then two linked sets are always in one
-component, and the pairs that leave a block are fewer than its sets.
+bucket, its sets are compared by finer sketches. Small buckets send pairs of signatures, which are
+combined before sketches are looked up, as the same sets meet in many buckets; of the pairs that the
+bound lets pass, one of each set is verified, then those not connected yet. In larger buckets sketches
+are compared in blocks of BLOCK sets; of the pairs that pass, a forest that would connect the same sets
+is verified. Where one of these fails, all pairs of the bucket that pass and are not yet connected are
+verified. Then two linked sets are always in one component, and the pairs that leave a block are fewer
+than its sets.
 
 Scale. Sets equal in a word within one chunk of documents are joined at once to the chunk's least, so a
 group of copies that holds a third of all rows sends one row per chunk and word to a reducer. What is
@@ -376,35 +379,120 @@ def _compare(plan: Plan, every: bool):
     return compare
 
 
-def _rest(
-    buckets: DataFrame, roots: DataFrame, texts: DataFrame, plan: Plan, every: bool
-) -> DataFrame:
-    """(key, a, b) to verify in the buckets of three or more sets that are in several components."""
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets of three or more sets that are in several components, with the root of
+    each set, and `n`, the number of the bucket's rows."""
     rooted = buckets.join(roots, buckets["sig"] == roots["node"], "left").select(
-        "key", "sig", "band", F.coalesce("root", "sig").alias("root")
+        "key", "sig", "band", "lead", F.coalesce("root", "sig").alias("root")
     )
     open_ = (
         rooted.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
         .where((F.col("n") > 2) & (F.col("x") != F.col("y")))
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("key", "n")
     )
-    rows = rooted.join(open_, "key").withColumn(
-        "part", F.pmod(F.xxhash64("sig", "key"), F.col("blocks")).cast("int")
+    return stored(rooted.join(open_, "key"), "jaccard-open")
+
+
+PAIRED = 64
+PAIR_BYTES = 16
+HELD_PAIRS = 1 << 20
+
+
+def _is_paired(plan: Plan) -> Column:
+    """Whether a bucket goes as pairs of signatures: where these take less room than a sketch in each row
+    would. Small buckets do in any case, as most of their pairs meet in many of them."""
+    sketch = F.pow(F.lit(float(BAND_RATIO)), F.col("band") + 1) * (FINE / plan.load)
+    most = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(float(PAIRED)), sketch * 2 / PAIR_BYTES))
+    return F.col("n") <= most
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """The distinct columns."""
+    held = pairs[:, np.lexsort(pairs)]
+    return held[:, np.append(True, (held[:, 1:] != held[:, :-1]).any(axis=0))[: held.shape[1]]]
+
+
+def bucket_pairs(rows: np.ndarray) -> np.ndarray:
+    """(a, b, band) of the pairs in one bucket to compare, from its (key, sig, lead, root, band).
+
+    Sets in one component are connected already; a set and its lead have been verified.
+    """
+    _, sig, lead, root, band = rows
+    i, j = np.triu_indices(len(sig), 1)
+    asked = (root[i] != root[j]) & (sig[i] != lead[j]) & (sig[j] != lead[i])
+    i, j = i[asked], j[asked]
+    return np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), band[i]])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, sig, lead, root, band) sorted by key to `bucket_pairs`; a pair that met in many buckets of
+    the task mostly leaves once."""
+
+    def buckets() -> Iterator[np.ndarray]:
+        rest = np.empty((5, 0), np.int64)
+        for batch in batches:
+            rows = np.hstack([rest, np.stack([c.to_numpy() for c in batch.columns])])
+            *whole, rest = np.split(rows, np.flatnonzero(np.diff(rows[0])) + 1, axis=1)
+            yield from whole
+        yield rest
+
+    def made(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "band"])
+
+    held, size = [np.empty((3, 0), np.int64)], 0
+    for rows in buckets():
+        held.append(bucket_pairs(rows))
+        size += held[-1].shape[1]
+        if size >= HELD_PAIRS:
+            held = [_distinct(np.hstack(held))]
+            size = held[0].shape[1]
+            if size >= HELD_PAIRS // 2:
+                yield made(held[0])
+                held, size = [held[0][:, :0]], 0
+    yield made(_distinct(np.hstack(held)))
+
+
+def _near(rows: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) in these buckets that the sketches' bound lets pass, once each."""
+
+    def make():
+        def near(x: bytes, y: bytes, total: int) -> tuple[bool]:
+            apart = np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))
+            return (bool(apart <= plan.apart(total)),)
+
+        return near
+
+    parts = shuffle_parts(rows.sparkSession)
+    met = (
+        rows.select("key", "sig", "lead", "root", F.col("band").cast("long"))
+        .repartition(parts, "key")
+        .sortWithinPartitions("key")
+        .mapInArrow(lean(_pairs), "a long, b long, band long")
+        .groupBy("a", "b")
+        .agg(F.min("band").cast("int").alias("band"))  # any band that both enter will do
     )
-    needed = rows.select("sig").distinct()
-    sketches = texts.join(needed, "sig", "left_semi").select("sig", "text").mapInArrow(
-        lean(_sketches(plan)), "sig long, band int, size int, words binary"
+    one = sketches.selectExpr("sig AS a", "band", "size AS p", "words AS x")
+    other = sketches.selectExpr("sig AS b", "band", "size AS q", "words AS y")
+    both = met.join(one, ["a", "band"]).join(other, ["b", "band"])
+    sized = both.selectExpr("a", "b", "x", "y", "p + q AS total")
+    return add_columns(sized, ["x", "y", "total"], "ok boolean", make).where("ok").select("a", "b")
+
+
+def _in_blocks(rows: DataFrame, sketches: DataFrame, plan: Plan, every: bool) -> DataFrame:
+    """(key, a, b) to verify in larger buckets, compared in blocks."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+        "part", F.pmod(F.xxhash64("sig", "key"), F.col("blocks")).cast("int")
     )
     place = ["key", "i", "j"]
     blocks = (
-        rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("part", "with"))
         .withColumn("j", F.greatest("part", "with"))
         .join(sketches, ["sig", "band"])
         .select(*place, "part", "sig", "root", "size", "words")
     )
-    parts = shuffle_parts(buckets.sparkSession)
+    parts = shuffle_parts(rows.sparkSession)
     return (
         blocks.repartition(parts, *place)
         .sortWithinPartitions(*place, "part", "sig")
@@ -412,17 +500,36 @@ def _rest(
     )
 
 
-def _links(df: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) between signatures that connect all linked sets of (__sig, text)."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different components."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(own, end, "left")
+    return pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
+def _buckets(df: DataFrame, plan: Plan) -> DataFrame:
+    """(key, sig, band, lead) of the words that several sets of (__sig, text) have.
+
+    Copies of a set come from many chunks; a set is in a bucket once, or twice where it leads in one
+    chunk and follows in another.
+    """
     met = df.select("__sig", "text").mapInArrow(lean(_meet(plan)), MET)
     bucket = Window.partitionBy("route")
-    buckets = stored(
+    return (
         met.withColumn("least", F.min("sig").over(bucket))
-        .withColumn("n", F.sum("size").over(bucket))
-        .where(F.col("lead").isNotNull() | (F.col("n") > 1))
-        .select("key", "sig", "band", F.coalesce("lead", "least").alias("lead")),
-        "jaccard-buckets",
+        .withColumn("most", F.max("sig").over(bucket))
+        .withColumn("n", F.max("size").over(bucket))
+        .where("lead IS NOT NULL OR least <> most OR n > 1")
+        .groupBy("route", "key", "sig", "band")
+        .agg(F.min(F.coalesce("lead", "least")).alias("lead"))
+        .select("key", "sig", "band", "lead")
     )
+
+
+def _links(df: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between signatures that connect all linked sets of (__sig, text)."""
+    buckets = stored(_buckets(df, plan), "jaccard-buckets")
     pairs = buckets.where(F.col("sig") != F.col("lead")).select(
         F.col("sig").alias("a"), F.col("lead").alias("b")
     ).distinct()
@@ -432,18 +539,35 @@ def _links(df: DataFrame, plan: Plan) -> DataFrame:
         one_each.join(buckets.select("sig").distinct(), "sig", "left_semi"), "jaccard-texts"
     )
     links = stored(_verified(pairs, texts, plan), "jaccard-links")
-    open_ = buckets
+    open_ = _open(buckets, connected(links))
+    needed = open_.select("sig").distinct()
+    sketches = stored(
+        texts.join(needed, "sig", "left_semi").select("sig", "text").mapInArrow(
+            lean(_sketches(plan)), "sig long, band int, size int, words binary"
+        ),
+        "jaccard-sketches",
+    )
+    near = stored(_near(open_.where(_is_paired(plan)), sketches, plan), "jaccard-near")
+    large = open_.where(~_is_paired(plan))
+    # One pair of each set first: what these connect need not be verified.
+    asked_near = near.groupBy("a").agg(F.min("b").alias("b"))
     for every in (False, True):
-        asked = stored(_rest(open_, connected(links), texts, plan, every), "jaccard-rest")
-        more = stored(
-            _verified(asked.select("a", "b").distinct(), texts, plan), "jaccard-links"
-        )
+        asked = stored(_in_blocks(large, sketches, plan, every), "jaccard-rest")
+        both = asked.select("a", "b").union(asked_near).distinct()
+        more = stored(_verified(both, texts, plan), "jaccard-links")
         links = links.union(more)
+        if every:
+            break
         # Where a pair failed, those left out for its sake are still to be compared.
         failed = asked.join(more, ["a", "b"], "left_anti").select("key").distinct()
-        if every or failed.isEmpty():
+        roots = connected(links)
+        left = near.join(asked_near, ["a", "b"], "left_anti")
+        asked_near = stored(_apart(left, roots), "jaccard-near")
+        large = _open(
+            large.join(failed, "key", "left_semi").select("key", "sig", "band", "lead"), roots
+        )
+        if large.isEmpty() and asked_near.isEmpty():
             break
-        open_ = buckets.join(failed, "key", "left_semi")
     return links
 
 

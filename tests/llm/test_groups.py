@@ -93,6 +93,55 @@ def test_no_link_is_lost_in_a_crowd(spark):
         assert got == [root for _, root in expected]
 
 
+@pytest.mark.parametrize("paired, room", [(0, 1e9), (64, 16), (512, 16)])
+def test_no_link_is_lost_whether_buckets_go_as_pairs_or_in_blocks(spark, monkeypatch, paired, room):
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    monkeypatch.setattr(jaccard_join, "PAIR_BYTES", room)
+    rng = random.Random(9)
+    base, other = (prose(rng, 70).split(" ") for _ in range(2))
+    texts = []
+    for i in range(120):
+        words = list(base if i % 3 else other)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(70)] = rng.choice("uvw") + str(rng.randrange(4))
+        texts += [" ".join(words)] * rng.choice([1, 1, 3])
+    expected = linked_groups(texts, 2, 80)
+    assert len({root for _, root in expected}) > 5
+    rows = jaccard_join.groups(documents(spark, texts).repartition(7), 2, 80).collect()
+    got = [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert got == [root for _, root in expected]
+
+
+def test_copies_of_a_set_take_no_place_in_buckets(spark, monkeypatch):
+    """Copies come from many tasks. Alone they meet nobody; with others their set counts once or twice."""
+    rows_of, whole = {}, jaccard_join.stored
+
+    def stored(df, what):
+        rows_of[what] = whole(df, what)
+        return rows_of[what]
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    rng, plan = random.Random(2), jaccard_join.plan_for()
+    alone, text = prose(rng, 120), prose(rng, 120)
+    for texts, expected in (([alone] * 24, 0), ([text, text + " and more"] * 24, None)):
+        signed = jaccard_join._signed(documents(spark, texts).repartition(8), plan, "text")
+        jaccard_join._links(signed, plan)
+        buckets = rows_of["jaccard-buckets"]
+        most = buckets.groupBy("key", "sig").count().agg({"count": "max"}).first()[0]
+        assert (buckets.count() == expected) if expected is not None else 0 < most <= 2
+
+
+def test_pairs_of_a_bucket_leave_out_what_is_settled():
+    key, band = [1] * 5, [3] * 5
+    sig, lead, root = [10, 11, 12, 13, 14], [10, 10, 10, 12, 10], [10, 10, 12, 13, 14]
+    found = jaccard_join.bucket_pairs(np.array([key, sig, lead, root, band])).T.tolist()
+    # 10 and 11 are linked; 12 and 14 have been verified against 10, 13 against 12.
+    assert found == [[10, 13, 3], [11, 12, 3], [11, 13, 3], [11, 14, 3], [12, 14, 3], [13, 14, 3]]
+    twice = np.array([[5, 4, 5, 5], [7, 7, 7, 8], [0, 0, 0, 0]])
+    assert jaccard_join._distinct(twice).T.tolist() == [[4, 7, 0], [5, 7, 0], [5, 8, 0]]
+    assert jaccard_join._distinct(twice[:, :0]).shape == (3, 0)
+
+
 def test_groups_of_null_ids_repeated_rows_and_clashing_names(spark):
     rows = [(7, "A b c d e"), (3, "a B c d e"), (None, "a b c d e"), (3, "a b c d e"),
             (None, "q r s t"), (None, "q r s t"), (8, None), (8, "")]
